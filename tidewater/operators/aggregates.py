@@ -64,9 +64,12 @@ def distribution_stats(
     keys: Sequence[str],
     value: str,
     quantiles: Mapping[str, float],
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
     """Mean, sample stddev and exact interpolated percentiles per group (AG-10, AG-11).
 
+    ``extra`` aggregates are computed in the same pass.
+
     ``percentile`` is exact (same as ``percentile_cont``) and merges
     partial value-count maps, so it is combined map-side.
     """
@@ -76,6 +79,7 @@ def distribution_stats(
         F.avg(value).alias("_mean"),
         F.stddev_samp(value).alias("_stddev"),
         F.percentile(F.col(value), F.array(*[F.lit(q) for q in qs])).alias("_pcts"),
+        *extra,
     )
     for i, n in enumerate(names):
         agg = agg.withColumn(n, F.col("_pcts")[i])
