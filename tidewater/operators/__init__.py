@@ -7,6 +7,8 @@ from tidewater.operators.aggregates import (
     pct_where,
     pivot_max,
     share_of_group,
+    weighted_avg,
+    weighted_sum,
     zero_safe_diff,
 )
 from tidewater.operators.fuzzy import containment_pairs, first_containment_match
@@ -32,6 +34,8 @@ __all__ = [
     "pct_where",
     "pivot_max",
     "share_of_group",
+    "weighted_avg",
+    "weighted_sum",
     "zero_safe_diff",
     "containment_pairs",
     "first_containment_match",

@@ -86,6 +86,21 @@ def distribution_stats(
     return agg.drop("_pcts")
 
 
+def weighted_avg(value: str, weight: str) -> Column:
+    """``avg`` over rows repeated ``weight`` times, without repeating them.
+
+    Equals ``avg(value)`` over the fanned-out rows: NULL values are skipped
+    and an all-NULL group gives NULL.
+    """
+    v, w = F.col(value), F.col(weight)
+    return F.sum(v * w) / F.sum(F.when(v.isNotNull(), w))
+
+
+def weighted_sum(value: str, weight: str) -> Column:
+    """``sum`` over rows repeated ``weight`` times (NULL if all NULL)."""
+    return F.sum(F.col(value) * F.col(weight))
+
+
 def zero_safe_diff(a: str, b: str) -> Column:
     """``coalesce(a, 0) - coalesce(b, 0)`` (AG-19)."""
     return F.coalesce(F.col(a), F.lit(0)) - F.coalesce(F.col(b), F.lit(0))

@@ -5,96 +5,112 @@ Semantics: a text ``t`` matches a pattern ``p`` when
 keep their LIKE meaning, a backslash is an ordinary character.
 
 Plan: every literal (wildcard-free) window of ``p`` must occur verbatim in
-``t``.  So each pattern is given one *block*: its rarest literal n-gram
-(n = 3, or 2 / 1 for patterns with shorter literal runs), the texts are
-exploded into their n-grams, and candidates come from an equi-join on the
-gram, then are verified with LIKE.  This is exact (no candidate cap) and
-keeps the work proportional to the true candidate set instead of
-|texts| x |patterns|.  Patterns made only of wildcards (or empty) match any
-text at least as long as their ``_`` count; they are joined on length,
-again an equi-join.
+``t``.  So each pattern gets one *block*: its rarest literal n-gram
+(n = 3, or 2 / 1 for patterns with shorter literal runs); texts are
+exploded into their n-grams; candidates come from an equi-join on the gram
+and are verified with LIKE.  Exact (no candidate cap), and the work is
+proportional to the true candidate set, not to |texts| x |patterns|.
+Patterns made only of wildcards (or empty) match every text at least as
+long as their ``_`` count; they block on the length, again an equi-join
+(k = 0 below).
+
+Both directions of a symmetric containment test ("a in b or b in a") run
+in one pass: every string is a text and a pattern at once, tagged with its
+side, and a text only meets patterns of the other side.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _WILD = "[_%]"
+MAX_GRAM = 3
 
 
-def _grams(text_col, k: int):
-    """Distinct k-grams of a string column, as an array (JVM-side lambda)."""
+def _grams(text_col: Column, k: int) -> Column:
+    """Distinct k-grams of a string column as array<struct<k, gram>>."""
     n = F.length(text_col) - F.lit(k - 1)
     seq = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    arr = F.transform(seq, lambda i: F.substr(text_col, i, F.lit(k)))
-    return F.when(F.length(text_col) >= F.lit(k), F.array_distinct(arr)).otherwise(F.array())
+    arr = F.array_distinct(F.transform(seq, lambda i: F.substr(text_col, i, F.lit(k))))
+    arr = F.when(F.length(text_col) >= F.lit(k), arr).otherwise(F.array().cast("array<string>"))
+    return F.transform(arr, lambda g: F.struct(F.lit(k).alias("k"), g.alias("gram")))
 
 
-def containment_pairs(
-    texts: DataFrame,
-    text_col: str,
-    patterns: DataFrame,
-    pattern_col: str,
-    max_gram: int = 3,
-) -> DataFrame:
-    """All distinct ``(text, pattern)`` pairs where the text contains the pattern.
+def _text_keys(lt: Column) -> Column:
+    """All (k, gram) keys a text offers: its 1..3-grams and its lengths 0..len."""
+    parts = [_grams(lt, k) for k in range(1, MAX_GRAM + 1)]
+    lengths = F.transform(
+        F.sequence(F.lit(0), F.length(lt)),
+        lambda i: F.struct(F.lit(0).alias("k"), i.cast("string").alias("gram")),
+    )
+    return F.concat(*parts, lengths)
 
-    Output columns: ``text``, ``pattern`` (original case).
-    """
-    t = (
-        texts.select(F.col(text_col).alias("text"))
-        .where(F.col("text").isNotNull())
-        .distinct()
-        .withColumn("_lt", F.lower("text"))
+
+def _pattern_keys(lp: Column) -> Column:
+    """Candidate blocks of a pattern: literal grams, or its length need if wildcard-only."""
+    parts = [F.filter(_grams(lp, k), lambda s: ~s["gram"].rlike(_WILD)) for k in range(1, MAX_GRAM + 1)]
+    need = F.length(F.regexp_replace(lp, "[^_]", "")).cast("string")
+    wild_only = ~lp.rlike("[^_%]")
+    length_block = F.when(wild_only, F.array(F.struct(F.lit(0).alias("k"), need.alias("gram")))).otherwise(
+        F.array().cast("array<struct<k:int,gram:string>>")
     )
-    p = (
-        patterns.select(F.col(pattern_col).alias("pattern"))
-        .where(F.col("pattern").isNotNull())
-        .distinct()
-        .withColumn("_lp", F.lower("pattern"))
+    return F.concat(*parts, length_block)
+
+
+def _like_contains(lt: Column, lp: Column) -> Column:
+    # Backslash is literal in the reference LIKE; Spark treats it as escape.
+    escaped = F.regexp_replace(lp, F.lit("\\\\"), F.lit("\\\\\\\\"))
+    return F.like(lt, F.concat(F.lit("%"), escaped, F.lit("%")))
+
+
+def tagged_containment(strings: DataFrame) -> DataFrame:
+    """Containment pairs between the two sides of a tagged string set.
+
+    ``strings(value, side)`` with ``side`` in {0, 1}.  Returns distinct
+    ``(text, text_side, pattern)`` where the pattern (from the other side)
+    is contained in the text.
+    """
+    s = strings.where(F.col("value").isNotNull()).select(
+        "value", "side", F.lower("value").alias("lv")
     )
+    text_keys = s.select(
+        F.col("value").alias("text"), F.col("side").alias("tside"), F.col("lv").alias("lt"),
+        F.explode(_text_keys(F.col("lv"))).alias("key"),
+    ).select("text", "tside", "lt", F.col("key.k").alias("k"), F.col("key.gram").alias("gram"))
+
+    freq = text_keys.groupBy("tside", "k", "gram").agg(F.count(F.lit(1)).alias("freq"))
 
-    # Text grams for every n the patterns may block on.
-    text_grams = None
-    for k in range(1, max_gram + 1):
-        g = t.select("text", "_lt", F.lit(k).alias("k"), F.explode(_grams(F.col("_lt"), k)).alias("gram"))
-        text_grams = g if text_grams is None else text_grams.unionByName(g)
-    freq = text_grams.groupBy("k", "gram").agg(F.count(F.lit(1)).alias("freq"))
-
-    # Literal grams of each pattern; keep the longest n, then the rarest gram.
-    pat_grams = None
-    for k in range(1, max_gram + 1):
-        lit = F.filter(_grams(F.col("_lp"), k), lambda g: ~g.rlike(_WILD))
-        g = p.select("pattern", "_lp", F.lit(k).alias("k"), F.explode(lit).alias("gram"))
-        pat_grams = g if pat_grams is None else pat_grams.unionByName(g)
-    scored = pat_grams.join(freq, on=["k", "gram"], how="left").withColumn(
+    pat_keys = s.select(
+        F.col("value").alias("pattern"), (F.lit(1) - F.col("side")).alias("tside"), F.col("lv").alias("lp"),
+        F.explode(_pattern_keys(F.col("lv"))).alias("key"),
+    ).select("pattern", "tside", "lp", F.col("key.k").alias("k"), F.col("key.gram").alias("gram"))
+
+    scored = pat_keys.join(freq, ["tside", "k", "gram"], "left").withColumn(
         "freq", F.coalesce(F.col("freq"), F.lit(0))
     )
-    block = scored.groupBy("pattern", "_lp").agg(
-        F.min_by(F.struct("k", "gram"), F.struct(-F.col("k"), F.col("freq"), F.col("gram"))).alias("b")
-    ).select("pattern", "_lp", F.col("b.k").alias("k"), F.col("b.gram").alias("gram"))
+    # Longest literal n first (k = 0, the length block, only exists alone), then rarest.
+    order = F.struct((F.col("k") == 0).alias("z"), (-F.col("k")).alias("nk"), "freq", "gram")
+    block = scored.groupBy("pattern", "tside", "lp").agg(
+        F.min_by(F.struct("k", "gram"), order).alias("b")
+    ).select("pattern", "tside", "lp", F.col("b.k").alias("k"), F.col("b.gram").alias("gram"))
 
-    blocked = block.join(text_grams, on=["k", "gram"], how="inner").select("text", "_lt", "pattern", "_lp")
+    cand = block.join(text_keys, ["tside", "k", "gram"], "inner")
+    hit = cand.where(_like_contains(F.col("lt"), F.col("lp")))
+    return hit.select("text", F.col("tside").alias("text_side"), "pattern").distinct()
 
-    # Patterns without a single literal character: match on text length.
-    wild = p.where(~F.col("_lp").rlike("[^_%]")).select(
-        "pattern", "_lp", F.length(F.regexp_replace("_lp", "[^_]", "")).alias("need")
-    )
-    text_lengths = t.select(
-        "text", "_lt", F.explode(F.sequence(F.lit(0), F.length("_lt"))).alias("need")
-    )
-    by_length = wild.join(text_lengths, on="need", how="inner").select("text", "_lt", "pattern", "_lp")
 
-    candidates = blocked.unionByName(by_length)
-    # Backslash is literal in the reference LIKE; Spark treats it as escape.
-    escaped = F.regexp_replace(F.col("_lp"), F.lit("\\\\"), F.lit("\\\\\\\\"))
-    verified = candidates.where(F.like(F.col("_lt"), F.concat(F.lit("%"), escaped, F.lit("%"))))
-    return verified.select("text", "pattern").distinct()
+def containment_pairs(texts: DataFrame, text_col: str, patterns: DataFrame, pattern_col: str) -> DataFrame:
+    """All distinct ``(text, pattern)`` where the text contains the pattern."""
+    tagged = texts.select(F.col(text_col).alias("value"), F.lit(0).alias("side")).unionByName(
+        patterns.select(F.col(pattern_col).alias("value"), F.lit(1).alias("side"))
+    ).distinct()
+    pairs = tagged_containment(tagged)
+    return pairs.where(F.col("text_side") == 0).select("text", "pattern")
 
 
 def first_containment_match(
-    segments: DataFrame,
+    groups: DataFrame,
     keys: list[str],
     name_cols: list[str],
     targets: DataFrame,
@@ -106,31 +122,32 @@ def first_containment_match(
     group's ``name_cols`` values.
 
     Returns ``keys`` + every column of ``targets`` for matched groups only.
-    Work is done on distinct names; facts are never paired with targets.
+    ``groups`` should be a small, already distinct frame (checkpointed by
+    the caller); facts are never paired with targets.
     """
     names = None
     for c in name_cols:
-        n = segments.select(*keys, F.col(c).alias("name"))
+        n = groups.select(*keys, F.col(c).alias("name"))
         names = n if names is None else names.unionByName(n)
-    distinct_names = names.select("name").where(F.col("name").isNotNull()).distinct()
-    target_names = targets.select(F.col(target_col).alias("tname")).where(F.col("tname").isNotNull()).distinct()
 
-    fwd = containment_pairs(distinct_names, "name", target_names, "tname").select(
-        F.col("text").alias("name"), F.col("pattern").alias("tname")
+    tagged = (
+        names.select(F.col("name").alias("value"), F.lit(0).alias("side"))
+        .unionByName(targets.select(F.col(target_col).alias("value"), F.lit(1).alias("side")))
+        .distinct()
     )
-    rev = containment_pairs(target_names, "tname", distinct_names, "name").select(
-        F.col("pattern").alias("name"), F.col("text").alias("tname")
+    pairs = tagged_containment(tagged)
+    # name contains target (text side 0) or target contains name (text side 1)
+    name_target = pairs.select(
+        F.when(F.col("text_side") == 0, F.col("text")).otherwise(F.col("pattern")).alias("name"),
+        F.when(F.col("text_side") == 0, F.col("pattern")).otherwise(F.col("text")).alias("tname"),
     )
-    pairs = fwd.unionByName(rev)
+    best = names.join(name_target, "name", "inner").groupBy(*keys).agg(F.min("tname").alias(target_col))
 
-    best = (
-        names.join(pairs, on="name", how="inner")
-        .groupBy(*keys)
-        .agg(F.min("tname").alias(target_col))
-    )
-    # One representative target row per target name (first by target_order).
     other = [c for c in targets.columns if c != target_col]
-    first_target = targets.where(F.col(target_col).isNotNull()).groupBy(target_col).agg(
-        F.min_by(F.struct(*other), F.struct(*target_order)).alias("_t")
-    ).select(target_col, *[F.col(f"_t.{c}").alias(c) for c in other])
-    return best.join(first_target, on=target_col, how="inner")
+    first_target = (
+        targets.where(F.col(target_col).isNotNull())
+        .groupBy(target_col)
+        .agg(F.min_by(F.struct(*other), F.struct(*target_order)).alias("_t"))
+        .select(target_col, *[F.col(f"_t.{c}").alias(c) for c in other])
+    )
+    return best.join(first_target, target_col, "inner")

@@ -23,6 +23,7 @@ from tidewater.operators import (
     pivot_max,
     share_of_group,
     top_n_per_group,
+    weighted_avg,
 )
 from tidewater.plans.calendar import CALENDAR_ROWS
 from tidewater.plans.core import Warehouse, model
@@ -62,13 +63,18 @@ def rpt_borough_comparison(w: Warehouse) -> DataFrame:
 
 @model("rpt_bus_lane_effectiveness", layer="table")
 def rpt_bus_lane_effectiveness(w: Warehouse) -> DataFrame:
-    s = w.ref("fct_segment_speeds_hourly")
-    lm = w.ref("int_segment_bus_lane_match").select("segment_id", "has_bus_lane", "lane_type")
+    s = w.ref("fct_segment_speeds_hourly").select("time_period", "hour_of_day", "segment_id", "avg_speed_mph")
+    # Segment-only join to a segment x route match: weight instead of fan-out
+    # (see fct_corridor_performance).
+    lm = (
+        w.ref("int_segment_bus_lane_match")
+        .groupBy("segment_id", "has_bus_lane", "lane_type")
+        .agg(F.count(F.lit(1)).alias("_w"))
+    )
     j = s.join(lm, "segment_id", "inner")
     grouped = j.groupBy("time_period", "hour_of_day", "has_bus_lane", "lane_type").agg(
-        _r2(F.avg("avg_speed_mph")).alias("avg_speed_mph"),
+        _r2(weighted_avg("avg_speed_mph", "_w")).alias("avg_speed_mph"),
         F.count_distinct("segment_id").alias("segment_count"),
-        F.sum("trip_count").cast("long").alias("total_trips"),
     )
     lane, no_lane = c("has_bus_lane"), ~c("has_bus_lane")
     piv = pivot_max(

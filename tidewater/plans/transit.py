@@ -19,10 +19,13 @@ from tidewater.operators import (
     first_containment_match,
     keep_unmatched,
     lookup_join,
+    weighted_avg,
+    weighted_sum,
     with_group_total,
 )
 from tidewater.plans.calendar import CALENDAR_ROWS
 from tidewater.plans.core import Warehouse, model
+from tidewater.session import checkpoint_dir
 
 c = F.col
 
@@ -156,10 +159,15 @@ LANE_ORDER = ["lane_segment_id", "lane_borough", "lane_type"]
 
 @model("int_segment_bus_lane_match")
 def int_segment_bus_lane_match(w: Warehouse) -> DataFrame:
+    # Distinct segment x route names: small (stop pairs x routes), reused by
+    # every branch below -> computed once and checkpointed to the shared
+    # checkpoint folder (lineage cut; survives executor loss).
+    checkpoint_dir(w.spark)
     segments = (
         w.ref("stg_bus_segment_speeds")
         .select("segment_id", "route_id", "segment_start", "segment_end")
         .distinct()
+        .checkpoint(eager=True)
     )
     lanes = w.ref("stg_bus_lanes").select(
         c("street").alias("lane_street"),
@@ -288,8 +296,19 @@ def fct_route_daily_performance(w: Warehouse) -> DataFrame:
 @model("fct_corridor_performance", layer="table")
 def fct_corridor_performance(w: Warehouse) -> DataFrame:
     s = w.ref("fct_bus_segment_speeds")
-    lm = w.ref("int_segment_bus_lane_match").where(c("has_bus_lane") == F.lit(True)).drop("route_id")
-    j = s.join(lm, "segment_id", "inner")
+    # The lane match has one row per segment x route but is joined on the
+    # segment only, so every fact row counts once per matching route (the
+    # reference's grain quirk, kept).  Instead of materialising that fan-out,
+    # the match is collapsed to (segment, lane attributes) with the number of
+    # rows it stands for, and the averages / sums are weighted by it.
+    lm = (
+        w.ref("int_segment_bus_lane_match")
+        .where(c("has_bus_lane") == F.lit(True))
+        .groupBy("segment_id", "lane_street", "lane_borough", "lane_type", "has_bus_lane")
+        .agg(F.count(F.lit(1)).alias("_w"))
+    )
+    j = s.select("metric_date", "year", "month", "day_of_week", "hour_of_day", "segment_id", "route_id",
+                 "avg_speed_mph", "trip_count").join(lm, "segment_id", "inner")
     keys = ["metric_date", "year", "month", "day_of_week", "hour_of_day"]
     agg = j.groupBy(
         *keys,
@@ -298,8 +317,8 @@ def fct_corridor_performance(w: Warehouse) -> DataFrame:
         "lane_type",
         "has_bus_lane",
     ).agg(
-        F.avg("avg_speed_mph").alias("corridor_avg_speed_mph"),
-        F.sum("trip_count").cast("long").alias("total_trips"),
+        weighted_avg("avg_speed_mph", "_w").alias("corridor_avg_speed_mph"),
+        weighted_sum("trip_count", "_w").cast("long").alias("total_trips"),
         F.count_distinct("segment_id").alias("segment_count"),
         F.count_distinct("route_id").alias("route_count"),
     )

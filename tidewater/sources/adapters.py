@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.sources.files import balanced
+
 # --- fixed values -----------------------------------------------------------
 ROUTE_PREFIXES = ["Q", "BX", "B", "M", "S", "X"]
 GTFS_FEEDS = ["bronx", "brooklyn", "manhattan", "queens", "staten_island", "bus_company"]
@@ -63,9 +65,12 @@ class DriverTables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._cache: dict[str, DataFrame] = {}
 
     def __call__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._cache:
+            self._cache[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._cache[name]
 
 
 def route_id_expr(suppkey: Column) -> Column:
@@ -73,7 +78,7 @@ def route_id_expr(suppkey: Column) -> Column:
 
 
 def bus_segment_speeds(t: DriverTables) -> DataFrame:
-    li = t("lineitem")
+    li = balanced(t("lineitem"))  # per-row string building + hashing downstream
     q = F.col("l_quantity").cast("int")
     stop = _s(F.col("l_partkey") % SEGMENT_STOPS)
     nxt = _s((F.col("l_partkey") + 7) % SEGMENT_STOPS)
@@ -161,7 +166,7 @@ def bus_lanes(t: DriverTables) -> DataFrame:
 
 
 def traffic_volume_counts(t: DriverTables) -> DataFrame:
-    o = t("orders")
+    o = balanced(t("orders"))
     seg = _s(F.col("o_custkey") % 50)
     return o.select(
         seg.alias("segmentid"),
