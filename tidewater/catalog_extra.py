@@ -1,11 +1,332 @@
-"""Operator-level queries: metric layer, data-quality checks, profiling."""
+"""Operator-level queries beyond the model catalogue: the metric layer,
+declared data-quality checks, profiling and source status.
+
+Each entry reads the driver tables (through the models) in full; each has an
+independent DuckDB oracle built on the same SQL blocks as the models.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewater.metrics import Measure, MetricsView, SemanticModel, auto_metrics, densify
+from tidewater.ops import auto_stage, freshness_label, profile, table_counts
+from tidewater.quality import ModelChecks, oracle_sql as dq_oracle_sql, run_checks
+from tidewater.sources.adapters import RAW_TABLES, DriverTables
+from tidewater.verify.oracle import with_blocks
+
+# --- metric views (fixed definitions) ----------------------------------------
+# Column names follow the models; measures the models cannot support
+# (speed variability) are left out.
+
+
+def speeds_view(w) -> MetricsView:
+    return MetricsView(
+        w.ref("fct_bus_segment_speeds"), "metric_date", ["route_id", "segment_id", "hour_of_day"],
+        [Measure("avg(avg_speed_mph)", "Avg Speed (mph)"), Measure("sum(trip_count)", "Total Trips"),
+         Measure("count(*)", "Records")],
+    )
+
+
+def corridor_view(w) -> MetricsView:
+    return MetricsView(
+        w.ref("fct_corridor_performance"), "metric_date", ["corridor_street", "has_bus_lane"],
+        [Measure("avg(corridor_avg_speed_mph)", "Avg Speed (mph)"),
+         Measure("avg(corridor_avg_speed_mph) filter (where has_bus_lane = true)", "Avg Speed With Bus Lane (mph)"),
+         Measure("avg(corridor_avg_speed_mph) filter (where has_bus_lane = false)",
+                 "Avg Speed Without Bus Lane (mph)"),
+         Measure("count(*)", "Records")],
+    )
+
+
+def route_view(w) -> MetricsView:
+    grades = [Measure(f"countif(reliability_grade = '{g}')", f"Grade {g} Count") for g in "ABCDF"]
+    return MetricsView(
+        w.ref("fct_route_daily_performance"), "metric_date", ["route_id", "reliability_grade"],
+        [Measure("avg(route_avg_speed_mph)", "Avg Speed (mph)"), Measure("count(*)", "Records"), *grades],
+    )
+
+
+def traffic_view(w) -> MetricsView:
+    return MetricsView(
+        w.ref("fct_traffic_volume_patterns"), "date", ["segment_id", "time_period"],
+        [Measure("sum(period_volume)", "Total Volume"), Measure("avg(avg_hourly_volume)", "Avg Volume"),
+         Measure("count(*)", "Records")],
+    )
+
+
+def speeds_semantic(w) -> SemanticModel:
+    return SemanticModel(
+        w.ref("sem_bus_segment_speeds"), "metric_date",
+        {"avg_bus_speed": ("average", "avg_speed_mph"), "total_bus_trips": ("sum", "trip_count"),
+         "avg_segment_travel_time": ("average", "avg_travel_time_min")},
+        dimensions=["route_id", "segment_id", "hour_of_day"],
+        entities={"segment_speed": "segment_speed_key", "route": "route_id", "segment": "segment_id"},
+    )
+
+
+# --- data-quality specs (declared checks of the models) ------------------------
+TRANSIT_CHECKS = [
+    ModelChecks("stg_bus_segment_speeds",
+                not_null=["segment_speed_id", "route_id", "segment_id", "year", "month", "day_of_week",
+                          "hour_of_day", "avg_speed_mph", "data_source"],
+                unique=["segment_speed_id"], accepted={"data_source": ["2025"]}),
+    ModelChecks("stg_bus_routes", not_null=["route_id", "route_short_name"], unique=["route_id"]),
+    ModelChecks("stg_bus_stops", not_null=["stop_id", "stop_name", "stop_lat", "stop_lon"], unique=["stop_id"]),
+    ModelChecks("int_representative_dates", not_null=["year", "month", "day_of_week", "metric_date"]),
+    ModelChecks("int_segment_bus_lane_match", not_null=["segment_id", "route_id", "has_bus_lane"]),
+    ModelChecks("dim_bus_routes", not_null=["route_key", "route_id", "route_short_name", "borough"],
+                unique=["route_key", "route_id"],
+                accepted={"borough": ["Queens", "Bronx", "Brooklyn", "Manhattan", "Staten Island", "Unknown"]}),
+    ModelChecks("dim_date", not_null=["date_day", "date_key", "year_number", "month_name", "season"],
+                unique=["date_day", "date_key"], accepted={"season": ["Winter", "Spring", "Summer", "Fall"]}),
+    ModelChecks("dim_time_of_day", not_null=["hour_of_day", "time_period", "is_peak_hour", "hour_label"],
+                unique=["hour_of_day"],
+                accepted={"time_period": ["AM Peak", "Midday", "PM Peak", "Evening", "Overnight"]}),
+    ModelChecks("dim_bus_segments", not_null=["segment_key", "segment_id", "route_id"],
+                unique=["segment_key", "segment_id"]),
+    ModelChecks("fct_bus_segment_speeds", not_null=["segment_speed_key", "route_id", "segment_id", "avg_speed_mph"],
+                unique=["segment_speed_key"]),
+    ModelChecks("fct_route_daily_performance",
+                not_null=["route_daily_key", "route_id", "reliability_grade", "route_avg_speed_mph"],
+                unique=["route_daily_key"], accepted={"reliability_grade": ["A", "B", "C", "D", "F"]}),
+    ModelChecks("fct_corridor_performance",
+                not_null=["corridor_performance_key", "corridor_street", "has_bus_lane", "corridor_avg_speed_mph"],
+                unique=["corridor_performance_key"]),
+    ModelChecks("fct_traffic_volume_patterns",
+                not_null=["traffic_volume_key", "segment_id", "date", "time_period", "period_volume"],
+                unique=["traffic_volume_key"]),
+]
+
+SAAS_CHECKS = [
+    ModelChecks("stg_github_commits", not_null=["commit_id", "sha", "committed_at"], unique=["commit_id", "sha"]),
+    ModelChecks("stg_github_issues", not_null=["issue_id", "id", "number", "title", "state", "created_at"],
+                unique=["issue_id", "id"], accepted={"state": ["open", "closed"]}),
+    ModelChecks("stg_github_pull_requests", not_null=["pull_request_id", "id", "state", "is_merged", "created_at"],
+                unique=["pull_request_id", "id"], accepted={"state": ["open", "closed"]}),
+    ModelChecks("github_repo_activity", not_null=["activity_date"], unique=["activity_date"]),
+    ModelChecks("stg_slack_channels", not_null=["channel_id", "channel_name", "is_private", "is_active"],
+                unique=["channel_id"]),
+    ModelChecks("stg_slack_users", not_null=["user_id", "username", "is_bot", "is_active"], unique=["user_id"]),
+    ModelChecks("stg_slack_messages", not_null=["message_ts", "channel_id", "is_thread_reply", "is_user_message"]),
+    ModelChecks("slack_channel_activity", not_null=["channel_activity_key", "channel_id", "activity_date"],
+                unique=["channel_activity_key"]),
+    ModelChecks("slack_user_activity", not_null=["user_activity_key", "activity_week", "messages_sent"],
+                unique=["user_activity_key"]),
+    ModelChecks("stg_notion_users", not_null=["id", "type", "is_person"], unique=["id"],
+                accepted={"type": ["person", "bot"]}),
+    ModelChecks("stg_notion_pages", not_null=["id", "url", "created_time", "parent_type", "archived"],
+                unique=["id"]),
+    ModelChecks("notion_workspace_activity", not_null=["activity_date", "pages_edited", "cumulative_pages_created"],
+                unique=["activity_date"]),
+]
+
+# --- sources and their freshness column ----------------------------------------
+SOURCES = {
+    "mta_bus_speeds": (["bus_segment_speeds_2025"], "stg_bus_segment_speeds", "timestamp"),
+    "mta": (["gtfs_routes", "gtfs_stops"], None, None),
+    "nyc_dot": (["bus_lanes", "traffic_volume_counts"], None, None),
+    "github": (["github.commits", "github.issues", "github.pull_requests"], "stg_github_commits", "committed_at"),
+    "slack": (["slack.messages", "slack.channels", "slack.users"], "stg_slack_messages", "message_ts"),
+    "notion": (["notion.pages", "notion.databases", "notion.users"], "stg_notion_pages", "last_edited_time"),
+}
+RAW_BLOCK = {
+    "bus_segment_speeds_2025": "raw_speeds", "gtfs_routes": "raw_routes", "gtfs_stops": "raw_stops",
+    "bus_lanes": "raw_lanes", "traffic_volume_counts": "raw_traffic", "github.commits": "raw_commits",
+    "github.issues": "raw_issues", "github.pull_requests": "raw_pulls", "slack.messages": "raw_messages",
+    "slack.channels": "raw_channels", "slack.users": "raw_slack_users", "notion.pages": "raw_pages",
+    "notion.databases": "raw_databases", "notion.users": "raw_notion_users",
+}
+STATUS_AS_OF = "2024-02-01 00:00:00"
+# -----------------------------------------------------------------------------
+
+
+def _w(spark, sf_dir):
+    from tidewater.registry import warehouse
+
+    return warehouse(spark, sf_dir)
+
+
+def q_metric_speeds_by_route_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return speeds_view(_w(spark, sf_dir)).query(dimensions=["route_id"], grain="day")
+
+
+def q_metric_route_grades_by_month(spark, sf_dir):
+    return route_view(_w(spark, sf_dir)).query(dimensions=["reliability_grade"], grain="month")
+
+
+def q_metric_corridor_by_week(spark, sf_dir):
+    return corridor_view(_w(spark, sf_dir)).query(dimensions=["corridor_street"], grain="week")
+
+
+def q_metric_traffic_last_3_months(spark, sf_dir):
+    return traffic_view(_w(spark, sf_dir)).query(dimensions=["time_period"], grain="month", time_range="P3M")
+
+
+def q_metric_avg_speed_densified(spark, sf_dir):
+    w = _w(spark, sf_dir)
+    return densify(speeds_semantic(w).metric("avg_bus_speed", grain="day"), w.ref("metricflow_time_spine"))
+
+
+def q_auto_metrics_segment_speeds(spark, sf_dir):
+    view = auto_metrics(_w(spark, sf_dir).ref("fct_bus_segment_speeds"))
+    return view.query(dimensions=[], grain="month")
+
+
+def q_dq_transit(spark, sf_dir):
+    w = _w(spark, sf_dir)
+    return run_checks(w.ref, TRANSIT_CHECKS)
+
+
+def q_dq_saas(spark, sf_dir):
+    w = _w(spark, sf_dir)
+    return run_checks(w.ref, SAAS_CHECKS)
+
+
+def q_raw_table_counts(spark, sf_dir):
+    w = _w(spark, sf_dir)
+    return table_counts({name: (lambda n=name: w.raw(n)) for name in RAW_TABLES})
+
+
+def q_source_status(spark, sf_dir):
+    w = _w(spark, sf_dir)
+    parts = []
+    for src, (tables, model, ts) in SOURCES.items():
+        for t in tables:
+            parts.append(w.raw(t).agg(F.count(F.lit(1)).alias("rows")).select(
+                F.lit(src).alias("source"), F.col("rows"), F.lit(None).cast("timestamp_ntz").alias("ts")))
+        if model:
+            parts.append(w.ref(model).agg(F.max(F.col(ts).cast("timestamp_ntz")).alias("ts")).select(
+                F.lit(src).alias("source"), F.lit(None).cast("long").alias("rows"), "ts"))
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    agg = u.groupBy("source").agg(
+        F.count("rows").alias("table_count"), F.sum("rows").alias("total_rows"), F.max("ts").alias("last_sync"))
+    label, colour = freshness_label(F.col("last_sync"), F.lit(STATUS_AS_OF).cast("timestamp_ntz"))
+    return agg.select("source", "table_count", "total_rows", "last_sync",
+                      label.alias("freshness"), colour.alias("freshness_color"))
+
+
+def q_profile_orders(spark, sf_dir):
+    return profile(DriverTables(spark, sf_dir)("orders"))
+
+
+def q_auto_stage_commits(spark, sf_dir):
+    return auto_stage(_w(spark, sf_dir).raw("github.commits"))
+
+
+def q_alias_customers(spark, sf_dir):
+    return DriverTables(spark, sf_dir)("customer")
+
 
 def queries() -> dict:
-    return {}
+    return {
+        "metric_speeds_by_route_day": q_metric_speeds_by_route_day,
+        "metric_route_grades_by_month": q_metric_route_grades_by_month,
+        "metric_corridor_by_week": q_metric_corridor_by_week,
+        "metric_traffic_last_3_months": q_metric_traffic_last_3_months,
+        "metric_avg_speed_densified": q_metric_avg_speed_densified,
+        "auto_metrics_segment_speeds": q_auto_metrics_segment_speeds,
+        "dq_transit": q_dq_transit,
+        "dq_saas": q_dq_saas,
+        "raw_table_counts": q_raw_table_counts,
+        "source_status": q_source_status,
+        "profile_orders": q_profile_orders,
+        "auto_stage_commits": q_auto_stage_commits,
+        "alias_customers": q_alias_customers,
+    }
+
+
+# ------------------------------------------------------------------ oracles
+
+
+def _profile_sql() -> str:
+    cols = [("o_orderkey", "bigint", False), ("o_custkey", "bigint", False), ("o_orderstatus", "string", False),
+            ("o_totalprice", "double", True), ("o_orderdate", "timestamp_ntz", False),
+            ("o_orderpriority", "string", False)]
+    parts = []
+    for c, t, dbl in cols:
+        shown = f"cast({c} as decimal(38,6))" if dbl else c
+        parts.append(
+            f"select '{c}' as column_name, '{t}' as data_type, count(*) filter (where {c} is null) as null_count, "
+            f"count(distinct {c}) as distinct_count, cast(min({shown}) as varchar) as min_value, "
+            f"cast(max({shown}) as varchar) as max_value from orders")
+    return "\nunion all\n".join(parts)
+
+
+def _status_sql() -> str:
+    parts, deps = [], []
+    for src, (tables, model, ts) in SOURCES.items():
+        for t in tables:
+            parts.append(f"select '{src}' as source, count(*) as rows, cast(null as timestamp) as ts from {RAW_BLOCK[t]}")
+            deps.append(RAW_BLOCK[t])
+        if model:
+            parts.append(f"select '{src}', cast(null as bigint), max(cast({ts} as timestamp)) from {model}")
+            deps.append(model)
+    body = "\nunion all\n".join(parts)
+    age = f"(epoch(timestamp '{STATUS_AS_OF}') - epoch(last_sync))"
+    final = f"""
+select source, table_count, total_rows, last_sync,
+  case when last_sync is null then 'never'
+       when {age} / 3600.0 < 1 then cast(floor({age} / 60) as bigint)::varchar || 'm ago'
+       when {age} / 3600.0 < 24 then cast(floor({age} / 3600.0) as bigint)::varchar || 'h ago'
+       else cast(floor({age} / 3600.0 / 24.0) as bigint)::varchar || 'd ago' end as freshness,
+  case when last_sync is null then 'red' when {age} / 3600.0 < 24 then 'green'
+       when {age} / 3600.0 < 168 then 'yellow' else 'red' end as freshness_color
+from (select source, count(rows) as table_count, cast(sum(rows) as bigint) as total_rows, max(ts) as last_sync
+      from ({body}) group by source)"""
+    return with_blocks(deps, final)
 
 
 def oracles() -> dict:
-    return {}
+    speeds = with_blocks(["fct_bus_segment_speeds"], """
+select cast(date_trunc('day', metric_date) as date) as period, route_id, avg(avg_speed_mph) as avg_speed_mph,
+  cast(sum(trip_count) as bigint) as total_trips, count(*) as records
+from fct_bus_segment_speeds group by all""")
+    grades = ", ".join(
+        f"cast(count_if(reliability_grade = '{g}') as bigint) as grade_{g.lower()}_count" for g in "ABCDF")
+    routes = with_blocks(["fct_route_daily_performance"], f"""
+select cast(date_trunc('month', metric_date) as date) as period, reliability_grade,
+  avg(route_avg_speed_mph) as avg_speed_mph, count(*) as records, {grades}
+from fct_route_daily_performance group by all""")
+    corridor = with_blocks(["fct_corridor_performance"], """
+select cast(date_trunc('week', metric_date) as date) as period, corridor_street,
+  avg(corridor_avg_speed_mph) as avg_speed_mph,
+  avg(corridor_avg_speed_mph) filter (where has_bus_lane = true) as avg_speed_with_bus_lane_mph,
+  avg(corridor_avg_speed_mph) filter (where has_bus_lane = false) as avg_speed_without_bus_lane_mph,
+  count(*) as records
+from fct_corridor_performance group by all""")
+    traffic = with_blocks(["fct_traffic_volume_patterns"], """
+select cast(date_trunc('month', "date") as date) as period, time_period,
+  cast(sum(period_volume) as bigint) as total_volume, avg(avg_hourly_volume) as avg_volume, count(*) as records
+from fct_traffic_volume_patterns
+where "date" >= (select max("date") from fct_traffic_volume_patterns) - interval 3 month
+group by all""")
+    densified = with_blocks(["metricflow_time_spine", "sem_bus_segment_speeds"], """
+select s.date_day, m.avg_bus_speed from metricflow_time_spine s
+left join (select cast(date_trunc('day', metric_date) as date) as date_day, avg(avg_speed_mph) as avg_bus_speed
+           from sem_bus_segment_speeds group by 1) m on s.date_day = m.date_day""")
+    auto = with_blocks(["fct_bus_segment_speeds"], """
+select cast(date_trunc('month', metric_date) as date) as period, count(*) as record_count,
+  avg(avg_speed_mph) as avg_avg_speed_mph, cast(sum(trip_count) as bigint) as sum_trip_count,
+  avg(road_distance_miles) as avg_road_distance_miles, avg(avg_travel_time_min) as avg_avg_travel_time_min
+from fct_bus_segment_speeds group by all""")
+    counts = with_blocks(list(RAW_BLOCK.values()), "\nunion all\n".join(
+        f"select '{t}' as table_name, count(*) as row_count from {b}" for t, b in RAW_BLOCK.items()))
+    return {
+        "metric_speeds_by_route_day": speeds,
+        "metric_route_grades_by_month": routes,
+        "metric_corridor_by_week": corridor,
+        "metric_traffic_last_3_months": traffic,
+        "metric_avg_speed_densified": densified,
+        "auto_metrics_segment_speeds": auto,
+        "dq_transit": with_blocks([c.model for c in TRANSIT_CHECKS], dq_oracle_sql(TRANSIT_CHECKS)),
+        "dq_saas": with_blocks([c.model for c in SAAS_CHECKS], dq_oracle_sql(SAAS_CHECKS)),
+        "raw_table_counts": counts,
+        "source_status": _status_sql(),
+        "profile_orders": _profile_sql(),
+        "auto_stage_commits": with_blocks(["raw_commits"], "select * exclude (_dlt_id) from raw_commits"),
+        "alias_customers": "select * from customer",
+    }
