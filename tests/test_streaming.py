@@ -1,0 +1,38 @@
+"""Streaming channel activity equals the batch mart on the same messages."""
+
+import datetime as dt
+import os
+
+from pyspark.sql import functions as F
+
+from tidewater.registry import warehouse
+from tidewater.streaming import MESSAGE_COLUMNS, run_channel_activity
+from tests.conftest import SF_SMALL
+
+
+def test_stream_matches_batch_counts(spark, tmp):
+    w = warehouse(spark, SF_SMALL)
+    raw = w.raw("slack.messages").select(*MESSAGE_COLUMNS)
+    # Land the messages as JSON pages, one page file per day in arrival order.
+    src = os.path.join(tmp, "landing")
+    day = F.to_date(F.timestamp_seconds(F.col("ts").cast("double")))
+    days = sorted(r.d for r in raw.select(day.alias("d")).distinct().collect())
+    for i, d in enumerate(days):
+        raw.where(day == F.lit(d)).coalesce(1).write.json(os.path.join(src, f"page={i:04d}"))
+    sink = os.path.join(tmp, "out")
+    run_channel_activity(spark, src, sink, checkpoint=os.path.join(tmp, "ckpt"),
+                         max_files_per_trigger=1, multiline=False)
+    got = spark.read.parquet(sink)
+    batch = w.ref("slack_channel_activity")
+    # A day's window closes once event time has passed its end plus the
+    # 1-day watermark: every day up to two days before the last is final.
+    cutoff = days[-1] - dt.timedelta(days=1)
+    key = ("channel_id", "activity_date")
+    vals = ("message_count", "thread_replies", "threads_started", "messages_with_reactions")
+    exp = {tuple(r[k] for k in key): tuple(r[v] for v in vals)
+           for r in batch.where(F.col("activity_date") < F.lit(cutoff)).collect()}
+    out = {tuple(r[k] for k in key): tuple(r[v] for v in vals) for r in got.collect()}
+    assert exp and {k: v for k, v in out.items() if k[1] < cutoff} == exp
+    # what was emitted for later days is never wrong either
+    full = {tuple(r[k] for k in key): tuple(r[v] for v in vals) for r in batch.collect()}
+    assert all(full[k] == v for k, v in out.items())

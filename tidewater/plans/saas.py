@@ -227,9 +227,8 @@ def message_flags(df: DataFrame) -> DataFrame:
     )
 
 
-@model("stg_slack_messages")
-def stg_slack_messages(w: Warehouse) -> DataFrame:
-    src = w.raw("slack.messages")
+def stage_messages(src: DataFrame) -> DataFrame:
+    """Raw message records -> staged messages with flags (batch and streaming)."""
     cast = src.select(
         epoch_to_ts(try_cast_double("ts")).alias("message_ts"),
         c("ts").alias("message_ts_raw"),
@@ -253,6 +252,11 @@ def stg_slack_messages(w: Warehouse) -> DataFrame:
     )
 
 
+@model("stg_slack_messages")
+def stg_slack_messages(w: Warehouse) -> DataFrame:
+    return stage_messages(w.raw("slack.messages"))
+
+
 @model("slack_channel_activity", layer="table")
 def slack_channel_activity(w: Warehouse) -> DataFrame:
     m = w.ref("stg_slack_messages").where(c("is_user_message") == F.lit(True))

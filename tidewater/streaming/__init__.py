@@ -1,0 +1,10 @@
+"""Structured Streaming variants of the incremental parts of the pipeline."""
+
+from tidewater.streaming.messages import (
+    MESSAGE_COLUMNS,
+    channel_daily_activity,
+    run_channel_activity,
+    stream_messages,
+)
+
+__all__ = ["MESSAGE_COLUMNS", "channel_daily_activity", "run_channel_activity", "stream_messages"]
