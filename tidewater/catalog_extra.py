@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidewater.metrics import Measure, MetricsView, SemanticModel, auto_metrics, densify
 from tidewater.ops import auto_stage, freshness_label, profile, table_counts
 from tidewater.quality import ModelChecks, oracle_sql as dq_oracle_sql, run_checks
-from tidewater.sources.adapters import RAW_TABLES, DriverTables
+from tidewater.sources.adapters import RAW_TABLES
 from tidewater.verify.oracle import with_blocks
 
 # --- metric views (fixed definitions) ----------------------------------------
@@ -142,55 +142,43 @@ STATUS_AS_OF = "2024-02-01 00:00:00"
 # -----------------------------------------------------------------------------
 
 
-def _w(spark, sf_dir):
-    from tidewater.registry import warehouse
+def q_metric_speeds_by_route_day(w) -> DataFrame:
+    return speeds_view(w).query(dimensions=["route_id"], grain="day")
 
-    return warehouse(spark, sf_dir)
 
+def q_metric_route_grades_by_month(w):
+    return route_view(w).query(dimensions=["reliability_grade"], grain="month")
 
-def q_metric_speeds_by_route_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return speeds_view(_w(spark, sf_dir)).query(dimensions=["route_id"], grain="day")
 
+def q_metric_corridor_by_week(w):
+    return corridor_view(w).query(dimensions=["corridor_street"], grain="week")
 
-def q_metric_route_grades_by_month(spark, sf_dir):
-    return route_view(_w(spark, sf_dir)).query(dimensions=["reliability_grade"], grain="month")
 
+def q_metric_traffic_last_3_months(w):
+    return traffic_view(w).query(dimensions=["time_period"], grain="month", time_range="P3M")
 
-def q_metric_corridor_by_week(spark, sf_dir):
-    return corridor_view(_w(spark, sf_dir)).query(dimensions=["corridor_street"], grain="week")
 
-
-def q_metric_traffic_last_3_months(spark, sf_dir):
-    return traffic_view(_w(spark, sf_dir)).query(dimensions=["time_period"], grain="month", time_range="P3M")
-
-
-def q_metric_avg_speed_densified(spark, sf_dir):
-    w = _w(spark, sf_dir)
+def q_metric_avg_speed_densified(w):
     return densify(speeds_semantic(w).metric("avg_bus_speed", grain="day"), w.ref("metricflow_time_spine"))
 
 
-def q_auto_metrics_segment_speeds(spark, sf_dir):
-    view = auto_metrics(_w(spark, sf_dir).ref("fct_bus_segment_speeds"))
-    return view.query(dimensions=[], grain="month")
+def q_auto_metrics_segment_speeds(w):
+    return auto_metrics(w.ref("fct_bus_segment_speeds")).query(dimensions=[], grain="month")
 
 
-def q_dq_transit(spark, sf_dir):
-    w = _w(spark, sf_dir)
+def q_dq_transit(w):
     return run_checks(w.ref, TRANSIT_CHECKS)
 
 
-def q_dq_saas(spark, sf_dir):
-    w = _w(spark, sf_dir)
+def q_dq_saas(w):
     return run_checks(w.ref, SAAS_CHECKS)
 
 
-def q_raw_table_counts(spark, sf_dir):
-    w = _w(spark, sf_dir)
+def q_raw_table_counts(w):
     return table_counts({name: (lambda n=name: w.raw(n)) for name in RAW_TABLES})
 
 
-def q_source_status(spark, sf_dir):
-    w = _w(spark, sf_dir)
+def q_source_status(w):
     parts = []
     for src, (tables, model, ts) in SOURCES.items():
         for t in tables:
@@ -209,34 +197,48 @@ def q_source_status(spark, sf_dir):
                       label.alias("freshness"), colour.alias("freshness_color"))
 
 
-def q_profile_orders(spark, sf_dir):
-    return profile(DriverTables(spark, sf_dir)("orders"))
+def q_profile_orders(w):
+    return profile(w.raw.tables("orders"))
+
+
+def q_auto_stage_commits(w):
+    return auto_stage(w.raw("github.commits"))
+
 
+def q_alias_customers(w):
+    return w.raw.tables("customer")
 
-def q_auto_stage_commits(spark, sf_dir):
-    return auto_stage(_w(spark, sf_dir).raw("github.commits"))
 
+# Queries over a built warehouse (the bench runs them after the build).
+WAREHOUSE_QUERIES = {
+    "metric_speeds_by_route_day": q_metric_speeds_by_route_day,
+    "metric_route_grades_by_month": q_metric_route_grades_by_month,
+    "metric_corridor_by_week": q_metric_corridor_by_week,
+    "metric_traffic_last_3_months": q_metric_traffic_last_3_months,
+    "metric_avg_speed_densified": q_metric_avg_speed_densified,
+    "auto_metrics_segment_speeds": q_auto_metrics_segment_speeds,
+    "dq_transit": q_dq_transit,
+    "dq_saas": q_dq_saas,
+    "raw_table_counts": q_raw_table_counts,
+    "source_status": q_source_status,
+    "profile_orders": q_profile_orders,
+    "auto_stage_commits": q_auto_stage_commits,
+    "alias_customers": q_alias_customers,
+}
+
+
+def _bind(fn):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from tidewater.registry import warehouse
 
-def q_alias_customers(spark, sf_dir):
-    return DriverTables(spark, sf_dir)("customer")
+        return fn(warehouse(spark, sf_dir))
+
+    run.__name__ = fn.__name__
+    return run
 
 
 def queries() -> dict:
-    return {
-        "metric_speeds_by_route_day": q_metric_speeds_by_route_day,
-        "metric_route_grades_by_month": q_metric_route_grades_by_month,
-        "metric_corridor_by_week": q_metric_corridor_by_week,
-        "metric_traffic_last_3_months": q_metric_traffic_last_3_months,
-        "metric_avg_speed_densified": q_metric_avg_speed_densified,
-        "auto_metrics_segment_speeds": q_auto_metrics_segment_speeds,
-        "dq_transit": q_dq_transit,
-        "dq_saas": q_dq_saas,
-        "raw_table_counts": q_raw_table_counts,
-        "source_status": q_source_status,
-        "profile_orders": q_profile_orders,
-        "auto_stage_commits": q_auto_stage_commits,
-        "alias_customers": q_alias_customers,
-    }
+    return {name: _bind(fn) for name, fn in WAREHOUSE_QUERIES.items()}
 
 
 # ------------------------------------------------------------------ oracles
