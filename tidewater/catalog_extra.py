@@ -124,7 +124,8 @@ SAAS_CHECKS = [
 
 # --- sources and their freshness column ----------------------------------------
 SOURCES = {
-    "mta_bus_speeds": (["bus_segment_speeds_2025"], "stg_bus_segment_speeds", "timestamp"),
+    "mta_bus_speeds": (["bus_segment_speeds_2025", "bus_segment_speeds_2023_2024"], "stg_bus_segment_speeds",
+                       "timestamp"),
     "mta": (["gtfs_routes", "gtfs_stops"], None, None),
     "nyc_dot": (["bus_lanes", "traffic_volume_counts"], None, None),
     "github": (["github.commits", "github.issues", "github.pull_requests"], "stg_github_commits", "committed_at"),
@@ -132,7 +133,8 @@ SOURCES = {
     "notion": (["notion.pages", "notion.databases", "notion.users"], "stg_notion_pages", "last_edited_time"),
 }
 RAW_BLOCK = {
-    "bus_segment_speeds_2025": "raw_speeds", "gtfs_routes": "raw_routes", "gtfs_stops": "raw_stops",
+    "bus_segment_speeds_2025": "raw_speeds", "bus_segment_speeds_2023_2024": "raw_speeds_2023_2024",
+    "gtfs_routes": "raw_routes", "gtfs_stops": "raw_stops",
     "bus_lanes": "raw_lanes", "traffic_volume_counts": "raw_traffic", "github.commits": "raw_commits",
     "github.issues": "raw_issues", "github.pull_requests": "raw_pulls", "slack.messages": "raw_messages",
     "slack.channels": "raw_channels", "slack.users": "raw_slack_users", "notion.pages": "raw_pages",

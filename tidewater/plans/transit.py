@@ -26,28 +26,36 @@ from tidewater.operators import (
 from tidewater.plans.calendar import CALENDAR_ROWS
 from tidewater.plans.core import Warehouse, model
 from tidewater.session import checkpoint_dir
+from tidewater.sources.files import stack
 
 c = F.col
 
 # ----------------------------------------------------------------- staging
 
 
-@model("stg_bus_segment_speeds")
-def stg_bus_segment_speeds(w: Warehouse) -> DataFrame:
-    src = w.raw("bus_segment_speeds_2025")
+def _text_or_null(src: DataFrame, name: str):
+    """A column some feed layouts do not deliver: NULL text when absent."""
+    return c(name) if name in src.columns else F.lit(None).cast("string").alias(name)
+
+
+def stage_speeds(src: DataFrame, data_source: str) -> DataFrame:
+    """Raw segment speeds (all text) -> typed rows with the segment key."""
     seg = F.concat(c("timepoint_stop_id"), F.lit("-"), c("next_timepoint_stop_id"))
-    staged = src.select(
+    opt = {n: _text_or_null(src, n) for n in (
+        "timepoint_stop_latitude", "timepoint_stop_longitude",
+        "next_timepoint_stop_latitude", "next_timepoint_stop_longitude")}
+    return src.select(
         surrogate_key("route_id", seg, "year", "month", "day_of_week", "hour_of_day").alias("segment_speed_id"),
         "route_id",
         seg.alias("segment_id"),
         "timepoint_stop_id",
         c("timepoint_stop_name").alias("segment_start"),
-        "timepoint_stop_latitude",
-        "timepoint_stop_longitude",
+        opt["timepoint_stop_latitude"],
+        opt["timepoint_stop_longitude"],
         "next_timepoint_stop_id",
         c("next_timepoint_stop_name").alias("segment_end"),
-        "next_timepoint_stop_latitude",
-        "next_timepoint_stop_longitude",
+        opt["next_timepoint_stop_latitude"],
+        opt["next_timepoint_stop_longitude"],
         "direction",
         "borough",
         "route_type",
@@ -61,13 +69,35 @@ def stg_bus_segment_speeds(w: Warehouse) -> DataFrame:
         try_cast_double("average_road_speed").alias("avg_speed_mph"),
         try_cast_int("bus_trip_count").alias("trip_count"),
         "timestamp",
-        F.lit("2025").alias("data_source"),
+        F.lit(data_source).alias("data_source"),
         "_dlt_id",
     )
+
+
+def latest_per_key(staged: DataFrame) -> DataFrame:
     latest = dedup_latest(staged, ["segment_speed_id"], [c("timestamp").desc_nulls_last(), c("_dlt_id").asc()])
     return latest.drop("_dlt_id")
 
 
+@model("stg_bus_segment_speeds")
+def stg_bus_segment_speeds(w: Warehouse) -> DataFrame:
+    return latest_per_key(stage_speeds(w.raw("bus_segment_speeds_2025"), "2025"))
+
+
+@model("stg_bus_segment_speeds_all_years")
+def stg_bus_segment_speeds_all_years(w: Warehouse) -> DataFrame:
+    """The 2023-2024 dataset stacked onto 2025 (SET-2), then one row per key.
+
+    The union keeps every row of both datasets; the latest observation per
+    segment key wins across datasets.
+    """
+    stacked = stack(
+        stage_speeds(w.raw("bus_segment_speeds_2025"), "2025"),
+        stage_speeds(w.raw("bus_segment_speeds_2023_2024"), "2023-2024"),
+    )
+    return latest_per_key(stacked)
+
+
 @model("stg_bus_routes")
 def stg_bus_routes(w: Warehouse) -> DataFrame:
     src = w.raw("gtfs_routes").where(c("route_id").isNotNull())

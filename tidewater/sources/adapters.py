@@ -111,6 +111,19 @@ def bus_segment_speeds(t: DriverTables) -> DataFrame:
     )
 
 
+def bus_segment_speeds_2023_2024(t: DriverTables) -> DataFrame:
+    """The earlier dataset: the same feed shape, observations two years back
+    (years 2023 / 2024 by order parity), delivered with a second feed layout
+    (no stop coordinates)."""
+    cur = bus_segment_speeds(t)
+    li_year = F.lit(2023) + F.split(F.col("_dlt_id"), "-").getItem(0).cast("long") % 2
+    return cur.select(
+        *[F.col(x) for x in cur.columns if x not in ("year", "timestamp") and not x.endswith(("latitude", "longitude"))],
+        li_year.cast("string").alias("year"),
+        (F.col("timestamp") - F.make_ym_interval(F.lit(2), F.lit(0))).alias("timestamp"),
+    )
+
+
 def gtfs_routes(t: DriverTables) -> DataFrame:
     base = t("lineitem").select((F.col("l_suppkey") % 60).alias("k")).distinct()
     rid = route_id_expr(F.col("k"))
@@ -373,6 +386,7 @@ def notion_users(t: DriverTables) -> DataFrame:
 
 RAW_TABLES = {
     "bus_segment_speeds_2025": bus_segment_speeds,
+    "bus_segment_speeds_2023_2024": bus_segment_speeds_2023_2024,
     "gtfs_routes": gtfs_routes,
     "gtfs_stops": gtfs_stops,
     "bus_lanes": bus_lanes,
