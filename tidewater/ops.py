@@ -163,3 +163,15 @@ def diff_tables(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.lit(",".join(sorted(set(a.columns) - set(b.columns)))).alias("columns_only_in_a"),
         F.lit(",".join(sorted(set(b.columns) - set(a.columns)))).alias("columns_only_in_b"),
     )
+
+
+def register_views(w, names: Sequence[str]) -> None:
+    """Expose models as temp views for ad-hoc SQL (OPS-6, MET-7)."""
+    for n in names:
+        w.ref(n).createOrReplaceTempView(n)
+
+
+def sql(w, text: str, models: Sequence[str] = ()) -> DataFrame:
+    """Ad-hoc read-only SQL over the named models (OPS-6)."""
+    register_views(w, models)
+    return w.spark.sql(text)
