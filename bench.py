@@ -5,9 +5,9 @@ build.  This bench does the same: every model is built in dependency order;
 "table" models (dimensions, facts, marts, reports) are computed and written
 as Parquet, "view" models only defined (they run inside the tables reading
 them), like a dbt build.  Three views that feed several tables are
-materialised once too.  The build runs three times in one session: cold
-(first in a fresh JVM: JIT and code generation), warm one model at a time
-(the per-model seconds in ``queries``), and warm with independent models
+materialised once too.  The build runs twice in one session: cold, one model
+at a time (first build in a fresh JVM, JIT and code generation included;
+its per-model seconds are ``queries``), then warm with independent models
 built concurrently from ``$BENCH_THREADS`` threads (``value``).  Operator-level queries (metric
 layer, checks, profiling) then run over the built tables to a ``noop``
 sink, and the flagship report is timed once straight from raw Parquet.
@@ -102,10 +102,9 @@ def main() -> None:
         return round(time.time() - t_all, 3), times, w
 
     warehouse_dir(spark)  # resolve the shared folders once, before any thread
-    # Cold: the first build in a fresh JVM (JIT + code generation included).
-    cold_sec, _, _ = build(sf_dir, 1)
-    # Warm, one model at a time: per-model latencies.
-    seq_sec, times, _ = build(sf_dir, 1)
+    # Cold, one model at a time (first build in a fresh JVM: JIT and code
+    # generation included): the per-model seconds.
+    cold_sec, times, _ = build(sf_dir, 1)
     # Warm, independent models built concurrently (the reported value).
     dag_sec, _, built = build(sf_dir, threads)
 
@@ -133,7 +132,6 @@ def main() -> None:
         "queries": {**times, **{f"op:{k}": v for k, v in extra.items()}},
         "sf": sf,
         "dag_build_cold_sec": cold_sec,
-        "dag_build_warm_sequential_sec": seq_sec,
         "build_threads": threads,
         "extra_queries_sec": extra_sec,
         "flagship_from_raw_sec": flagship_cold,

@@ -21,7 +21,10 @@ def test_no_nested_loop_or_cartesian(spark, name):
 def test_scan_reads_only_needed_columns(spark):
     plan = _plan(warehouse(spark, SF_SMALL).ref("stg_bus_routes"))
     scan = [line for line in plan.splitlines() if "FileScan parquet" in line][0]
-    assert "l_suppkey" in scan and "l_extendedprice" not in scan and "l_shipdate" not in scan
+    assert "s_suppkey" in scan and "s_acctbal" not in scan and "s_name" not in scan
+    plan = _plan(warehouse(spark, SF_SMALL).ref("stg_bus_segment_speeds"))
+    scan = [line for line in plan.splitlines() if "FileScan parquet" in line][0]
+    assert "l_shipdate" in scan and "l_extendedprice" not in scan and "l_tax" not in scan
 
 
 def test_staging_filters_reach_the_scan(spark):
