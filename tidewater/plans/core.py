@@ -16,6 +16,7 @@ jobs of independent branches share the cores instead of queueing.
 from __future__ import annotations
 
 import threading
+import time
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -52,6 +53,7 @@ class Warehouse:
         self._errors: dict[str, BaseException] = {}
         self._pending: dict[str, threading.Event] = {}
         self._lock = threading.Lock()
+        self.timings: dict[str, tuple[float, float]] = {}  # name -> (start, end) wall clock
 
     def ref(self, name: str) -> DataFrame:
         """The model's DataFrame; built (and materialised) once per warehouse."""
@@ -70,6 +72,7 @@ class Warehouse:
                 if name in self._errors:
                     raise self._errors[name]
                 return self._cache[name]
+        start = time.time()
         try:
             df = MODELS[name](self)
             if name in self.materialize:
@@ -78,6 +81,7 @@ class Warehouse:
                 df = materialize_table(self.spark, df, name, self.partition_by.get(name))
             with self._lock:
                 self._cache[name] = df
+                self.timings[name] = (start, time.time())
             return df
         except BaseException as e:
             with self._lock:
