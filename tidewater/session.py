@@ -35,6 +35,10 @@ PLAN_CONF = {
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # PySpark otherwise makes ~5 extra JVM round trips per API call to record
+    # the Python call site for error messages; plans are built from many
+    # small calls, so this is most of the driver-side planning time.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
