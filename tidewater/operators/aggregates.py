@@ -71,7 +71,10 @@ def distribution_stats(
     ``extra`` aggregates are computed in the same pass.
 
     ``percentile`` is exact (same as ``percentile_cont``) and merges
-    partial value-count maps, so it is combined map-side.
+    partial value-count maps, so it is combined map-side.  A group's map
+    holds one entry per *distinct* value, so pass an aggregated grain: the
+    reports call it on route x day rows, whose count is bounded by routes x
+    calendar days however many raw observations feed them.
     """
     names = list(quantiles)
     qs = [float(quantiles[n]) for n in names]
