@@ -11,8 +11,12 @@ exploded into their n-grams; candidates come from an equi-join on the gram
 and are verified with LIKE.  Exact (no candidate cap), and the work is
 proportional to the true candidate set, not to |texts| x |patterns|.
 Patterns made only of wildcards (or empty) match every text at least as
-long as their ``_`` count; they block on the length, again an equi-join
-(k = 0 below).
+long as their ``_`` count.  They take a separate path: each such pattern
+lists the lengths from its ``_`` count up to the longest text of the other
+side (an equi-join on the side with the per-side maximum), and meets the
+texts on their exact length -- again an equi-join.  Texts carry one length
+key each, so no text is exploded by its length; the branch is planned only
+when such a pattern exists (one filtered pass answers that).
 
 Both directions of a symmetric containment test ("a in b or b in a") run
 in one pass: every string is a text and a pattern at once, tagged with its
@@ -38,24 +42,17 @@ def _grams(text_col: Column, k: int) -> Column:
 
 
 def _text_keys(lt: Column) -> Column:
-    """All (k, gram) keys a text offers: its 1..3-grams and its lengths 0..len."""
-    parts = [_grams(lt, k) for k in range(1, MAX_GRAM + 1)]
-    lengths = F.transform(
-        F.sequence(F.lit(0), F.length(lt)),
-        lambda i: F.struct(F.lit(0).alias("k"), i.cast("string").alias("gram")),
-    )
-    return F.concat(*parts, lengths)
+    """All (k, gram) keys a text offers: its distinct 1..3-grams."""
+    return F.concat(*[_grams(lt, k) for k in range(1, MAX_GRAM + 1)])
 
 
 def _pattern_keys(lp: Column) -> Column:
-    """Candidate blocks of a pattern: literal grams, or its length need if wildcard-only."""
-    parts = [F.filter(_grams(lp, k), lambda s: ~s["gram"].rlike(_WILD)) for k in range(1, MAX_GRAM + 1)]
-    need = F.length(F.regexp_replace(lp, "[^_]", "")).cast("string")
-    wild_only = ~lp.rlike("[^_%]")
-    length_block = F.when(wild_only, F.array(F.struct(F.lit(0).alias("k"), need.alias("gram")))).otherwise(
-        F.array().cast("array<struct<k:int,gram:string>>")
-    )
-    return F.concat(*parts, length_block)
+    """Candidate blocks of a pattern: its literal (wildcard-free) grams."""
+    return F.concat(*[F.filter(_grams(lp, k), lambda s: ~s["gram"].rlike(_WILD)) for k in range(1, MAX_GRAM + 1)])
+
+
+def _wild_only(lp: Column) -> Column:
+    return ~lp.rlike("[^_%]")
 
 
 def _like_contains(lt: Column, lp: Column) -> Column:
@@ -89,17 +86,40 @@ def tagged_containment(strings: DataFrame) -> DataFrame:
     scored = pat_keys.join(freq, ["tside", "k", "gram"], "left").withColumn(
         "freq", F.coalesce(F.col("freq"), F.lit(0))
     )
-    # Longest literal n first (k = 0, the length block, only exists alone), then rarest.
-    order = F.struct((F.col("k") == 0).alias("z"), (-F.col("k")).alias("nk"), "freq", "gram")
+    # Longest literal n first, then rarest.
+    order = F.struct((-F.col("k")).alias("nk"), "freq", "gram")
     block = scored.groupBy("pattern", "tside", "lp").agg(
         F.min_by(F.struct("k", "gram"), order).alias("b")
     ).select("pattern", "tside", "lp", F.col("b.k").alias("k"), F.col("b.gram").alias("gram"))
+    cand = block.join(text_keys, ["tside", "k", "gram"], "inner").select("text", "tside", "lt", "pattern", "lp")
 
-    cand = block.join(text_keys, ["tside", "k", "gram"], "inner")
     hit = cand.where(_like_contains(F.col("lt"), F.col("lp")))
+    # Wildcard-only patterns: every text of the other side with length >= need.
+    # Rare in practice; one filtered pass checks for them (a boolean comes
+    # back), and only then is their branch planned.
+    wild = s.where(_wild_only(F.col("lv"))).select(
+        F.col("value").alias("pattern"), (F.lit(1) - F.col("side")).alias("tside"), F.col("lv").alias("lp"),
+        F.length(F.regexp_replace("lv", "[^_]", "")).alias("need"),
+    )
+    if not wild.isEmpty():
+        hit = hit.unionByName(_wild_candidates(s, wild).where(_like_contains(F.col("lt"), F.col("lp"))))
     return hit.select("text", F.col("tside").alias("text_side"), "pattern").distinct()
 
 
+def _wild_candidates(s: DataFrame, wild: DataFrame) -> DataFrame:
+    """(text, tside, lt, pattern, lp) for wildcard-only patterns: texts of the
+    other side whose length is at least the pattern's ``_`` count."""
+    text_len = s.select(
+        F.col("value").alias("text"), F.col("side").alias("tside"), F.col("lv").alias("lt"),
+        F.length("lv").alias("len"),
+    )
+    longest = text_len.groupBy("tside").agg(F.max("len").alias("max_len"))
+    wild_lengths = wild.join(longest, "tside", "inner").where(F.col("need") <= F.col("max_len")).select(
+        "pattern", "tside", "lp", F.explode(F.sequence(F.col("need"), F.col("max_len"))).alias("len")
+    )
+    return wild_lengths.join(text_len, ["tside", "len"], "inner").select("text", "tside", "lt", "pattern", "lp")
+
+
 def containment_pairs(texts: DataFrame, text_col: str, patterns: DataFrame, pattern_col: str) -> DataFrame:
     """All distinct ``(text, pattern)`` where the text contains the pattern."""
     tagged = texts.select(F.col(text_col).alias("value"), F.lit(0).alias("side")).unionByName(
