@@ -15,8 +15,8 @@ long as their ``_`` count.  They take a separate path: each such pattern
 lists the lengths from its ``_`` count up to the longest text of the other
 side (an equi-join on the side with the per-side maximum), and meets the
 texts on their exact length -- again an equi-join.  Texts carry one length
-key each, so no text is exploded by its length; the branch is planned only
-when such a pattern exists (one filtered pass answers that).
+key each, so no text is exploded by its length.  Without such patterns the
+branch's stages are tiny and run beside the main ones (no extra job).
 
 Both directions of a symmetric containment test ("a in b or b in a") run
 in one pass: every string is a text and a pattern at once, tagged with its
@@ -95,14 +95,11 @@ def tagged_containment(strings: DataFrame) -> DataFrame:
 
     hit = cand.where(_like_contains(F.col("lt"), F.col("lp")))
     # Wildcard-only patterns: every text of the other side with length >= need.
-    # Rare in practice; one filtered pass checks for them (a boolean comes
-    # back), and only then is their branch planned.
     wild = s.where(_wild_only(F.col("lv"))).select(
         F.col("value").alias("pattern"), (F.lit(1) - F.col("side")).alias("tside"), F.col("lv").alias("lp"),
         F.length(F.regexp_replace("lv", "[^_]", "")).alias("need"),
     )
-    if not wild.isEmpty():
-        hit = hit.unionByName(_wild_candidates(s, wild).where(_like_contains(F.col("lt"), F.col("lp"))))
+    hit = hit.unionByName(_wild_candidates(s, wild).where(_like_contains(F.col("lt"), F.col("lp"))))
     return hit.select("text", F.col("tside").alias("text_side"), "pattern").distinct()
 
 
