@@ -37,3 +37,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+SHARE_STEPS = 1 << 30
+
+
+def chance(*columns: Column) -> Column:
+    """A number below ``SHARE_STEPS`` drawn by a hash of the columns."""
+    return F.pmod(F.xxhash64(*columns, F.lit(17)), F.lit(SHARE_STEPS))
+
+
+def share_of(column: Column, shares: dict) -> Column:
+    """Rows to keep so that each value of ``column`` keeps its share (0 to 1)."""
+    steps = F.lit(0)
+    for value, share in shares.items():
+        steps = F.when(column == F.lit(value), F.lit(int(share * SHARE_STEPS))).otherwise(steps)
+    return F.col("h") < steps
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bounds: dict, bytes_bound: int,
+                    key: str = "doc_id", text: str = "text") -> tuple[list, dict]:
+    """A bounded sample of labelled texts: rows ``(text, label, h)`` and the share drawn of each label.
+
+    ``bounds`` maps each label value to its expected number of rows; the text
+    of one label is held to ``bytes_bound`` in expectation.  Keys are drawn by
+    their hash from the labels alone, so only drawn texts leave the scan (the
+    drawn keys are few by ``bounds`` and broadcast).  Equal rows count once.
+    """
+    known = labels.select(F.col(key).alias("key"), F.col(label).alias("label"), chance(F.col(key)).alias("h"))
+    known = known.filter(F.col("label").isin(*bounds) & F.col("key").isNotNull())
+    counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    shares = {v: min(1.0, bounds[v] / n) for v, n in counts.items()}
+    drawn = known.filter(share_of(F.col("label"), shares)).distinct()
+    texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    found = written(texts.join(F.broadcast(drawn), "key").dropDuplicates(["key", "text", "label"]), "sample")
+    sizes = found.groupBy("label").agg(F.sum(F.octet_length("text")).alias("b")).collect()
+    shares = {r.label: shares[r.label] * min(1.0, bytes_bound / max(1, r.b)) for r in sizes}
+    return found.filter(share_of(F.col("label"), shares)).orderBy("h", "key", "text").select("text", "label", "h").collect(), shares

@@ -6,12 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import simhash, tokenbin
-from tidewater.llm.common import shared_folder, table
+from pyspark.sql import functions as F
+
+from tidewater.llm import simhash, tokenbin, toxicity
+from tidewater.llm.common import fold, shared_folder, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.filter(fold(F.col("doc_id"), 4) != 2))
+    scored = toxicity.score(docs, model, F.col("doc_id"))
+    return scored.select(
+        "doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_folder(spark, "tokens")
     tokenbin.write_token_files(table(spark, sf_dir, "documents"), out, TOKENIZER, end_id=0)
@@ -23,6 +34,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_toxicity": op4_toxicity,
     "op7_token_files": op7_token_files,
     "op8_simhash": op8_simhash,
 }
