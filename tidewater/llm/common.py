@@ -38,6 +38,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
+def byte_runs(texts: list[bytes], lead: int, limit: int = 1 << 20):
+    """Cut texts into runs of about ``limit`` bytes for array work.
+
+    Yields ``(owners, parts)``: parts of texts and the text each belongs to.
+    A long text becomes several parts, each led by the ``lead`` bytes before
+    it; a text's first part is led by ``lead`` spaces.
+    """
+    owners, parts, size = [], [], 0
+    for i, t in enumerate(texts):
+        for at in range(0, max(1, len(t)), limit):
+            before = t[max(0, at - lead) : at]
+            part = b" " * (lead - len(before)) + before + t[at : at + limit]
+            owners.append(i)
+            parts.append(part)
+            size += len(part)
+            if size >= limit:
+                yield owners, parts
+                owners, parts, size = [], [], 0
+    if parts:
+        yield owners, parts
+
+
 SHARE_STEPS = 1 << 30
 
 
@@ -54,19 +76,20 @@ def share_of(column: Column, shares: dict) -> Column:
     return F.col("h") < steps
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bounds: dict, bytes_bound: int,
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bounds: dict | int, bytes_bound: int,
                     key: str = "doc_id", text: str = "text") -> tuple[list, dict]:
     """A bounded sample of labelled texts: rows ``(text, label, h)`` and the share drawn of each label.
 
-    ``bounds`` maps each label value to its expected number of rows; the text
-    of one label is held to ``bytes_bound`` in expectation.  Keys are drawn by
+    ``bounds`` maps each label value to its expected number of rows, or is that
+    number for every non-null label; the text of one label is held to ``bytes_bound`` in expectation.  Keys are drawn by
     their hash from the labels alone, so only drawn texts leave the scan (the
     drawn keys are few by ``bounds`` and broadcast).  Equal rows count once.
     """
     known = labels.select(F.col(key).alias("key"), F.col(label).alias("label"), chance(F.col(key)).alias("h"))
-    known = known.filter(F.col("label").isin(*bounds) & F.col("key").isNotNull())
+    wanted = F.col("label").isin(*bounds) if isinstance(bounds, dict) else F.col("label").isNotNull()
+    known = known.filter(wanted & F.col("key").isNotNull())
     counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    shares = {v: min(1.0, bounds[v] / n) for v, n in counts.items()}
+    shares = {v: min(1.0, (bounds[v] if isinstance(bounds, dict) else bounds) / n) for v, n in counts.items()}
     drawn = known.filter(share_of(F.col("label"), shares)).distinct()
     texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = written(texts.join(F.broadcast(drawn), "key").dropDuplicates(["key", "text", "label"]), "sample")

@@ -8,12 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidewater.llm import simhash, tokenbin, toxicity
+from tidewater.llm import langid, quality, simhash, tokenbin, toxicity
 from tidewater.llm.common import fold, shared_folder, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    samples = langid.train(docs.filter(fold(F.col("doc_id"), 4) != 2))
+    found = langid.identify(docs, samples, F.col("doc_id"))
+    return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.filter(fold(F.col("doc_id"), 3) != 1))
+    scored = quality.score(docs, model, F.col("doc_id"))
+    return scored.select(
+        "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.filter(fold(F.col("doc_id"), 4) != 2))
@@ -34,6 +50,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
+    "op2_quality": op2_quality,
     "op4_toxicity": op4_toxicity,
     "op7_token_files": op7_token_files,
     "op8_simhash": op8_simhash,
