@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidewater.llm import langid, quality, simhash, tokenbin, toxicity
+from tidewater.llm import decontam, langid, mixing, quality, quotes, simhash, tokenbin, topk, toxicity
 from tidewater.llm.common import fold, shared_folder, table
 
 TOKENIZER = "byte_bpe_50k.json"
+#: Target weights of the mix; sources without one share the rest in proportion to their sizes.
+MIX_WEIGHTS = {"src0": 0.15, "src1": 0.10, "src2": 0.05}
+MIX_SEED = 7
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +42,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matched(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), F.col("doc_id"))
+
+
+def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, seed=MIX_SEED, copy="copy")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_folder(spark, "tokens")
     tokenbin.write_token_files(table(spark, sf_dir, "documents"), out, TOKENIZER, end_id=0)
@@ -49,12 +60,27 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, max_bits=3)
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_ordered(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_quality": op2_quality,
     "op4_toxicity": op4_toxicity,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_mix": op6_mix,
     "op7_token_files": op7_token_files,
     "op8_simhash": op8_simhash,
+    "op9_topk": op9_topk,
+    "op10_chat": op10_chat,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_mix": mixing.oracle(MIX_WEIGHTS, MIX_SEED),
+    "op9_topk": topk.oracle(),
+}
