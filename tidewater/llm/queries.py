@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidewater.llm import decontam, langid, mixing, quality, quotes, simhash, tokenbin, topk, toxicity
+from tidewater.llm import decontam, hpy, langid, mixing, quality, quotes, simhash, tokenbin, topk, toxicity
 from tidewater.llm.common import fold, shared_folder, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -33,6 +33,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpy.score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 10) == 0)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.filter(fold(F.col("doc_id"), 4) != 2))
@@ -71,6 +75,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_quality": op2_quality,
+    "op3_lm_score": op3_lm_score,
     "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,
     "op6_mix": op6_mix,
