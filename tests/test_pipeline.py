@@ -17,7 +17,7 @@ def test_run_all_lands_builds_and_checks(spark, tmp):
     sources = {}
     for table, src in source_of.items():
         sources.setdefault(src, []).append(table)
-    readers = {src: (lambda s, cap, tabs=tabs: {t: driver(t) for t in tabs}) for src, tabs in sources.items()}
+    readers = {src: (lambda s, tabs=tabs: {t: driver(t) for t in tabs}) for src, tabs in sources.items()}
     checks = [c for c in TRANSIT_CHECKS if c.model in {"stg_bus_segment_speeds", "dim_bus_routes",
                                                           "fct_route_daily_performance"}]
     report = run_all(spark, tmp, readers, source_of,

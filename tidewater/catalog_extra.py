@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.metrics import Measure, MetricsView, SemanticModel, auto_metrics, densify
-from tidewater.ops import auto_stage, freshness_label, profile, table_counts
+from tidewater.ops import auto_stage, freshness_label, last_sync, profile, table_counts
 from tidewater.quality import ModelChecks, oracle_sql as dq_oracle_sql, run_checks
 from tidewater.sources.adapters import RAW_TABLES
 from tidewater.verify.oracle import with_blocks
@@ -32,9 +32,10 @@ def speeds_view(w) -> MetricsView:
 def corridor_view(w) -> MetricsView:
     return MetricsView(
         w.ref("fct_corridor_performance"), "metric_date", ["corridor_street", "has_bus_lane"],
-        [Measure("avg(corridor_avg_speed_mph)", "Avg Speed (mph)"),
-         Measure("avg(corridor_avg_speed_mph) filter (where has_bus_lane = true)", "Avg Speed With Bus Lane (mph)"),
-         Measure("avg(corridor_avg_speed_mph) filter (where has_bus_lane = false)",
+        [Measure("round(avg(corridor_avg_speed_mph), 5)", "Avg Speed (mph)"),
+         Measure("round(avg(corridor_avg_speed_mph) filter (where has_bus_lane = true), 5)",
+                 "Avg Speed With Bus Lane (mph)"),
+         Measure("round(avg(corridor_avg_speed_mph) filter (where has_bus_lane = false), 5)",
                  "Avg Speed Without Bus Lane (mph)"),
          Measure("count(*)", "Records")],
     )
@@ -44,7 +45,7 @@ def route_view(w) -> MetricsView:
     grades = [Measure(f"countif(reliability_grade = '{g}')", f"Grade {g} Count") for g in "ABCDF"]
     return MetricsView(
         w.ref("fct_route_daily_performance"), "metric_date", ["route_id", "reliability_grade"],
-        [Measure("avg(route_avg_speed_mph)", "Avg Speed (mph)"), Measure("count(*)", "Records"), *grades],
+        [Measure("round(avg(route_avg_speed_mph), 5)", "Avg Speed (mph)"), Measure("count(*)", "Records"), *grades],
     )
 
 
@@ -124,14 +125,22 @@ SAAS_CHECKS = [
 
 # --- sources and their freshness column ----------------------------------------
 SOURCES = {
-    "mta_bus_speeds": (["bus_segment_speeds_2025", "bus_segment_speeds_2023_2024"], "stg_bus_segment_speeds",
-                       "timestamp"),
-    "mta": (["gtfs_routes", "gtfs_stops"], None, None),
-    "nyc_dot": (["bus_lanes", "traffic_volume_counts"], None, None),
-    "github": (["github.commits", "github.issues", "github.pull_requests"], "stg_github_commits", "committed_at"),
-    "slack": (["slack.messages", "slack.channels", "slack.users"], "stg_slack_messages", "message_ts"),
-    "notion": (["notion.pages", "notion.databases", "notion.users"], "stg_notion_pages", "last_edited_time"),
+    "mta_bus_speeds": ["bus_segment_speeds_2025", "bus_segment_speeds_2023_2024"],
+    "mta": ["gtfs_routes", "gtfs_stops"],
+    "nyc_dot": ["bus_lanes", "traffic_volume_counts"],
+    "github": ["github.commits", "github.issues", "github.pull_requests"],
+    "slack": ["slack.messages", "slack.channels", "slack.users"],
+    "notion": ["notion.pages", "notion.databases", "notion.users"],
 }
+# The load audit of the driver tables: (source, status, inserted_at); status 0 is a finished load.
+LOADS = [
+    ("mta_bus_speeds", 0, "2024-01-31 23:30:00"), ("mta_bus_speeds", 0, "2024-01-30 08:00:00"), ("mta_bus_speeds", 1, "2024-01-31 23:59:00"),
+    ("mta", 0, "2024-01-31 12:10:00"), ("mta", 0, "2024-01-20 00:00:00"), ("mta", 1, "2024-01-31 13:00:00"),
+    ("nyc_dot", 0, "2024-01-28 06:00:00"), ("nyc_dot", 0, "2024-01-27 06:00:00"), ("nyc_dot", 1, "2024-01-29 06:00:00"),
+    ("github", 0, "2024-01-12 00:00:00"), ("github", 0, "2024-01-10 00:00:00"), ("github", 1, "2024-01-30 00:00:00"),
+    ("slack", 0, "2024-01-31 00:00:00"), ("slack", 0, "2024-01-30 00:00:00"), ("slack", 1, "2024-01-31 10:00:00"),
+    ("notion", 1, "2024-01-31 22:00:00"), ("notion", 1, "2024-01-30 22:00:00"), ("notion", 1, "2024-01-29 22:00:00"),
+]
 RAW_BLOCK = {
     "bus_segment_speeds_2025": "raw_speeds", "bus_segment_speeds_2023_2024": "raw_speeds_2023_2024",
     "gtfs_routes": "raw_routes", "gtfs_stops": "raw_stops",
@@ -181,19 +190,19 @@ def q_raw_table_counts(w):
 
 
 def q_source_status(w):
-    parts = []
-    for src, (tables, model, ts) in SOURCES.items():
-        for t in tables:
-            parts.append(w.raw(t).agg(F.count(F.lit(1)).alias("rows")).select(
-                F.lit(src).alias("source"), F.col("rows"), F.lit(None).cast("timestamp_ntz").alias("ts")))
-        if model:
-            parts.append(w.ref(model).agg(F.max(F.col(ts).cast("timestamp_ntz")).alias("ts")).select(
-                F.lit(src).alias("source"), F.lit(None).cast("long").alias("rows"), "ts"))
-    u = parts[0]
+    """Rows of every source's raw tables and its last finished load of the audit."""
+    parts = [
+        w.raw(t).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(src).alias("source"), "rows")
+        for src, tables in SOURCES.items() for t in tables
+    ]
+    counts = parts[0]
     for p in parts[1:]:
-        u = u.unionByName(p)
-    agg = u.groupBy("source").agg(
-        F.count("rows").alias("table_count"), F.sum("rows").alias("total_rows"), F.max("ts").alias("last_sync"))
+        counts = counts.unionByName(p)
+    counts = counts.groupBy("source").agg(F.count("rows").alias("table_count"), F.sum("rows").alias("total_rows"))
+    loads = w.spark.createDataFrame(LOADS, "schema_name string, status int, at string").select(
+        "schema_name", "status", F.col("at").cast("timestamp_ntz").alias("inserted_at"))
+    synced = last_sync(loads).withColumnRenamed("schema_name", "source")
+    agg = counts.join(synced, "source", "left")
     label, colour = freshness_label(F.col("last_sync"), F.lit(STATUS_AS_OF).cast("timestamp_ntz"))
     return agg.select("source", "table_count", "total_rows", "last_sync",
                       label.alias("freshness"), colour.alias("freshness_color"))
@@ -247,29 +256,22 @@ def queries() -> dict:
 
 
 def _profile_sql() -> str:
-    cols = [("o_orderkey", "bigint", False), ("o_custkey", "bigint", False), ("o_orderstatus", "string", False),
-            ("o_totalprice", "double", True), ("o_orderdate", "timestamp_ntz", False),
-            ("o_orderpriority", "string", False)]
+    cols = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
+            ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")]
     parts = []
-    for c, t, dbl in cols:
-        shown = f"cast({c} as decimal(38,6))" if dbl else c
+    for c, t in cols:
         parts.append(
             f"select '{c}' as column_name, '{t}' as data_type, count(*) filter (where {c} is null) as null_count, "
-            f"count(distinct {c}) as distinct_count, cast(min({shown}) as varchar) as min_value, "
-            f"cast(max({shown}) as varchar) as max_value from orders")
+            f"count(distinct {c}) as distinct_count, cast(min({c}) as varchar) as min_value, "
+            f"cast(max({c}) as varchar) as max_value from orders")
     return "\nunion all\n".join(parts)
 
 
 def _status_sql() -> str:
-    parts, deps = [], []
-    for src, (tables, model, ts) in SOURCES.items():
-        for t in tables:
-            parts.append(f"select '{src}' as source, count(*) as rows, cast(null as timestamp) as ts from {RAW_BLOCK[t]}")
-            deps.append(RAW_BLOCK[t])
-        if model:
-            parts.append(f"select '{src}', cast(null as bigint), max(cast({ts} as timestamp)) from {model}")
-            deps.append(model)
-    body = "\nunion all\n".join(parts)
+    rows = [f"select '{src}' as source, count(*) as n from {RAW_BLOCK[t]}" for src, tables in SOURCES.items() for t in tables]
+    deps = [RAW_BLOCK[t] for tables in SOURCES.values() for t in tables]
+    body = "\nunion all\n".join(rows)
+    audit = ", ".join(f"('{a}', {b}, timestamp '{c}')" for a, b, c in LOADS)
     age = f"(epoch(timestamp '{STATUS_AS_OF}') - epoch(last_sync))"
     final = f"""
 select source, table_count, total_rows, last_sync,
@@ -279,8 +281,9 @@ select source, table_count, total_rows, last_sync,
        else cast(floor({age} / 3600.0 / 24.0) as bigint)::varchar || 'd ago' end as freshness,
   case when last_sync is null then 'red' when {age} / 3600.0 < 24 then 'green'
        when {age} / 3600.0 < 168 then 'yellow' else 'red' end as freshness_color
-from (select source, count(rows) as table_count, cast(sum(rows) as bigint) as total_rows, max(ts) as last_sync
-      from ({body}) group by source)"""
+from (select r.source, count(*) as table_count, cast(sum(n) as bigint) as total_rows,
+        any_value((select max(a.loaded) from (values {audit}) a(source, status, loaded) where a.source = r.source and a.status = 0)) as last_sync
+      from ({body}) r group by r.source)"""
     return with_blocks(deps, final)
 
 
@@ -293,13 +296,13 @@ from fct_bus_segment_speeds group by all""")
         f"cast(count_if(reliability_grade = '{g}') as bigint) as grade_{g.lower()}_count" for g in "ABCDF")
     routes = with_blocks(["fct_route_daily_performance"], f"""
 select cast(date_trunc('month', metric_date) as date) as period, reliability_grade,
-  avg(route_avg_speed_mph) as avg_speed_mph, count(*) as records, {grades}
+  round(avg(route_avg_speed_mph), 5) as avg_speed_mph, count(*) as records, {grades}
 from fct_route_daily_performance group by all""")
     corridor = with_blocks(["fct_corridor_performance"], """
 select cast(date_trunc('week', metric_date) as date) as period, corridor_street,
-  avg(corridor_avg_speed_mph) as avg_speed_mph,
-  avg(corridor_avg_speed_mph) filter (where has_bus_lane = true) as avg_speed_with_bus_lane_mph,
-  avg(corridor_avg_speed_mph) filter (where has_bus_lane = false) as avg_speed_without_bus_lane_mph,
+  round(avg(corridor_avg_speed_mph), 5) as avg_speed_mph,
+  round(avg(corridor_avg_speed_mph) filter (where has_bus_lane = true), 5) as avg_speed_with_bus_lane_mph,
+  round(avg(corridor_avg_speed_mph) filter (where has_bus_lane = false), 5) as avg_speed_without_bus_lane_mph,
   count(*) as records
 from fct_corridor_performance group by all""")
     traffic = with_blocks(["fct_traffic_volume_patterns"], """

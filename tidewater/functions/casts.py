@@ -1,9 +1,10 @@
 """Safe casts (PRJ-3, FN-15, FN-35).
 
 ``try_cast(text AS INT)`` in the reference engine rounds numeric text
-('12.7' -> 13, '1e2' -> 100) while Spark returns NULL.  The rule used here
-parses as double, rounds half away from zero and range-checks before the
-integer cast, which gives the reference values and NULL on garbage.
+('12.7' -> 13, '1e2' -> 100) while Spark returns NULL.  Plain integers are
+cast as they are; other numeric text goes through a decimal wide enough for
+every bigint, is rounded half away from zero and range-checked, so no digit is
+lost and garbage is NULL.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
 
-_INT_MIN, _INT_MAX = -2147483648, 2147483647
-_LONG_LIMIT = 9.2e18  # inside the long range with room for rounding
+_INT = (-(1 << 31), (1 << 31) - 1)
+_LONG = (-(1 << 63), (1 << 63) - 1)
+# Wide enough for a bigint with ten decimals before rounding.
+_EXACT = "decimal(38,10)"
 
 
 def _col(c: ColumnOrName) -> Column:
@@ -25,20 +28,22 @@ def try_cast_double(c: ColumnOrName) -> Column:
     return _col(c).try_cast("double")
 
 
-def _rounded(c: ColumnOrName) -> Column:
-    return F.round(_col(c).try_cast("double"))
+def _whole(c: ColumnOrName, kind: str, bounds: tuple[int, int]) -> Column:
+    col = _col(c)
+    # text such as '1e2' is no decimal literal to try_cast in every engine: doubles are the last resort
+    exact = F.coalesce(col.try_cast(_EXACT), F.round(col.try_cast("double")).try_cast(_EXACT))
+    rounded = F.round(exact)
+    low, high = (F.lit(str(b)).cast("decimal(38,0)") for b in bounds)
+    fits = (rounded >= low) & (rounded <= high)
+    return F.coalesce(col.try_cast(kind), F.when(fits, rounded).cast(kind))
 
 
 def try_cast_int(c: ColumnOrName) -> Column:
-    d = _rounded(c)
-    ok = (d >= F.lit(float(_INT_MIN))) & (d <= F.lit(float(_INT_MAX)))
-    return F.when(ok, d.cast("int"))
+    return _whole(c, "int", _INT)
 
 
 def try_cast_long(c: ColumnOrName) -> Column:
-    d = _rounded(c)
-    ok = (d >= F.lit(-_LONG_LIMIT)) & (d <= F.lit(_LONG_LIMIT))
-    return F.when(ok, d.cast("long"))
+    return _whole(c, "bigint", _LONG)
 
 
 def text_ts(c: ColumnOrName) -> Column:

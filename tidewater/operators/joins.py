@@ -16,10 +16,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Largest static row bound we hint as broadcast (a 5-year calendar is 1,826).
-BROADCAST_ROW_LIMIT = 100_000
-
-
 def lookup_join(
     fact: DataFrame,
     dim: DataFrame,
@@ -32,7 +28,9 @@ def lookup_join(
     ``static_rows`` is the proven upper bound of ``dim``'s row count, when
     one exists; only then is the dimension hinted for broadcast.
     """
-    if static_rows is not None and static_rows <= BROADCAST_ROW_LIMIT:
+    if static_rows is not None:
+        if static_rows > 100_000:
+            raise ValueError(f"{static_rows} rows are too many for a broadcast; leave static_rows out")
         dim = F.broadcast(dim)
     return fact.join(dim, on=on, how=how)
 

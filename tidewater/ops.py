@@ -116,29 +116,34 @@ def freshness_label(last: Column, as_of: Column) -> tuple[Column, Column]:
 def profile(df: DataFrame) -> DataFrame:
     """Per column: type, nulls, exact distinct count, min, max (OPS-10).
 
-    One aggregation pass over the table produces a single wide row, which is
-    unpivoted into one row per column.  Min/max are shown as text; doubles
-    through ``decimal(38,6)`` so the text is engine independent.
+    Nulls, min and max of all columns come from one pass; each distinct
+    count is a ``groupBy`` over that column alone (pruned to it by the scan,
+    combined before its shuffle), so no row is ever copied per column.
+    Min/max are shown as text; doubles as they are.
     """
-    aggs = []
-    names = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType, T.BinaryType)):
-            continue
-        c = F.col(f"`{f.name}`")
-        shown = c.cast("decimal(38,6)") if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else c
-        aggs.append(
-            F.struct(
-                F.lit(f.name).alias("column_name"),
-                F.lit(f.dataType.simpleString()).alias("data_type"),
-                F.count_if(c.isNull()).alias("null_count"),
-                F.count_distinct(c).alias("distinct_count"),
-                F.min(shown).cast("string").alias("min_value"),
-                F.max(shown).cast("string").alias("max_value"),
-            )
+    fields = [f for f in df.schema.fields if not isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType, T.BinaryType))]
+
+    def column(f: T.StructField) -> Column:
+        return F.col(f"`{f.name}`")
+
+    one_pass = df.agg(F.array(*[
+        F.struct(
+            F.lit(f.name).alias("column_name"),
+            F.lit(f.dataType.simpleString()).alias("data_type"),
+            F.count_if(column(f).isNull()).alias("null_count"),
+            F.min(column(f)).cast("string").alias("min_value"),
+            F.max(column(f)).cast("string").alias("max_value"),
         )
-        names.append(f.name)
-    return df.agg(F.array(*aggs).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+        for f in fields
+    ]).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+    distinct = None
+    for f in fields:
+        values = df.select(column(f).alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(F.lit(1).alias("one"))
+        part = values.agg(F.count("one").alias("distinct_count")).select(F.lit(f.name).alias("column_name"), "distinct_count")
+        distinct = part if distinct is None else distinct.unionByName(part)
+    return one_pass.join(F.broadcast(distinct), "column_name").select(  # one row per column
+        "column_name", "data_type", "null_count", "distinct_count", "min_value", "max_value"
+    )
 
 
 def diff_tables(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -16,21 +16,20 @@ from tidewater.plans.core import LAYERS, Warehouse
 from tidewater.quality import ModelChecks, run_checks
 from tidewater.sources.sinks import record_load, table_path, write_table
 
-Reader = Callable[[SparkSession, int | None], Mapping[str, DataFrame]]
+Reader = Callable[[SparkSession], Mapping[str, DataFrame]]
 
 
 def land_sources(
     spark: SparkSession,
     raw_root: str,
     sources: Mapping[str, Reader],
-    cap: int | None = None,
 ) -> dict[str, str]:
     """Run each source reader and replace its raw tables; one audit row per
     load.  Stops at the first failing source (its audit row says so)."""
     landed: dict[str, str] = {}
     for name, reader in sources.items():
         try:
-            for table, df in reader(spark, cap).items():
+            for table, df in reader(spark).items():
                 landed[table] = write_table(df, raw_root, name, table.split(".")[-1])
         except Exception:
             record_load(spark, raw_root, name, status=1)
@@ -73,11 +72,10 @@ def run_all(
     checks: Sequence[ModelChecks] = (),
     skip_ingest: bool = False,
     skip_transform: bool = False,
-    cap: int | None = None,
 ) -> DataFrame | None:
     """Ingest -> build -> check.  Returns the check report (or None)."""
     if not skip_ingest:
-        land_sources(spark, raw_root, sources, cap)
+        land_sources(spark, raw_root, sources)
     if skip_transform:
         return None
     tables = [m for m in models if LAYERS.get(m) == "table"]

@@ -40,15 +40,15 @@ def model_queries() -> dict[str, Query]:
 
 def extra_queries() -> dict[str, Query]:
     """Operator-level queries beyond the model catalogue (metrics, checks, ops)."""
-    from tidewater import catalog_extra
+    from tidewater import catalog_extra, catalog_ingest
 
-    return catalog_extra.queries()
+    return {**catalog_extra.queries(), **catalog_ingest.QUERIES}
 
 
 def extra_oracles() -> dict[str, str]:
-    from tidewater import catalog_extra
+    from tidewater import catalog_extra, catalog_ingest
 
-    return catalog_extra.oracles()
+    return {**catalog_extra.oracles(), **catalog_ingest.ORACLES}
 
 
 def all_queries() -> dict[str, Query]:

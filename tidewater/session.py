@@ -30,7 +30,9 @@ PLAN_CONF = {
     # Dimension joins: let AQE turn a sort-merge join into a broadcast join
     # once the real (runtime) size of the small side is known.
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
-    "spark.sql.autoBroadcastJoinThreshold": "32MB",
+    # No broadcast on a guess from file sizes: only measured stages (AQE) and
+    # hinted sides of a proven bound are broadcast.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.enabled": "false",
@@ -73,8 +75,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster that setting points at shared storage and is used as is.
-    Only when it is unset (local tests) a scratch folder is created and
-    registered, so ``DataFrame.checkpoint()`` and materialised tables work.
+    Only in a local session (tests, bench) a scratch folder is created when it
+    is unset; on a cluster that is an error, for no local folder is shared.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -82,8 +84,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     current = sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
-        # Unset: a local run (tests, bench).  Never reached on a cluster that
-        # names its shared folder.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="tidewater-ckpt-")
     sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current

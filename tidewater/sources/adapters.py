@@ -16,7 +16,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.sources.files import balanced
 
 # --- fixed values -----------------------------------------------------------
 ROUTE_PREFIXES = ["Q", "BX", "B", "M", "S", "X"]
@@ -78,7 +77,7 @@ def route_id_expr(suppkey: Column) -> Column:
 
 
 def bus_segment_speeds(t: DriverTables) -> DataFrame:
-    li = balanced(t("lineitem"))  # per-row string building + hashing downstream
+    li = t("lineitem")
     q = F.col("l_quantity").cast("int")
     stop = _s(F.col("l_partkey") % SEGMENT_STOPS)
     nxt = _s((F.col("l_partkey") + 7) % SEGMENT_STOPS)
@@ -182,7 +181,7 @@ def bus_lanes(t: DriverTables) -> DataFrame:
 
 
 def traffic_volume_counts(t: DriverTables) -> DataFrame:
-    o = balanced(t("orders"))
+    o = t("orders")
     seg = _s(F.col("o_custkey") % 50)
     return o.select(
         seg.alias("segmentid"),

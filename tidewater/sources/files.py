@@ -1,4 +1,4 @@
-"""File readers (SRC-1, SRC-2, SRC-3, SRC-5, SRC-7, SRC-8) and scan balancing."""
+"""File readers (SRC-1, SRC-2, SRC-3, SRC-5, SRC-8); every reader returns all records."""
 
 from __future__ import annotations
 
@@ -8,39 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-# Splits per core below which a scan is rebalanced.
-MIN_SPLITS_PER_CORE = 1
-
-
-def balanced(df: DataFrame) -> DataFrame:
-    """Spread an under-split scan over all cores.
-
-    A Parquet file is split by row group; a file written as one row group is
-    read by one task, and every projection fused into that scan stage runs
-    single-threaded.  When the scan yields fewer splits than the session's
-    default parallelism, a round-robin ``repartition`` (one cheap shuffle of
-    the pruned columns) spreads the work.  On a real many-file input the
-    scan already has more splits than cores and nothing is added.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()  # planning only, no job
-    if splits < cores * MIN_SPLITS_PER_CORE:
-        return df.repartition(cores)
-    return df
-
-
-def _capped(df: DataFrame, cap: int | None) -> DataFrame:
-    """SRC-7: at most ``cap`` records (a sampling feature of the loaders)."""
-    return df.limit(cap) if cap is not None else df
-
-
 def read_csv_dir(
     spark: SparkSession,
     path: str,
     glob: str = "*.csv",
     schema: StructType | str | None = None,
-    cap: int | None = None,
 ) -> DataFrame:
     """Every CSV under ``path`` (recursive), header row, all columns text."""
     reader = (
@@ -51,7 +23,7 @@ def read_csv_dir(
     )
     if schema is not None:
         reader = reader.schema(schema)
-    return _capped(reader.csv(path), cap)
+    return reader.csv(path)
 
 
 def read_parquet_dir(
@@ -59,28 +31,25 @@ def read_parquet_dir(
     path: str,
     glob: str = "*.parquet",
     merge_schema: bool = True,
-    cap: int | None = None,
 ) -> DataFrame:
     """Every Parquet file under ``path``; drifted schemas are merged."""
-    df = (
+    return (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
         .option("mergeSchema", merge_schema)
         .parquet(path)
     )
-    return _capped(df, cap)
 
 
-def list_files(spark: SparkSession, path: str, glob: str = "*", cap: int | None = None) -> DataFrame:
+def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """File metadata rows (path, modificationTime, length) without parsing (SRC-3)."""
-    df = (
+    return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
         .load(path)
         .select("path", "modificationTime", "length")
     )
-    return _capped(df, cap)
 
 
 def text_schema(columns: Sequence[str]) -> StructType:
@@ -93,7 +62,6 @@ def read_json_pages(
     path: str,
     schema: StructType | None = None,
     multiline: bool = True,
-    cap: int | None = None,
 ) -> DataFrame:
     """Landed JSON pages (one file per page, each an array of records) (SRC-5).
 
@@ -105,7 +73,7 @@ def read_json_pages(
         reader = reader.schema(schema)
     else:
         reader = reader.option("primitivesAsString", True)
-    return _capped(reader.json(path), cap)
+    return reader.json(path)
 
 
 def select_datasets(datasets: Mapping[str, str], years: tuple[int, int]) -> dict[str, str]:

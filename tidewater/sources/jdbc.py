@@ -20,19 +20,16 @@ def read_jdbc(
     lower: int | None = None,
     upper: int | None = None,
     num_partitions: int = 8,
-    cap: int | None = None,
 ) -> DataFrame:
     props = dict(properties or {})
     if partition_col is not None:
         if lower is None or upper is None:
             raise ValueError("partitioned JDBC reads need lower and upper bounds")
-        df = spark.read.jdbc(
+        return spark.read.jdbc(
             url, table, column=partition_col, lowerBound=lower, upperBound=upper,
             numPartitions=num_partitions, properties=props,
         )
-    else:
-        df = spark.read.jdbc(url, table, properties=props)
-    return df.limit(cap) if cap is not None else df
+    return spark.read.jdbc(url, table, properties=props)
 
 
 def read_jdbc_tables(

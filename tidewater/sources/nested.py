@@ -17,9 +17,10 @@ SEP = "__"
 
 
 def snake(name: str) -> str:
-    """'createdAt' / 'Created At' -> 'created_at'."""
+    """'createdAt' / 'Created At' -> 'created_at'; leading underscores stay."""
+    lead = name[: len(name) - len(name.lstrip("_"))]
     s = re.sub(r"(?<=[a-z0-9])([A-Z])", r"_\1", name)
-    return re.sub(r"[^0-9a-zA-Z]+", "_", s).strip("_").lower()
+    return lead + re.sub(r"[^0-9a-zA-Z]+", "_", s).strip("_").lower()
 
 
 def _flat_columns(schema: T.StructType, prefix: list[str], keep_arrays: bool) -> list[Column]:
@@ -65,6 +66,12 @@ def explode_child(
 
 
 def stamp_load(df: DataFrame, load_id: str) -> DataFrame:
-    """Add ``_dlt_load_id`` (constant) and ``_dlt_id`` (hash of the row) (NRM-3)."""
+    """Add ``_dlt_load_id`` (constant) and ``_dlt_id`` (NRM-3).
+
+    The id is the whole 256-bit hash of the row and the row's place in the
+    scan (partition and position), so equal rows keep ids of their own; it
+    needs no shuffle.  Landing writes it once, from then on it is stable.
+    """
     row_hash = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])), 256)
-    return df.withColumn("_dlt_load_id", F.lit(load_id)).withColumn("_dlt_id", F.substring(row_hash, 1, 16))
+    place = F.monotonically_increasing_id().cast("string")
+    return df.withColumn("_dlt_load_id", F.lit(load_id)).withColumn("_dlt_id", F.concat_ws("-", row_hash, place))

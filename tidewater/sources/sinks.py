@@ -49,9 +49,9 @@ def materialize_table(
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
-    # The schema is known: no footer inference on read-back.  Partition
-    # columns come back through discovery when the table is partitioned.
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    # The schema is known: no footer inference on read-back, and partition
+    # columns keep their types and places.
+    return spark.read.schema(df.schema).parquet(path).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def view(df: DataFrame, name: str) -> DataFrame:

@@ -6,8 +6,8 @@ library inside ``mapInPandas`` and emits the member's rows as an
 all-text frame tagged with the feed name.  A missing member gives 0 rows; a
 UTF-8 byte-order mark is stripped so the first header stays intact.
 
-The per-archive work is bounded by one archive (a GTFS feed), never by the
-whole dataset, and no row passes through the driver.
+A member is unpacked and parsed as a stream: beside the packed archive a task
+holds one batch of rows, and no row passes through the driver.
 """
 
 from __future__ import annotations
@@ -17,12 +17,16 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
 
 
+ROWS_AT_ONCE = 10_000
+
+
 def _feed_name(path: str, pattern: str) -> str:
     m = re.search(pattern, path)
     return m.group(1) if m else path.rsplit("/", 1)[-1]
@@ -51,14 +55,13 @@ def read_zip_csv(
                 with zipfile.ZipFile(io.BytesIO(content)) as zf:
                     if member not in zf.namelist():
                         continue
-                    text = zf.read(member).decode("utf-8-sig")
-                rows = list(csv.DictReader(io.StringIO(text)))
-                if not rows:
-                    continue
-                frame = pd.DataFrame.from_records(rows)
-                out = pd.DataFrame({c: frame[c] if c in frame else None for c in cols})
-                out[tag_col] = _feed_name(p, feed_pattern)
-                yield out.astype(object).where(out.notna(), None)
+                    with zf.open(member) as raw:
+                        rows = csv.DictReader(io.TextIOWrapper(raw, encoding="utf-8-sig", newline=""))
+                        # unpacked and parsed as it is read, a bounded number of rows at a time
+                        while part := list(islice(rows, ROWS_AT_ONCE)):
+                            out = pd.DataFrame({c: [r.get(c) for r in part] for c in cols}, dtype=object)
+                            out[tag_col] = _feed_name(p, feed_pattern)
+                            yield out
 
     archives = (
         spark.read.format("binaryFile")
