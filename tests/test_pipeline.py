@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
-from tidewater.catalog_extra import TRANSIT_CHECKS
+from tidewater.catalog_extra import CHECKS
 from tidewater.ops import sql
 from tidewater.pipeline import run_all
 from tidewater.registry import warehouse
@@ -18,7 +18,7 @@ def test_run_all_lands_builds_and_checks(spark, tmp):
     for table, src in source_of.items():
         sources.setdefault(src, []).append(table)
     readers = {src: (lambda s, tabs=tabs: {t: driver(t) for t in tabs}) for src, tabs in sources.items()}
-    checks = [c for c in TRANSIT_CHECKS if c.model in {"stg_bus_segment_speeds", "dim_bus_routes",
+    checks = [c for c in CHECKS["transit"] if c.model in {"stg_bus_segment_speeds", "dim_bus_routes",
                                                           "fct_route_daily_performance"}]
     report = run_all(spark, tmp, readers, source_of,
                      ["dim_date", "fct_route_daily_performance", "rpt_route_reliability"], checks)

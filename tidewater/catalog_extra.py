@@ -67,61 +67,94 @@ def speeds_semantic(w) -> SemanticModel:
     )
 
 
-# --- data-quality specs (declared checks of the models) ------------------------
-TRANSIT_CHECKS = [
-    ModelChecks("stg_bus_segment_speeds",
-                not_null=["segment_speed_id", "route_id", "segment_id", "year", "month", "day_of_week",
-                          "hour_of_day", "avg_speed_mph", "data_source"],
-                unique=["segment_speed_id"], accepted={"data_source": ["2025"]}),
-    ModelChecks("stg_bus_routes", not_null=["route_id", "route_short_name"], unique=["route_id"]),
-    ModelChecks("stg_bus_stops", not_null=["stop_id", "stop_name", "stop_lat", "stop_lon"], unique=["stop_id"]),
-    ModelChecks("int_representative_dates", not_null=["year", "month", "day_of_week", "metric_date"]),
-    ModelChecks("int_segment_bus_lane_match", not_null=["segment_id", "route_id", "has_bus_lane"]),
-    ModelChecks("dim_bus_routes", not_null=["route_key", "route_id", "route_short_name", "borough"],
-                unique=["route_key", "route_id"],
-                accepted={"borough": ["Queens", "Bronx", "Brooklyn", "Manhattan", "Staten Island", "Unknown"]}),
-    ModelChecks("dim_date", not_null=["date_day", "date_key", "year_number", "month_name", "season"],
-                unique=["date_day", "date_key"], accepted={"season": ["Winter", "Spring", "Summer", "Fall"]}),
-    ModelChecks("dim_time_of_day", not_null=["hour_of_day", "time_period", "is_peak_hour", "hour_label"],
-                unique=["hour_of_day"],
-                accepted={"time_period": ["AM Peak", "Midday", "PM Peak", "Evening", "Overnight"]}),
-    ModelChecks("dim_bus_segments", not_null=["segment_key", "segment_id", "route_id"],
-                unique=["segment_key", "segment_id"]),
-    ModelChecks("fct_bus_segment_speeds", not_null=["segment_speed_key", "route_id", "segment_id", "avg_speed_mph"],
-                unique=["segment_speed_key"]),
-    ModelChecks("fct_route_daily_performance",
-                not_null=["route_daily_key", "route_id", "reliability_grade", "route_avg_speed_mph"],
-                unique=["route_daily_key"], accepted={"reliability_grade": ["A", "B", "C", "D", "F"]}),
-    ModelChecks("fct_corridor_performance",
-                not_null=["corridor_performance_key", "corridor_street", "has_bus_lane", "corridor_avg_speed_mph"],
-                unique=["corridor_performance_key"]),
-    ModelChecks("fct_traffic_volume_patterns",
-                not_null=["traffic_volume_key", "segment_id", "date", "time_period", "period_volume"],
-                unique=["traffic_volume_key"]),
-]
+# --- fixed values: declared checks of the models ---------------------------------
+# model: not-null columns; a star marks those that are unique as well.
+NOT_NULL_AND_UNIQUE = {
+    "transit": """
+        int_representative_dates: year month day_of_week metric_date
+        int_segment_bus_lane_match: segment_id route_id has_bus_lane
+        int_traffic_volume_hourly: segment_id date hour_of_day hourly_volume daily_volume
+        dim_bus_routes: route_key* route_id* route_short_name borough
+        dim_bus_stops: stop_key* stop_id* stop_name stop_lat stop_lon
+        dim_bus_segments: segment_key* segment_id* route_id
+        dim_bus_lanes: bus_lane_key* street borough
+        dim_date: date_day* date_key* year_number quarter_number month_number month_name day_of_week_number day_of_week_name is_weekend season fiscal_year
+        dim_time_of_day: hour_of_day* time_period is_peak_hour hour_label
+        fct_bus_segment_speeds: segment_speed_key* route_id segment_id avg_speed_mph
+        fct_route_daily_performance: route_daily_key* route_id reliability_grade route_avg_speed_mph
+        fct_corridor_performance: corridor_performance_key* corridor_street has_bus_lane corridor_avg_speed_mph
+        fct_traffic_volume_patterns: traffic_volume_key* segment_id date time_period period_volume
+        fct_segment_speeds_hourly: segment_speed_key* route_id hour_of_day time_period avg_speed_mph
+        metricflow_time_spine: date_day*
+        sem_bus_segment_speeds: segment_speed_key* route_id segment_id metric_date hour_of_day avg_speed_mph
+        stg_bus_routes: route_id* route_short_name
+        stg_bus_stops: stop_id* stop_name stop_lat stop_lon
+        stg_bus_segment_speeds: segment_speed_id* route_id segment_id year month day_of_week hour_of_day avg_speed_mph data_source
+        stg_bus_lanes: street borough
+        stg_traffic_volume_counts: segment_id date volume
+    """,
+    "reports": """
+        rpt_speed_bottlenecks: segment_id time_period avg_speed_mph speed_rank
+        rpt_bus_lane_effectiveness: time_period hour_of_day
+        rpt_route_reliability: route_id* most_common_grade overall_avg_speed_mph reliability_rank
+        rpt_seasonal_patterns: season year_number avg_speed_mph
+        rpt_peak_vs_offpeak: route_id*
+        rpt_borough_comparison: borough* avg_speed_mph speed_rank
+        rpt_equity_analysis: borough* median_speed_mph cv_pct
+        rpt_corridor_summary: corridor_street overall_avg_speed_mph speed_rank
+        rpt_time_of_day_analysis: hour_of_day time_period avg_speed_mph
+        rpt_weekend_vs_weekday: route_id*
+        rpt_speed_distribution: speed_bucket record_count pct_of_borough
+        rpt_monthly_trends: year_number month_number avg_speed_mph
+    """,
+    "saas": """
+        github_issues: issue_id* id* number title state is_open is_pull_request created_at
+        github_pull_requests: pull_request_id* id* number title state is_merged is_draft created_at
+        github_repo_activity: activity_date*
+        notion_pages: page_id* page_url parent_type created_by_id last_edited_by_id created_time last_edited_time archived
+        notion_workspace_activity: activity_date* pages_edited pages_created unique_editors cumulative_pages_created
+        slack_channel_activity: channel_activity_key* channel_id channel_name is_private is_active activity_date message_count unique_users thread_replies threads_started messages_with_reactions
+        slack_user_activity: user_activity_key* user_id username is_bot is_active activity_week messages_sent channels_active_in threads_started thread_replies_sent messages_with_reactions
+        stg_github_issues: issue_id* id* number title state is_open is_pull_request created_at
+        stg_github_pull_requests: pull_request_id* id* number title state is_merged is_draft created_at
+        stg_github_commits: commit_id* sha* committed_at
+        stg_notion_users: id* type is_person
+        stg_notion_databases: id* url created_time last_edited_time created_by_id last_edited_by_id
+        stg_notion_pages: id* url created_time last_edited_time created_by_id last_edited_by_id parent_type archived
+        stg_slack_channels: channel_id* channel_name is_private is_archived is_active
+        stg_slack_users: user_id* username is_bot is_admin is_owner is_deleted is_active
+        stg_slack_messages: message_ts channel_id is_thread_reply is_thread_root has_reactions is_user_message
+    """,
+}
+ACCEPTED = {
+    "dim_bus_routes": {"borough": ["Queens", "Bronx", "Brooklyn", "Manhattan", "Staten Island", "Unknown"]},
+    "fct_route_daily_performance": {"reliability_grade": ["A", "B", "C", "D", "F"]},
+    "dim_date": {"season": ["Winter", "Spring", "Summer", "Fall"]},
+    "dim_time_of_day": {"time_period": ["AM Peak", "Midday", "PM Peak", "Evening", "Overnight"]},
+    "github_issues": {"state": ["open", "closed"]},
+    "github_pull_requests": {"state": ["open", "closed"]},
+    "stg_github_issues": {"state": ["open", "closed"]},
+    "stg_github_pull_requests": {"state": ["open", "closed"]},
+    "stg_bus_segment_speeds": {"data_source": ["2025"]},
+    "stg_notion_users": {"type": ["person", "bot"]},
+}
+# -----------------------------------------------------------------------------
 
-SAAS_CHECKS = [
-    ModelChecks("stg_github_commits", not_null=["commit_id", "sha", "committed_at"], unique=["commit_id", "sha"]),
-    ModelChecks("stg_github_issues", not_null=["issue_id", "id", "number", "title", "state", "created_at"],
-                unique=["issue_id", "id"], accepted={"state": ["open", "closed"]}),
-    ModelChecks("stg_github_pull_requests", not_null=["pull_request_id", "id", "state", "is_merged", "created_at"],
-                unique=["pull_request_id", "id"], accepted={"state": ["open", "closed"]}),
-    ModelChecks("github_repo_activity", not_null=["activity_date"], unique=["activity_date"]),
-    ModelChecks("stg_slack_channels", not_null=["channel_id", "channel_name", "is_private", "is_active"],
-                unique=["channel_id"]),
-    ModelChecks("stg_slack_users", not_null=["user_id", "username", "is_bot", "is_active"], unique=["user_id"]),
-    ModelChecks("stg_slack_messages", not_null=["message_ts", "channel_id", "is_thread_reply", "is_user_message"]),
-    ModelChecks("slack_channel_activity", not_null=["channel_activity_key", "channel_id", "activity_date"],
-                unique=["channel_activity_key"]),
-    ModelChecks("slack_user_activity", not_null=["user_activity_key", "activity_week", "messages_sent"],
-                unique=["user_activity_key"]),
-    ModelChecks("stg_notion_users", not_null=["id", "type", "is_person"], unique=["id"],
-                accepted={"type": ["person", "bot"]}),
-    ModelChecks("stg_notion_pages", not_null=["id", "url", "created_time", "parent_type", "archived"],
-                unique=["id"]),
-    ModelChecks("notion_workspace_activity", not_null=["activity_date", "pages_edited", "cumulative_pages_created"],
-                unique=["activity_date"]),
-]
+
+def declared_checks(area: str) -> list[ModelChecks]:
+    specs = []
+    for line in NOT_NULL_AND_UNIQUE[area].split("\n"):
+        if line.strip():
+            model, columns = line.strip().split(": ")
+            names = columns.split()
+            specs.append(ModelChecks(
+                model, not_null=[n.rstrip("*") for n in names], unique=[n[:-1] for n in names if n.endswith("*")],
+                accepted=ACCEPTED.get(model, {}),
+            ))
+    return specs
+
+
+CHECKS = {area: declared_checks(area) for area in NOT_NULL_AND_UNIQUE}
 
 # --- sources and their freshness column ----------------------------------------
 SOURCES = {
@@ -177,12 +210,24 @@ def q_auto_metrics_segment_speeds(w):
     return auto_metrics(w.ref("fct_bus_segment_speeds")).query(dimensions=[], grain="month")
 
 
+def _checked(w, area: str) -> DataFrame:
+    """The area's checks over written tables: every checked model is built once, then scanned."""
+    specs = CHECKS[area]
+    w.materialize |= {c.model for c in specs}
+    return run_checks(w.ref, specs)
+
+
 def q_dq_transit(w):
-    return run_checks(w.ref, TRANSIT_CHECKS)
+    return _checked(w, "transit")
+
+
+def q_dq_reports(w):
+    w.materialize |= {c.model for c in CHECKS["transit"]}  # what the reports read
+    return _checked(w, "reports")
 
 
 def q_dq_saas(w):
-    return run_checks(w.ref, SAAS_CHECKS)
+    return _checked(w, "saas")
 
 
 def q_raw_table_counts(w):
@@ -229,6 +274,7 @@ WAREHOUSE_QUERIES = {
     "metric_avg_speed_densified": q_metric_avg_speed_densified,
     "auto_metrics_segment_speeds": q_auto_metrics_segment_speeds,
     "dq_transit": q_dq_transit,
+    "dq_reports": q_dq_reports,
     "dq_saas": q_dq_saas,
     "raw_table_counts": q_raw_table_counts,
     "source_status": q_source_status,
@@ -329,8 +375,7 @@ from fct_bus_segment_speeds group by all""")
         "metric_traffic_last_3_months": traffic,
         "metric_avg_speed_densified": densified,
         "auto_metrics_segment_speeds": auto,
-        "dq_transit": with_blocks([c.model for c in TRANSIT_CHECKS], dq_oracle_sql(TRANSIT_CHECKS)),
-        "dq_saas": with_blocks([c.model for c in SAAS_CHECKS], dq_oracle_sql(SAAS_CHECKS)),
+        **{f"dq_{area}": with_blocks([c.model for c in specs], dq_oracle_sql(specs)) for area, specs in CHECKS.items()},
         "raw_table_counts": counts,
         "source_status": _status_sql(),
         "profile_orders": _profile_sql(),
