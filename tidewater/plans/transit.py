@@ -124,6 +124,7 @@ def stg_bus_stops(w: Warehouse) -> DataFrame:
     )
 
 
+# Feed column -> staged column.
 LANE_TEXT_COLUMNS = [
     ("street", "street"), ("segmentid", "segment_id"), ("boro", "borough"), ("facility", "facility"),
     ("direction", "direction"), ("hours", "hours"), ("days", "days"), ("lane_type", "lane_type"),
