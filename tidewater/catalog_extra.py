@@ -29,13 +29,17 @@ def speeds_view(w) -> MetricsView:
     )
 
 
+# Averages of averages are rounded to six decimals, a little off the half-way points: sums of
+# doubles differ in the last bit with the order of addition, which must not decide a digit.
+
+
 def corridor_view(w) -> MetricsView:
     return MetricsView(
         w.ref("fct_corridor_performance"), "metric_date", ["corridor_street", "has_bus_lane"],
-        [Measure("round(avg(corridor_avg_speed_mph), 5)", "Avg Speed (mph)"),
-         Measure("round(avg(corridor_avg_speed_mph) filter (where has_bus_lane = true), 5)",
+        [Measure("round(avg(corridor_avg_speed_mph) * 1e6 + 1e-4) / 1e6", "Avg Speed (mph)"),
+         Measure("round(avg(corridor_avg_speed_mph) filter (where has_bus_lane = true) * 1e6 + 1e-4) / 1e6",
                  "Avg Speed With Bus Lane (mph)"),
-         Measure("round(avg(corridor_avg_speed_mph) filter (where has_bus_lane = false), 5)",
+         Measure("round(avg(corridor_avg_speed_mph) filter (where has_bus_lane = false) * 1e6 + 1e-4) / 1e6",
                  "Avg Speed Without Bus Lane (mph)"),
          Measure("count(*)", "Records")],
     )
@@ -45,7 +49,7 @@ def route_view(w) -> MetricsView:
     grades = [Measure(f"countif(reliability_grade = '{g}')", f"Grade {g} Count") for g in "ABCDF"]
     return MetricsView(
         w.ref("fct_route_daily_performance"), "metric_date", ["route_id", "reliability_grade"],
-        [Measure("round(avg(route_avg_speed_mph), 5)", "Avg Speed (mph)"), Measure("count(*)", "Records"), *grades],
+        [Measure("round(avg(route_avg_speed_mph) * 1e6 + 1e-4) / 1e6", "Avg Speed (mph)"), Measure("count(*)", "Records"), *grades],
     )
 
 
@@ -342,13 +346,13 @@ from fct_bus_segment_speeds group by all""")
         f"cast(count_if(reliability_grade = '{g}') as bigint) as grade_{g.lower()}_count" for g in "ABCDF")
     routes = with_blocks(["fct_route_daily_performance"], f"""
 select cast(date_trunc('month', metric_date) as date) as period, reliability_grade,
-  round(avg(route_avg_speed_mph), 5) as avg_speed_mph, count(*) as records, {grades}
+  round(avg(route_avg_speed_mph) * 1e6 + 1e-4) / 1e6 as avg_speed_mph, count(*) as records, {grades}
 from fct_route_daily_performance group by all""")
     corridor = with_blocks(["fct_corridor_performance"], """
 select cast(date_trunc('week', metric_date) as date) as period, corridor_street,
-  round(avg(corridor_avg_speed_mph), 5) as avg_speed_mph,
-  round(avg(corridor_avg_speed_mph) filter (where has_bus_lane = true), 5) as avg_speed_with_bus_lane_mph,
-  round(avg(corridor_avg_speed_mph) filter (where has_bus_lane = false), 5) as avg_speed_without_bus_lane_mph,
+  round(avg(corridor_avg_speed_mph) * 1e6 + 1e-4) / 1e6 as avg_speed_mph,
+  round(avg(corridor_avg_speed_mph) filter (where has_bus_lane = true) * 1e6 + 1e-4) / 1e6 as avg_speed_with_bus_lane_mph,
+  round(avg(corridor_avg_speed_mph) filter (where has_bus_lane = false) * 1e6 + 1e-4) / 1e6 as avg_speed_without_bus_lane_mph,
   count(*) as records
 from fct_corridor_performance group by all""")
     traffic = with_blocks(["fct_traffic_volume_patterns"], """
