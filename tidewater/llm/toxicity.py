@@ -45,7 +45,7 @@ CARRIER_BYTES = 32
 CARRIERS = 10  # tried, from the end of the ordinary content
 CARRIER_SAMPLE = (400, 1000)  # toxic and ordinary texts on which they are tried
 WINDOW_WORDS = 12  # of the ordinary trainer's samples
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 LONGEST = 15  # lengths above count as this
 
 
@@ -94,12 +94,11 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def distinct_texts(texts: list[str]) -> list[list[bytes]]:
+def distinct_texts(texts: list[list[bytes]]) -> list[list[bytes]]:
     """The word lists without near copies of earlier ones (a fifth of the word triples seen before)."""
     seen: set[int] = set()
     kept = []
-    for t in texts:
-        w = tokens(t)
+    for w in texts:
         triples = {hash((w[i], *w[i + 1 : i + 3])) for i in range(max(len(w) - 2, min(1, len(w))))}
         if triples and len(triples & seen) < 0.2 * len(triples):
             kept.append(w)
@@ -174,6 +173,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     if not texts[0] or not texts[1]:
         flat = 1.0 if texts[1] else 0.0
         return Model(b"", b"", b"", (flat,) * cells, flat)
+    # one object for each distinct word: the sample's words fill the driver's memory otherwise
+    names: dict[bytes, bytes] = {}
+    texts = {v: [[names.setdefault(w, w) for w in tokens(t)] for t in texts[v]] for v in (1, 0)}
+    del drawn
     toxic, ordinary = distinct_texts(texts[1]), distinct_texts(texts[0])
     content = ordinary_content(ordinary, ORDINARY_BYTES)
     listed = b"".join(w + b" " for w in toxic_words(toxic, ordinary)) + content
@@ -185,7 +188,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
         odds = log_odds(*found)
         return odds, highest(odds, found[0]), highest(odds, found[1])
 
-    words = {v: [set(tokens(t)) for t in texts[v]] for v in (1, 0)}
+    words = {v: [set(t) for t in texts[v]] for v in (1, 0)}
+    del texts, toxic, ordinary
     few = words[1][: CARRIER_SAMPLE[0]], words[0][: CARRIER_SAMPLE[1]]
     tried = []
     for i in range(CARRIERS):
