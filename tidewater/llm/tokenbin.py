@@ -47,7 +47,7 @@ WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and c != 0x20)
 BESIDE = f"[ {WHITE}] | [{WHITE}]|^ | $|{FIRST}"
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces remembered per Python worker (about 200 bytes each).
-REMEMBERED = 1_200_000
+REMEMBERED = 600_000
 DOCS_AT_ONCE = 4096
 TEXTS_AT_ONCE = 512
 
