@@ -87,3 +87,18 @@ def test_leak_at_the_end_of_a_long_text(items):
     index = index_of(items)
     text = "filler words without meaning " * 20_000 + items[7][1]
     assert [m[0] for m in index.matches(text)] == [items[7][0]]
+
+
+def test_question_and_answer_far_apart(spark):
+    """In either order, in pieces, and with a missing part, as brute force has it."""
+    items = [tuple(r) for r in spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").select("item_id", "text").collect()]
+    texts, far = [], "filler words of no item whatever " * 60
+    for key, text in items:
+        q, a = (" ".join(p) for p in decontam.question_answer(text))
+        w = q.split()
+        pieces = far.join(" ".join(w[i : i + 9]) for i in range(0, max(1, len(w) - 4), 5))
+        texts += [((key, "apart"), f"{q} {far} {a}"), ((key, "turned"), f"{far} {a} {far} {q}"), ((key, "pieces"), f"{a} {far} {pieces}"), ((key, "half"), f"{far} {q}")]
+    index = index_of(items)
+    got = sorted(((k, m[0]) for (k, _), found in zip(texts, index.all_matches([t for _, t in texts])) for m in found), key=str)
+    assert got == brute(items, texts) and len(got) >= 3 * len(items)
+    assert all(0 <= m[1] <= 1 + 1e-9 for found in index.all_matches([t for _, t in texts]) for m in found)

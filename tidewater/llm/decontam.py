@@ -8,8 +8,11 @@ neighbouring blocks of ``SEGMENT`` words (a segment anywhere in a text lies
 whole in one of them) and every passage is a query: all segments at or above
 ``THRESHOLD`` are retrieved.  A passage is passed over at once if in every run
 of neighbouring segments its terms' largest impacts sum to less; the others go
-through block-max WAND.  An item
-with a retrieved segment is then verified on the whole text: the shares of
+through block-max WAND.  Question and answer may also stand far apart, or in
+pieces: of its longer part's shingles so many are looked up in the whole text
+that a text without any of them cannot hold ``OVERLAP`` of the part, and an
+item with one of them is retrieved too, so none that the check accepts is
+missed.  A retrieved item is then verified on the whole text: the shares of
 the five-word shingles of its question (all sentences but the last) and of
 its answer (the last sentence) that occur in the text must both reach
 ``OVERLAP``.  A part shorter than five words is one shingle.
@@ -30,7 +33,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +79,20 @@ def segments_of(w: list[str]) -> list[list[str]]:
     return [w[i : i + size] for i in range(0, len(w), size)]
 
 
+def needed(n: int) -> int:
+    """Fewest of ``n`` shingles that reach ``OVERLAP``."""
+    return next(i for i in range(n + 1) if i / n >= OVERLAP)
+
+
+def coded(ids: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit code of every run of ``size`` term numbers."""
+    out = np.zeros(max(0, len(ids) - size + 1), np.uint64)
+    for i in range(size):
+        out = (out ^ (ids[i : i + len(out)].astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
 class Index:
     """Inverted index with impacts; postings in blocks with their maxima."""
 
@@ -97,7 +114,20 @@ class Index:
         self.impacts = [[x for _, x in p] for p in postings.values()]
         self.maxima = [[max(x[i : i + POSTINGS_BLOCK]) for i in range(0, len(x), POSTINGS_BLOCK)] for x in self.impacts]
         self.largest = [max(m) for m in self.maxima]
-        # the same for runs of neighbouring segments: largest impact of each term in each run
+        self.segments_of_item: dict[int, list[int]] = {}
+        for s, place in enumerate(self.item_of):
+            self.segments_of_item.setdefault(place, []).append(s)
+        # by shingle size: codes, ascending, and the items whose check fails without all of an item's codes
+        found: dict[int, list[tuple[int, int]]] = {}
+        for place, (_, question, answer) in enumerate(self.items):
+            part = max(question, answer, key=len)
+            every = sorted(shingles(part), key=lambda x: (min(frequency[w] for w in x), x))
+            size = min(SHINGLE, len(part))
+            for x in every[: len(every) - needed(len(every)) + 1] if every else []:
+                code = coded(np.array([self.number[w] for w in x]), size)
+                found.setdefault(size, []).append((int(code[0]), place))
+        self.codes = {size: (np.array([c for c, _ in sorted(x)], np.uint64), [i for _, i in sorted(x)]) for size, x in found.items()}
+        # for runs of neighbouring segments: largest impact of each term in each run
         runs = min(RUNS, max(1, len(segments)))
         self.run_maxima = np.zeros((len(postings), runs), np.float32)
         for t, (p, x) in enumerate(zip(self.segments, self.impacts)):
@@ -147,6 +177,38 @@ class Index:
             live = sorted((i for i in live if at[i] < len(segs[i])), key=lambda i: segs[i][at[i]])
         return found
 
+    def with_shingles(self, ids: list[np.ndarray]) -> list[set[int]]:
+        """For each text (term numbers) the items of which it holds a looked-up shingle."""
+        out: list[set[int]] = [set() for _ in ids]
+        apart = np.full(SHINGLE, len(self.number), np.int32)
+        flat = np.concatenate([y for x in ids for y in (x, apart)]) if ids else apart
+        end = np.cumsum([len(x) + SHINGLE for x in ids])
+        for size, (codes, items) in self.codes.items():
+            code = coded(flat, size)
+            at = np.searchsorted(codes, code)
+            hit = np.flatnonzero(codes[np.minimum(at, len(codes) - 1)] == code)
+            for text, k in zip(np.searchsorted(end, hit, "right").tolist(), at[hit].tolist()):
+                same = codes[k]
+                while k < len(codes) and codes[k] == same:
+                    out[text].add(items[k])
+                    k += 1
+        return out
+
+    def best_score(self, item: int, passages: list[np.ndarray]) -> float:
+        """The largest score of an item's segments in any passage (its terms)."""
+        best = 0.0
+        for s in self.segments_of_item.get(item, []):
+            weight = {}
+            for w in {*self.items[item][1], *self.items[item][2]}:
+                t = self.number[w]
+                p = bisect_left(self.segments[t], s)
+                if p < len(self.segments[t]) and self.segments[t][p] == s:
+                    weight[t] = self.impacts[t][p]
+            terms = np.array(sorted(weight), np.int64)
+            values = np.array([weight[t] for t in terms.tolist()])
+            best = max([best, *(float(values[np.isin(terms, x)].sum()) for x in passages)])
+        return best
+
     def matches(self, text: str | None) -> list[tuple]:
         """Verified items of a whole text: (item id, best score, question share, answer share)."""
         return next(self.all_matches([text]))
@@ -175,8 +237,8 @@ class Index:
         if len(filled):
             reach[filled] = np.add.reduceat(self.run_maxima[term], edge[filled], axis=0)
         alone, both = reach.max(axis=1), (reach[:-1] + reach[1:]).max(axis=1)
-        for text_words, b, n in zip(cut, begin.tolist(), blocks):
-            best: dict[int, float] = {}
+        for text_words, b, n, held in zip(cut, begin.tolist(), blocks, self.with_shingles(ids)):
+            best: dict[int, float | None] = {}
             # passages: blocks i and i + 1, a lone block in a short text
             last = max(1, n - 1) if n else 0
             bound = both[b : b + last] if n > 1 else alone[b : b + last]
@@ -186,9 +248,14 @@ class Index:
                 for s, score in self.search(terms, THRESHOLD).items():
                     item = self.item_of[s]
                     best[item] = max(best.get(item, 0.0), score)
-            yield self.verified(text_words, best) if best else []
+            def passages(b=b, n=n, last=last) -> list[np.ndarray]:
+                return [term[edge[b + i] : edge[b + min(i + 2, n)]] for i in range(last)]
+
+            best |= dict.fromkeys(held - best.keys())
+            yield self.verified(text_words, best, passages) if best else []
 
-    def verified(self, text_words: list[str], best: dict[int, float]) -> list[tuple]:
+    def verified(self, text_words: list[str], best: dict[int, float | None], passages: Callable[[], list[np.ndarray]]) -> list[tuple]:
+        """The items that pass the check; a score that is not known yet is taken over the ``passages``' terms."""
         out, sets = [], {}
 
         def share(part: list[str]) -> float:
@@ -202,7 +269,7 @@ class Index:
             q = share(question) if question else 1.0
             a = share(answer) if answer else 1.0
             if q >= OVERLAP and a >= OVERLAP:
-                out.append((key, score, q, a))
+                out.append((key, self.best_score(item, passages()) if score is None else score, q, a))
         return out
 
 
