@@ -74,3 +74,28 @@ def test_edge_rows(spark, edge_docs):
     assert langid.identify(docs.filter(F.lit(False)), samples).count() == 0
     nothing = langid.identify(docs, langid.train(docs.filter(F.lit(False))), F.col("doc_id")).collect()
     assert len(nothing) == 11 and {(r.lang_pred, r.score) for r in nothing} == {("und", 0.0)}
+
+
+def test_one_long_text_pushes_out_no_label(spark):
+    """Three rows of a rare language, one of them far above the bound; and many short rows beside a long one."""
+    from tidewater.llm.common import labelled_sample
+
+    long = "langer satz mit vielen worten " * 40_000
+    for first in range(0, 300, 10):
+        rows = [(first, "kurzer satz", "de"), (first + 1, long, "de"), (first + 2, "noch ein satz", "de")]
+        rows += [(first + 1000 + i, f"short text number {i}", "en") for i in range(40)] + [(first + 2000, "long " * 100_000, "en")]
+        if first == 0:
+            docs = rows
+        else:
+            docs = docs + [(k, t, f"{v}{first}") for k, t, v in rows[:3]]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    drawn, shares = labelled_sample(frame, frame.select("doc_id", "lang"), "lang", 500, 20_000)
+    sizes = {}
+    for r in drawn:
+        sizes.setdefault(r.label, []).append(len(r.text.encode()))
+    assert {v: len(x) for v, x in sizes.items()} == {**{f"de{i}": 3 for i in range(10, 300, 10)}, "de": 3, "en": 41}
+    assert all(s == 1 for s in shares.values()) and all(max(x) <= 1250 and sum(x) <= 20_000 for x in sizes.values())
+    few, shares = labelled_sample(frame, frame.select("doc_id", "lang"), "lang", 500, 200)
+    kept = [r for r in few if r.label == "en"]
+    assert 1 <= len(kept) < 41 and sum(len(r.text) for r in kept) <= 200 and shares["en"] == len(kept) / 41
+    assert len({r.label for r in few}) == len(sizes)

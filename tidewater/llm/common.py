@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.session import checkpoint_dir
@@ -76,14 +79,40 @@ def share_of(column: Column, shares: dict) -> Column:
     return F.col("h") < steps
 
 
+#: A long text gives a sample that part of a label's bytes at most, in windows of so many bytes.
+LONGEST_SHARE = 16
+SAMPLE_WINDOW = 4096
+
+
+def sampled_windows(text: str, size: int, seed: int) -> str:
+    """``text``, or of one above ``size`` bytes whole words from seeded windows of it, ``size`` bytes at most."""
+    data = text.encode("utf-8", "surrogatepass")
+    if len(data) <= size:
+        return text
+    step = min(SAMPLE_WINDOW, size)
+    starts = np.random.default_rng(seed).choice(-(-len(data) // step), max(1, size // (step + 1)), replace=False)
+    parts = []
+    for at in sorted(starts.tolist()):
+        words = data[at * step : (at + 1) * step]
+        # words cut at the window's ends are left out, where it holds others
+        inner = words if at == 0 else words[len(words.split(None, 1)[0]) :] if words[:1].strip() and len(words.split()) > 2 else words
+        if (at + 1) * step < len(data) and inner[-1:].strip() and len(inner.split()) > 1:
+            inner = inner[: len(inner) - len(inner.split()[-1])]
+        parts.append(inner.decode("utf-8", "ignore").strip())
+    return " ".join(parts)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bounds: dict | int, bytes_bound: int,
                     key: str = "doc_id", text: str = "text") -> tuple[list, dict]:
     """A bounded sample of labelled texts: rows ``(text, label, h)`` and the share drawn of each label.
 
     ``bounds`` maps each label value to its expected number of rows, or is that
-    number for every non-null label; the text of one label is held to ``bytes_bound`` in expectation.  Keys are drawn by
-    their hash from the labels alone, so only drawn texts leave the scan (the
-    drawn keys are few by ``bounds`` and broadcast).  Equal rows count once.
+    number for every non-null label.  Keys are drawn by their hash from the
+    labels alone, so only drawn texts leave the scan (the drawn keys are few by
+    ``bounds`` and broadcast).  Equal rows count once.  The text of one label is
+    held to ``bytes_bound``: its rows are taken in the order of their hashes up
+    to it, one at least, and a text gives ``1 / LONGEST_SHARE`` of it at most,
+    in windows; so a long text pushes out no label and no short ones.
     """
     known = labels.select(F.col(key).alias("key"), F.col(label).alias("label"), chance(F.col(key)).alias("h"))
     wanted = F.col("label").isin(*bounds) if isinstance(bounds, dict) else F.col("label").isNotNull()
@@ -93,6 +122,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bounds: dict
     drawn = known.filter(share_of(F.col("label"), shares)).distinct()
     texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = written(texts.join(F.broadcast(drawn), "key").dropDuplicates(["key", "text", "label"]), "sample")
-    sizes = found.groupBy("label").agg(F.sum(F.octet_length("text")).alias("b")).collect()
-    shares = {r.label: shares[r.label] * min(1.0, bytes_bound / max(1, r.b)) for r in sizes}
-    return found.filter(share_of(F.col("label"), shares)).orderBy("h", "key", "text").select("text", "label", "h").collect(), shares
+    longest = max(1, bytes_bound // LONGEST_SHARE)
+    # the rows of a label are few by ``bounds``; they go without their texts
+    rows = found.select("label", "h", "key", F.xxhash64("text").alias("tie"), F.least(F.octet_length("text"), F.lit(longest)).alias("b"))
+    order = Window.partitionBy("label").orderBy("h", "key", "tie")
+    before = F.sum("b").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("b")
+    taken = rows.withColumn("before", before).filter((F.col("before") == 0) | (F.col("before") + F.col("b") <= bytes_bound))
+    taken = written(taken.select("label", "key", "tie"), "taken")
+    had, have = ({r.label: r.n for r in x.groupBy("label").agg(F.count("*").alias("n")).collect()} for x in (found, taken))
+    shares = {v: shares[v] * n / had[v] for v, n in have.items()}
+    sample = found.withColumn("tie", F.xxhash64("text")).join(F.broadcast(taken), ["label", "key", "tie"], "left_semi")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = [sampled_windows(t, longest, h) for t, h in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.string()), *b.columns[1:]], names=b.schema.names)
+
+    short = sample.select("text", "label", "h", "key")
+    return short.mapInArrow(cut, short.schema).orderBy("h", "key", "text").select("text", "label", "h").collect(), shares
