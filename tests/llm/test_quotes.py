@@ -77,3 +77,30 @@ def test_edge_rows(spark):
     frame = spark.createDataFrame([(1, 0, "u", "a b " * 100_000)], "conv_id long, turn long, role string, text string")
     assert len(quotes.reply_ordered(frame).first().reply) == 399_999
     assert quotes.reply_ordered(frame.filter(F.lit(False))).count() == 0
+
+
+def test_sentences_out_of_a_longer_line(spark):
+    """One sentence, several of them re-wrapped, and a part that begins within a sentence."""
+    one = "The first step is to read. Then you count the words. After that you sort them! Does it copy? It copies once. Nothing else is kept."
+    rows = [
+        (1, 0, "u", "How do I count? It is a long text. I have many of them."),
+        (1, 1, "a", one),
+        (1, 2, "u", "A new topic. Does it copy? I wonder."),
+        (1, 3, "u", "> It copies once.\nThat is good"),
+        (1, 4, "u", "> Then you count the\n> words. After that you sort\n> them! Does it copy?\nHow"),
+        (1, 5, "u", "> is to read. Then you count the words. After that\nGo on"),
+        (1, 6, "u", "> It is a long text.\nHow long"),
+        (1, 7, "u", "> Nobody said this. Nor that one.\nHm"),
+        (1, 8, "u", "> > Nothing else is kept.\n> That is good\nYes"),
+    ]
+    got = quotes.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {r.turn: r.parent_turn for r in got} == {0: None, 1: None, 2: None, 3: 1, 4: 1, 5: 1, 6: 0, 7: None, 8: 3}
+    assert {r.turn: r.thread_turn for r in got}[8] == 1
+
+
+def test_many_sentences_make_few_units():
+    n = 20_000
+    found = quotes.units([" ".join(f"s{i}." for i in range(n))])
+    assert n < len(found) < 16 * n
+    part = quotes.units([" ".join(f"s{i}." for i in range(501, 512))])  # eleven sentences: runs of eight lie in both
+    assert max(map(quotes.word_count, part & found)) == 8

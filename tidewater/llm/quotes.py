@@ -3,10 +3,12 @@
 A message's lines are parsed into nested quote levels (the number of ``>``
 before the text).  Lines of level zero are the message's own words; lines such
 as "On Monday Ann wrote:" before a quote belong to the quote.  Quoted lines of
-one level in a row are a passage.  Passages, their paragraphs and their lines
-are normalised (lower case, single spaces, so re-wrapped quotes still match)
-and hashed, as are the whole, the paragraphs and the lines of every message's
-own words.  A quoted unit is joined to the earliest message of the same
+one level in a row are a passage.  Passages, their paragraphs, lines and
+sentences and runs of 2, 4, 8, ... neighbouring sentences of a paragraph are
+normalised (lower case, single spaces, so re-wrapped quotes still match) and
+hashed, as are those of every message's own words; any run of sentences holds
+one such run of more than half of them.  Less than a sentence of a longer line
+links nothing.  A quoted unit is joined to the earliest message of the same
 conversation that says it in its own words before the quoting one.  The parent
 of a message is the original of its outermost linked quote; of several, of
 the one with the most words, then the latest.
@@ -38,6 +40,8 @@ from tidewater.llm.common import written
 
 MARK = re.compile(r"[ \t]*((?:>[ \t]?)*)(.*)", re.S)
 ATTRIBUTION = re.compile(r"\b(wrote|writes|said|schrieb|escribió|a écrit)\s*:\s*$", re.I)
+SENTENCE = re.compile(r"(?<=[.!?]) |(?<=[。！？]) ?")
+RUN = "\n"  # no normalised text holds it
 SEED = 42
 
 
@@ -58,8 +62,29 @@ def plain(lines: list[str]) -> str:
     return " ".join(" ".join(lines).lower().split())
 
 
+def sentence_runs(paragraph: str) -> set[str]:
+    """The sentences, and for runs of 2, 4, 8, ... neighbours ``RUN``, a digest and the number of words."""
+    import xxhash
+
+    sentences = [x for x in SENTENCE.split(paragraph) if x]
+    found = set(sentences)
+    digests = [xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in sentences]
+    words = [x.count(" ") + 1 for x in sentences]
+    size = 1
+    while 2 * size <= len(sentences):
+        digests = [xxhash.xxh3_128_digest(x + y) for x, y in zip(digests, digests[size:])]
+        words = [x + y for x, y in zip(words, words[size:])]
+        found.update(f"{RUN}{x.hex()}:{n}" for x, n in zip(digests, words))
+        size *= 2
+    return found
+
+
+def word_count(unit: str) -> int:
+    return int(unit.rpartition(":")[2]) if unit.startswith(RUN) else unit.count(" ") + 1
+
+
 def units(lines: list[str]) -> set[str]:
-    """The whole, the paragraphs and the lines of a passage, normalised."""
+    """The whole, the paragraphs, the lines and the runs of sentences of a passage, normalised."""
     found, paragraph = {plain(lines)}, []
     for line in [*lines, ""]:
         if line:
@@ -67,6 +92,7 @@ def units(lines: list[str]) -> set[str]:
             found.add(plain([line]))
         elif paragraph:
             found.add(plain(paragraph))
+            found |= sentence_runs(plain(paragraph))
             paragraph = []
     return found - {""}
 
@@ -111,7 +137,7 @@ def parsed(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn
 
         for b in batches:
             found = [parse(t) for t in b.column(3).to_pylist()]
-            quoted = [[{"h": code(u), "level": n, "words": u.count(" ") + 1} for u, n in sorted(f[2].items())] for f in found]
+            quoted = [[{"h": code(u), "level": n, "words": word_count(u)} for u, n in sorted(f[2].items())] for f in found]
             columns = [
                 *(b.column(i) for i in range(3)), pa.array([f[0] for f in found], pa.string()), pa.array([f[3] for f in found], pa.int32()),
                 pa.array([[code(u) for u in sorted(f[1])] for f in found], pa.list_(pa.int64())), pa.array(quoted, pa.list_(unit)),
