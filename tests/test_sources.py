@@ -85,6 +85,15 @@ def test_load_audit_and_freshness(spark, tmp):
     assert got == {"github": ("4h ago", "green"), "slack": ("12d ago", "red")}
 
 
+def test_load_audit_grows_with_the_orders(spark):
+    from tidewater.catalog_ingest import load_audit_orders
+    from tests.conftest import SF_SMALL
+
+    months = spark.read.parquet(f"{SF_SMALL}/orders.parquet").select("o_orderpriority", F.trunc(F.col("o_orderdate").cast("date"), "month")).distinct().count()
+    rows = load_audit_orders(spark, SF_SMALL).collect()
+    assert sum(r.load_count for r in rows) == months > 100 and 0 < sum(r.failed_count for r in rows) < months
+
+
 def test_append_then_dedup(spark, tmp):
     b1 = spark.createDataFrame([("m1", 1, "first"), ("m2", 1, "x")], "id string, v int, text string")
     b2 = spark.createDataFrame([("m1", 2, "edited")], "id string, v int, text string")

@@ -20,7 +20,7 @@ from tidewater.plans.calendar import FISCAL_START_MONTH
 from tidewater.session import apply_result_conf, checkpoint_dir
 from tidewater.sources.files import list_files, read_csv_dir, read_json_pages, read_parquet_dir, stack, text_schema
 from tidewater.sources.nested import explode_child, flatten_structs, stamp_load
-from tidewater.sources.sinks import alias_views, record_load, write_table
+from tidewater.sources.sinks import alias_views, record_load, record_loads, write_table
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,7 +120,7 @@ def diff_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-3, OPS-3: one audit row per nation's load; the last finished one per source."""
+    """SNK-3, OPS-3: three audit rows of one source, one of them failed; the last finished one (``load_audit_orders`` has the whole tables' loads)."""
     path = _folder(spark)
     regions = _table(spark, sf_dir, "region")
     write_table(regions, path, "geo", "region")
@@ -132,6 +132,20 @@ def load_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("schema_name").agg(F.max("last_sync").alias("last_sync"), F.sum("n").alias("row_count"))
 
 
+def load_audit_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-3, OPS-3: one audit row for each priority's month of orders (failed where its count is a multiple of four), the last finished one per priority."""
+    path = _folder(spark)
+    month = F.trunc(F.col("o_orderdate").cast("date"), "month")
+    loads = _table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("schema_name"), month.alias("month")).agg(
+        (F.count(F.lit(1)) % 4 == 0).cast("int").alias("status"), F.max("o_orderdate").alias("inserted_at"))
+    record_loads(loads.withColumn("load_id", F.concat_ws("/", "schema_name", "month")), path, "orders")
+    written = spark.read.parquet(f"{path}/orders/_loads")
+    synced = last_sync(written).select("schema_name", "last_sync", F.lit(0).alias("n"), F.lit(0).alias("failed"))
+    rows = written.select("schema_name", F.lit(None).cast("timestamp_ntz").alias("last_sync"), F.lit(1).alias("n"), F.col("status").alias("failed"))
+    return synced.unionByName(rows).groupBy("schema_name").agg(
+        F.max("last_sync").alias("last_sync"), F.sum("n").alias("load_count"), F.sum("failed").alias("failed_count"))
+
+
 def alias_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-6: alias views over the sales tables, counted through their new names."""
     names = {"customer": "stg_customer", "orders": "stg_order", "lineitem": "stg_order_line", "part": "stg_product", "supplier": "stg_vendor"}
@@ -176,7 +190,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ingest_csv, ingest_parquet_glob, ingest_json_pages, ingest_list_files, normalize_flatten, normalize_child, stamp_load_lineitem,
-        append_dedup_orders, diff_orders, load_audit, alias_all, calendar_parts, try_cast_clean,
+        append_dedup_orders, diff_orders, load_audit, load_audit_orders, alias_all, calendar_parts, try_cast_clean,
     )
 }
 
@@ -200,6 +214,12 @@ ORACLES = {
         select count(*) as rows_a, count(*) filter (where o_orderkey % 7 <> 0) as rows_b, count(*) filter (where o_orderkey % 7 = 0) as only_in_a,
           0::bigint as only_in_b, count(*) filter (where o_orderkey % 7 <> 0 and o_orderkey % 5 = 0) as changed,
           'o_orderpriority' as columns_only_in_a, '' as columns_only_in_b from o""",
+    "load_audit_orders": """
+        with loads as (
+          select o_orderpriority as schema_name, date_trunc('month', o_orderdate) as month, count(*) % 4 = 0 as failed, max(o_orderdate)::timestamp as loaded_at
+          from orders group by 1, 2)
+        select schema_name, max(loaded_at) filter (where not failed) as last_sync, count(*) as load_count, count(*) filter (where failed) as failed_count
+        from loads group by 1""",
     "load_audit": "select 'geo' as schema_name, timestamp '2024-01-02 03:04:05' as last_sync, count(*) as row_count from region",
     "alias_all": """
         select 'stg_customer' as model, count(*) as row_count from customer union all select 'stg_order', count(*) from orders

@@ -83,3 +83,9 @@ def record_load(
     ts = F.lit(inserted_at).cast("timestamp_ntz") if inserted_at else F.localtimestamp()
     row = row.withColumn("inserted_at", ts)
     return write_table(row, root, schema_name, "_loads", mode="append")
+
+
+def record_loads(loads: DataFrame, root: str, folder: str) -> str:
+    """Append many audit rows (the columns of ``LOADS_SCHEMA``), computed by Spark, to ``<root>/<folder>/_loads``."""
+    kinds = [c.strip().split(" ") for c in LOADS_SCHEMA.split(",")]
+    return write_table(loads.select(*[F.col(c).cast(t).alias(c) for c, t in kinds]), root, folder, "_loads", mode="append")
