@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidewater.llm import decontam, hpy, langid, mixing, quality, quotes, simhash, tokenbin, topk, toxicity
+from tidewater.llm import (
+    bitslices, decontam, hpy, langid, mixing, oddsketch, phrases, quality, quotes, simhash, tokenbin, topk, toxicity,
+)
 from tidewater.llm.common import fold, shared_folder, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -72,6 +74,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.reply_ordered(table(spark, sf_dir, "conversations"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), longest=3, at_least=10, top=2000)
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oddsketch.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitslices.top_k(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_quality": op2_quality,
@@ -83,9 +97,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_topk": op9_topk,
     "op10_chat": op10_chat,
+    "op11_phrases": op11_phrases,
+    "op12_minhash": op12_minhash,
+    "op13_lexical": op13_lexical,
 }
 
 ORACLES: dict[str, str] = {
     "op6_mix": mixing.oracle(MIX_WEIGHTS, MIX_SEED),
     "op9_topk": topk.oracle(),
+    "op11_phrases": phrases.oracle(),
+    "op13_lexical": bitslices.oracle(),
 }
