@@ -16,7 +16,6 @@ FILE = "byte_bpe_50k.json"
 
 def plain():
     t = Tokenizer.from_file(public_tokenizers.path(FILE))
-    t.encode_special_tokens = True
     return lambda s: t.encode(s or "", add_special_tokens=False).ids + [0]
 
 
@@ -27,8 +26,28 @@ def test_pieces_give_the_ids_of_the_whole_text():
               "x \u3000 y", "🙂 é 🙂a \u200b b", "\u2003 wide \u2009thin", "no\u2028 break", "a \uf8ffmark b", "\uf8ff", "plain words in a row", "foo.\nBar, baz!!\nqux| x",
               "a foo. b,c d.\n e\n\nf g\n1 h.5 i\u0301 don't. x's, Ünï.\nÜnï \u01c5x. ª. ²."]:
         for texts in ([s], [s, "ab " + s, s + " z " + s]):
-            for t, ids in zip(texts, encode.encode(pa.array(texts))):
-                assert np.frombuffer(ids, encode.dtype).tolist() == whole(t)[:-1], repr(t)
+            ids, length = encode.encode(pa.array(texts))
+            for t, got in zip(texts, np.split(ids, np.cumsum(length)[:-1])):
+                assert got.tolist() == whole(t), repr(t)
+
+
+def test_added_tokens_inside_texts():
+    encode, whole = tokenbin.Encoder(public_tokenizers.path(FILE)), plain()
+    texts = ["hello <|endoftext|> x", "<|endoftext|>", "a<|endoftext|>b c  d", "no token here", "<|endoftext"]
+    ids, length = encode.encode(pa.array(texts))
+    assert ids.tolist() == [i for t in texts for i in whole(t)] and length.tolist() == [len(whole(t)) for t in texts]
+    assert whole("hello <|endoftext|> x") == [31373, 220, 50256, 2124, 0]
+
+
+def test_generations_of_pieces(monkeypatch):
+    """Far more distinct pieces than are remembered, some met again and again."""
+    monkeypatch.setattr(tokenbin, "REMEMBERED", 50)
+    encode, whole = tokenbin.Encoder(public_tokenizers.path(FILE)), plain()
+    for i in range(40):
+        texts = [" ".join(f"w{(i * j) % 97} often x{i + j}" for j in range(30)), f"a  b w{i} often", "", f"one  {i} " + "often " * 70]
+        ids, length = encode.encode(pa.array(texts))
+        assert ids.tolist() == [x for t in texts for x in whole(t)] and length.tolist() == [len(whole(t)) for t in texts]
+        assert len(encode.now.number) < 50 + 200
 
 
 def expected(rows):

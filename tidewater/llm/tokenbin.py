@@ -19,7 +19,9 @@ Byte-level BPE never merges across the cut before a single space that stands
 between two non-space characters, so a text is cut there and each distinct
 piece is encoded once per worker; ids are those of the whole text (tested).
 
-Defined results: a null text counts as empty and has the end id alone; rows
+Defined results: a null text counts as empty and has the end id alone; a very
+long text is encoded whole, its pieces remembered like any; the ids are those of
+the library's plain call, so a text that spells an added token has its id; rows
 with equal keys stand next to each other; an empty table gives a manifest
 without files and no rows; extra columns are ignored.
 """
@@ -46,82 +48,143 @@ FIRST = "\uf8ff"
 WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and c != 0x20)
 BESIDE = f"[ {WHITE}] | [{WHITE}]|^ | $|{FIRST}"
 CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Pieces remembered per Python worker (about 200 bytes each).
-REMEMBERED = 600_000
+#: Pieces of a generation; a Python worker remembers two (about 150 bytes a piece).
+REMEMBERED = 400_000
 DOCS_AT_ONCE = 4096
-TEXTS_AT_ONCE = 512
+#: Bytes of the texts encoded together.
+RUN_BYTES = 4 << 20
+
+
+class Pieces:
+    """Remembered pieces: a number for each, and the ids of all in one growing array."""
+
+    def __init__(self, dtype: np.dtype, end_id: int):
+        self.number: dict[str, int] = {}
+        # number 0 is the end of a text
+        self.ids, self.used = np.full(1 << 16, end_id, dtype), 1
+        self.begin, self.length = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64)
+
+    def add(self, pieces: list[str], ids: np.ndarray, length: np.ndarray) -> None:
+        first, last = len(self.number) + 1, len(self.number) + 1 + len(pieces)
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.append(self.ids[: self.used], np.zeros(self.used + len(ids), self.ids.dtype))
+        if last > len(self.begin):
+            self.begin, self.length = (np.append(x[:first], np.zeros(last, np.int64)) for x in (self.begin, self.length))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.begin[first:last], self.length[first:last] = self.used + np.cumsum(length) - length, length
+        self.used += len(ids)
+        self.number.update(zip(pieces, range(first, last)))
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the numbered pieces, one after the other, and the end of each in them."""
+        length = self.length[numbers]
+        end = np.cumsum(length)
+        at = np.repeat(self.begin[numbers] - (end - length), length)
+        at += np.arange(len(at))
+        return self.ids[at], end
 
 
 class Encoder:
-    """Encodes whole texts piece by piece with a ``tokenizers`` file.
+    """Encodes whole texts piece by piece with a ``tokenizers`` file, each followed by ``end_id``.
 
     Texts are cut and their distinct pieces found by Arrow; Python sees each
-    distinct piece of a run of texts once.
+    distinct piece of a run of texts once.  A full generation of remembered
+    pieces becomes the old one; what is met again is carried over from there.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int = 0):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # strings such as <|endoftext|> inside a text are ordinary text
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        #: piece -> ids of a space and the piece; of the mark and a piece: ids of the piece
-        self.known: dict[str, bytes] = {}
-
-    def plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        self.end_id = end_id
+        self.now, self.old = Pieces(self.dtype, end_id), Pieces(self.dtype, end_id)
+        # texts that hold an added token, such as <|endoftext|>, are encoded whole
+        self.whole = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.slow = "|".join([BESIDE, *map(re.escape, self.whole)])
+        # a byte-level vocabulary spells each byte as one character
+        self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.bytes_of[i] = len(token)
+
+    def plain(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
     def learn(self, new: list[str]) -> None:
-        """Encode pieces in one go, each after its space, and cut the ids apart by their offsets."""
-        self.known.update((p, self.plain(p[1:])) for p in new if p[:1] == FIRST)
-        new = [p for p in new if p[:1] != FIRST]
-        if not new:
-            return
-        found = self.tokenizer.encode(" " + " ".join(new), add_special_tokens=False)
-        length = np.fromiter(map(len, new), np.int64, len(new)) + 1
-        begin = np.cumsum(length) - length
-        at = np.fromiter((a for a, _ in found.offsets), np.int64, len(found))
-        edge = np.append(np.searchsorted(at, begin), len(at)) * self.dtype.itemsize
-        ids = np.array(found.ids, self.dtype).tobytes()
-        edge = edge.tolist()
-        self.known.update((p, ids[a:b]) for p, a, b in zip(new, edge, edge[1:]))
-
-    def ids_of(self, distinct: list[str]) -> list[bytes]:
-        new = [p for p in distinct if p not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = distinct
-        self.learn(new)
-        return [self.known[p] for p in distinct]
-
-    def encode(self, texts: pa.Array) -> list[bytes]:
-        """The ids of each text of a string array as bytes of ``dtype``."""
-        if not len(texts):
-            return []
-        slow = pc.match_substring_regex(texts, BESIDE)
+        """Encode pieces in one go, each after its space, and cut the ids apart by the bytes that they stand for."""
+        firsts = [p for p in new if p[:1] == FIRST]
+        ids = [self.plain(p[1:]) for p in firsts]
+        length = [len(x) for x in ids]
+        rest = [p for p in new if p[:1] != FIRST]
+        if rest:
+            text = " " + " ".join(rest)
+            begin = np.flatnonzero(np.frombuffer(text.encode("utf-8"), np.uint8) == 32)
+            if len(begin) > len(rest):  # pieces of a text cut by ``CUT`` hold spaces
+                size = np.fromiter((len(p.encode("utf-8")) + 1 for p in rest), np.int64, len(rest))
+                begin = np.cumsum(size) - size
+            found = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            at = np.cumsum(self.bytes_of[found]) - self.bytes_of[found]
+            ids.append(found)
+            length.extend(np.diff(np.append(np.searchsorted(at, begin), len(at))).tolist())
+        self.now.add(firsts + rest, np.concatenate(ids), np.array(length, np.int64))
+
+    def numbers_of(self, distinct: list[str]) -> np.ndarray:
+        """The numbers of distinct pieces in the present generation."""
+        if len(self.now.number) >= REMEMBERED:
+            self.now, self.old = Pieces(self.dtype, self.end_id), self.now
+        known = self.now.number
+        found = list(map(known.get, distinct))
+        missing = [i for i, n in enumerate(found) if n is None]
+        if missing:
+            before = self.old.number
+            again = [p for i in missing if (p := distinct[i]) in before]
+            if again:
+                numbers = np.fromiter(map(before.get, again), np.int64, len(again))
+                self.now.add(again, self.old.gather(numbers)[0], self.old.length[numbers])
+            new = [p for i in missing if (p := distinct[i]) not in before]
+            if new:
+                self.learn(new)
+            for i in missing:
+                found[i] = known[distinct[i]]
+        return np.array(found, np.int64)
+
+    def one(self, text: str) -> np.ndarray:
+        """The ids of a text whose spaces are not all cuts, with the end id."""
+        if FIRST in text or any(t in text for t in self.whole):
+            return np.append(self.plain(text), np.array(self.end_id, self.dtype))
+        first, *rest = CUT.split(text)
+        ids = [self.plain(first)]
+        distinct = list(dict.fromkeys(rest))
+        if rest:
+            numbers = dict(zip(distinct, self.numbers_of(distinct).tolist()))
+            ids.append(self.now.gather(np.fromiter((numbers[p] for p in rest), np.int64, len(rest)))[0])
+        return np.append(np.concatenate(ids), np.array(self.end_id, self.dtype))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts of a string array, end ids included, and how many each text has."""
+        slow = pc.match_substring_regex(texts, self.slow)
         marked = pc.binary_join_element_wise(FIRST, pc.if_else(slow, "", texts), "")
         cut = pc.split_pattern(marked, " ")
         pieces = cut.flatten().dictionary_encode()
-        ids = self.ids_of(pieces.dictionary.to_pylist())
-        which = pieces.indices.to_numpy()
-        length = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
-        flat, begin = np.frombuffer(b"".join(ids), self.dtype), np.cumsum(length) - length
-        size = length[which]
-        end = np.cumsum(size)
-        out = flat[np.repeat(begin[which] - (end - size), size) + np.arange(end[-1])]
-        edge = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy())])].tolist()
-        found = [out[a:b].tobytes() for a, b in zip(edge, edge[1:])]
+        numbers = self.numbers_of(pieces.dictionary.to_pylist())
+        count = pc.list_value_length(cut).to_numpy().astype(np.int64)
+        sequence = np.zeros(len(pieces) + len(texts), np.int64)
+        sequence[np.arange(len(pieces)) + np.repeat(np.arange(len(texts)), count)] = numbers[pieces.indices.to_numpy()]
+        ids, end = self.now.gather(sequence)
+        length = np.diff(end[np.cumsum(count + 1) - 1], prepend=0)
+        if not pc.any(slow).as_py():
+            return ids, length
+        parts, at, edge = [], 0, np.cumsum(length)
         for i in np.flatnonzero(slow.to_numpy(zero_copy_only=False)).tolist():
-            first, *rest = CUT.split(texts[i].as_py())
-            found[i] = b"".join([self.plain(first), *self.ids_of(rest)]) if FIRST not in texts[i].as_py() else self.plain(texts[i].as_py())
-        return found
+            parts += [ids[at : edge[i] - length[i]], self.one(texts[i].as_py())]
+            at, length[i] = edge[i], len(parts[-1])
+        return np.concatenate([*parts, ids[at:]]), length
 
 
 @lru_cache(maxsize=2)
-def encoder_of(path: str) -> Encoder:
+def encoder_of(path: str, end_id: int) -> Encoder:
     """One encoder for all tasks of a Python worker."""
-    return Encoder(path)
+    return Encoder(path, end_id)
 
 
 def filesystem(uri: str):
@@ -155,8 +218,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_file: str, end_id: in
             if not batch.num_rows:
                 continue
             if encoder is None:
-                encoder = encoder_of(path)
-                end = np.array([end_id], encoder.dtype).tobytes()
+                encoder = encoder_of(path, end_id)
                 store, folder = filesystem(out)
                 store.create_dir(folder, recursive=True)
                 sink = {x: store.open_output_stream(f"{folder}/{name}.{x}") for x in ("ids", "off", "key")}
@@ -166,12 +228,14 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_file: str, end_id: in
             nulls += keys.null_count
             sink["key"].write(keys.fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
             ends = []
-            for a in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                for ids in encoder.encode(batch.column(1).slice(a, TEXTS_AT_ONCE)):
-                    sink["ids"].write(ids + end)
-                    at += len(ids) // width + 1
-                    ends.append(at)
-            sink["off"].write(np.array(ends, "<u8").tobytes())
+            run = np.cumsum(pc.binary_length(batch.column(1)).to_numpy().astype(np.int64)) // RUN_BYTES
+            edges = np.flatnonzero(np.diff(run, prepend=-1, append=-1)).tolist()
+            for a, b in zip(edges, edges[1:]):
+                ids, length = encoder.encode(batch.column(1).slice(a, b - a))
+                sink["ids"].write(ids.tobytes())
+                ends.append(at + np.cumsum(length))
+                at = int(ends[-1][-1])
+            sink["off"].write(np.concatenate(ends).astype("<u8").tobytes())
             offsets[0] += batch.num_rows
         for stream in sink.values():
             stream.close()
