@@ -48,10 +48,13 @@ STEPS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 128, 256, 1024)
 BLOCK_BITS = 1 << 25
 BLOCK_ROWS = 4096
 #: Texts waiting in a task for their blocks, in bytes.
-PENDING_BYTES = 16 << 20
+PENDING_BYTES = 12 << 20
 #: Items and bytes of item text searched together.
 GROUP_ITEMS = 512
 GROUP_BYTES = 512 << 10
+#: Terms whose slices are looked at together, and row group bytes of the index.
+TERMS_AT_ONCE = 1 << 11
+ROW_GROUP_BYTES = 16 << 20
 
 TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -83,11 +86,13 @@ def slice_rows(hashes: np.ndarray, step: int, width: int) -> np.ndarray:
 
 
 def signature(counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and steps of a document's entries."""
-    h = entry_hashes(list(counts))
-    tf = np.fromiter(counts.values(), np.int64, len(counts))
-    parts = [(h[tf >= t], t) for t in STEPS if t == 1 or (tf >= t).any()]
-    return np.concatenate([p for p, _ in parts]), np.concatenate([np.full(len(p), t) for p, t in parts])
+    """Hashes and counts of a document's terms."""
+    return entry_hashes(list(counts)), np.fromiter(counts.values(), np.int64, len(counts))
+
+
+def entries_of(tf: np.ndarray) -> int:
+    """Entries of a document whose terms have these counts."""
+    return int(np.searchsorted(STEPS, tf, "right").sum())
 
 
 def width_of(entries: int) -> int:
@@ -99,12 +104,16 @@ def rows_of(width: int) -> int:
     return max(8, min(BLOCK_ROWS, BLOCK_BITS // width) // 8 * 8)
 
 
-def sliced(entries: list[tuple[np.ndarray, np.ndarray]], width: int) -> bytes:
+def sliced(signatures: list[tuple[np.ndarray, np.ndarray]], width: int) -> bytes:
     """One bitmap over the documents per signature bit."""
-    bits = np.zeros((width, -(-len(entries) // 8) * 8), bool)
-    for i, (h, step) in enumerate(entries):
-        for t in np.unique(step).tolist():
-            bits[slice_rows(h[step == t], t, width).ravel(), i] = True
+    bits = np.zeros((width, -(-len(signatures) // 8) * 8), bool)
+    h, tf = (np.concatenate(x) for x in zip(*signatures))
+    doc = np.repeat(np.arange(len(signatures)), [len(x) for x, _ in signatures])
+    for t in STEPS:
+        some = tf >= t
+        h, tf, doc = h[some], tf[some], doc[some]
+        for bit in slice_rows(h, t, width):
+            bits[bit, doc] = True
     return np.packbits(bits, axis=1, bitorder="little").tobytes()
 
 
@@ -133,8 +142,8 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 if not counts:
                     continue
                 entries = signature(counts)
-                width = width_of(len(entries[0]))
-                cost = len(body) * 2 + 12 * len(entries[0])
+                width = width_of(entries_of(entries[1]))
+                cost = len(body) * 2 + 16 * len(entries[0])
                 waiting[width].append((name, sum(counts.values()), xxhash.xxh3_128_hexdigest(body.encode("utf-8", "surrogatepass")), body, entries))
                 size[width] += cost
                 total += cost
@@ -186,43 +195,55 @@ class Items:
     def __init__(self, lists: list[list[int]], found: list[bytes], weights: list[int], documents: int, length: int):
         self.lists, self.found, self.weights = lists, found, weights
         self.documents, self.length = documents, length
-        holders = defaultdict(list)
-        for i, places in enumerate(lists):
-            for p in places:
-                if weights[p]:
-                    holders[p].append(i)
-        self.holders = {p: np.array(x) for p, x in holders.items()}
-        self.hashes = entry_hashes(found)
+        pairs = np.array([(p, i) for i, places in enumerate(lists) for p in places if weights[p]], np.int64).reshape(-1, 2)
+        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+        #: terms in use, the items that hold each (from ``begin``, ``count`` of them) and their weights
+        self.places, self.begin, self.count = np.unique(pairs[:, 0], return_index=True, return_counts=True)
+        self.holders, self.weight = pairs[:, 1], np.array(weights, np.int64)[self.places]
+        self.hashes = entry_hashes([found[p] for p in self.places.tolist()])
 
     def bounds(self, width: int, rows: int, lengths: np.ndarray, slices) -> np.ndarray:
         """(items, documents): upper bounds of the scores in one block."""
         bitmaps = np.frombuffer(slices, np.uint8).reshape(width, -1)
-        m = norm(lengths, self.documents, self.length)
-        out = np.zeros((len(self.lists), rows), np.int64)
-        places = np.array(sorted(self.holders), np.int64)
-        at = [slice_rows(self.hashes[places], t, width) for t in STEPS]
-        for c, p in enumerate(places.tolist()):
-            may = np.bitwise_and.reduce(bitmaps[at[0][:, c]])
-            docs = np.flatnonzero(np.unpackbits(may, count=rows, bitorder="little"))
-            if not len(docs):
-                continue
+        out = np.zeros((len(self.lists), rows))
+        for a in range(0, len(self.places), TERMS_AT_ONCE):
+            self.add_bounds(out, bitmaps, slice(a, a + TERMS_AT_ONCE), lengths)
+        # sums of whole numbers in doubles are exact below 2 ** 53, else rounded up
+        return (out if out.max(initial=0) < 2.0**53 else np.ceil(out * (1 + 1e-9))).astype(np.int64)
+
+    def add_bounds(self, out: np.ndarray, bitmaps: np.ndarray, some: slice, lengths: np.ndarray) -> None:
+        """Add the weighted slices of some of the terms."""
+        hashes, rows = self.hashes[some], len(lengths)
+        may = np.bitwise_and.reduce(bitmaps[slice_rows(hashes, 1, len(bitmaps))])
+        term, doc = np.nonzero(np.unpackbits(may, axis=1, count=rows, bitorder="little"))
+        most, open_ = lengths[doc], np.arange(len(doc))
+        for t in STEPS[1:]:
             # the first step that is surely not reached bounds the count
-            most, open_ = lengths[docs].copy(), np.arange(len(docs))
-            for step in range(1, len(STEPS)):
-                may = may & np.bitwise_and.reduce(bitmaps[at[step][:, c]])
-                reached = (may[docs[open_] >> 3] >> (docs[open_] & 7).astype(np.uint8) & 1).astype(bool)
-                stopped = open_[~reached]
-                most[stopped] = np.minimum(most[stopped], STEPS[step] - 1)
-                open_ = open_[reached]
-                if not len(open_):
-                    break
-            bound = self.weights[p] * gain(most, m[docs])
-            holders = self.holders[p]
-            if len(docs) == rows:
-                out[holders] += bound
-            else:
-                out[holders[:, None], docs] += bound
-        return out
+            live = np.unique(term[open_])
+            may[live] &= np.bitwise_and.reduce(bitmaps[slice_rows(hashes[live], t, len(bitmaps))])
+            d = doc[open_]
+            reached = (may[term[open_], d >> 3] >> (d & 7).astype(np.uint8) & 1).astype(bool)
+            stopped = open_[~reached]
+            most[stopped] = np.minimum(most[stopped], t - 1)
+            open_ = open_[reached]
+            if not len(open_):
+                break
+        m = norm(lengths, self.documents, self.length)
+        bound = (self.weight[some][term] * gain(most, m[doc])).astype(float)
+        begin, count = self.begin[some], self.count[some]
+        # terms of many of the block's documents as a product of matrices, the others entry by entry
+        common = np.bincount(term, minlength=len(hashes)) * 8 > rows
+        held = np.zeros((len(out), int(common.sum())))
+        for column, p in enumerate(np.flatnonzero(common).tolist()):
+            held[self.holders[begin[p] : begin[p] + count[p]], column] = 1
+        dense, at = np.zeros((held.shape[1], rows)), common[term]
+        dense[(np.cumsum(common) - 1)[term[at]], doc[at]] = bound[at]
+        out += held @ dense
+        term, doc, bound = term[~at], doc[~at], bound[~at]
+        times = count[term]
+        first = np.repeat(begin[term] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        place = self.holders[first] * rows + np.repeat(doc, times)
+        out += np.bincount(place, np.repeat(bound, times), out.size).reshape(out.shape)
 
     def score(self, item: int, counts: Counter, n: int) -> int:
         m = norm(n, self.documents, self.length)
@@ -316,7 +337,7 @@ def top_k(docs: DataFrame, items: DataFrame, k: int = 10, key: str = "doc_id", t
           item_text: str = "text", group_items: int = GROUP_ITEMS, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """``item_id, rank, doc_id, score`` of the k documents of the highest scores above 0 for each item."""
     spark = docs.sparkSession
-    blocks = written(index(docs, key, text), "slices")
+    blocks = written(index(docs, key, text), "slices", ROW_GROUP_BYTES)
     whole = blocks.agg(F.sum("rows").alias("n"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("l")).first()
     documents, length = whole.n or 0, whole.l or 0
     kind = items.schema[item_key].dataType.simpleString()
