@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import written
+from tidewater.llm.common import bitmap_of, in_bitmap, written
 from tidewater.llm.simhash import components
 
 SEED = 42
@@ -264,6 +264,21 @@ def keyed_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("body"))
 
 
+def maybe_members(texts: DataFrame, members: DataFrame, slot_bits: int) -> DataFrame:
+    """The rows of ``texts`` whose text hash may be one of ``members``, so that only those are shuffled.
+
+    What is broadcast is a bitmap of ``2 ** slot_bits`` bits, whatever the number of members.
+    """
+    bitmap = texts.sparkSession.sparkContext.broadcast(bitmap_of(members, "th", slot_bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(bitmap.value, np.uint8)
+        for b in batches:
+            yield b.filter(pa.array(in_bitmap(bits, b.column(1).to_numpy().view(np.uint64), slot_bits)))
+
+    return texts.mapInArrow(run, texts.schema)
+
+
 def candidate_edges(classes: DataFrame, most: int, percent: int, chunk: int) -> DataFrame:
     """``a, b``: a spanning forest of the meetings in every bucket of two and more."""
     keyed = classes.select("id", F.col("n_shingles").cast("int").alias("size"), "sketch", F.explode("keys").alias("bucket"))
@@ -352,7 +367,7 @@ def confirmed(members: DataFrame, texts: DataFrame, k: int, most: int, percent:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = 3, percent: int = 85,
-                    bands: int = 32, rows: int = 6, chunk: int = 4096, part_bytes: int = 2 << 20) -> DataFrame:
+                    bands: int = 32, rows: int = 6, chunk: int = 4096, part_bytes: int = 2 << 20, slot_bits: int = 27) -> DataFrame:
     """Per row: ``key, n_shingles, component_id, kept`` over links of at least ``percent`` similarity."""
     most = most_bits(percent, bands * rows)
     signed = written(signed_rows(docs, key, text, shingle_words, bands, rows), "odd")
@@ -364,7 +379,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     candidates = written(candidate_edges(single, most, percent, chunk), "meetings")
     members = single.select("id", "key", "th", "sketch", (F.col("n_shingles") * 8 + 64).alias("bytes")).join(
         components(candidates).select(F.col("node").alias("id"), F.col("label").alias("group")), "id")
-    links = written(confirmed(members, keyed_texts(docs, key, text), shingle_words, most, percent, part_bytes), "links")
+    members = written(members, "members")
+    texts = maybe_members(keyed_texts(docs, key, text), members, slot_bits)
+    links = written(confirmed(members, texts, shingle_words, most, percent, part_bytes), "links")
     found = grouped(links, classes, "found")
     smallest = found.groupBy("found").agg(F.min("least").alias("component_id"))
     named = found.join(smallest, "found").select("high", "low", "component_id")
