@@ -86,7 +86,8 @@ def test_fingerprints_are_those_of_the_bytes():
     start, end = np.array([0, 8, 4, 12, 16]), np.array([3, 11, 7, 15, 22])
     a, b, c, d, e = phrases.fingerprints(data, start, end, 1).tolist()
     assert a == b and c == d and len({a, c, e}) == 3
-    assert phrases.fingerprints(data, np.array([0]), np.array([7]), 1) == phrases.fingerprints(data, np.array([8]), np.array([15]), 1)
+    one, two = (phrases.fingerprints(data, np.array([s]), np.array([s + 7]), 1, lang)[0] for s, lang in ((0, "en"), (8, "de")))
+    assert one != two == phrases.fingerprints(data, np.array([0]), np.array([7]), 1, "de")[0]
 
 
 def test_rows_keep_every_ngram():

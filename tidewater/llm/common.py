@@ -30,17 +30,39 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage with files that survive a lost executor; later steps
-    reuse the rows instead of computing them again.
+    reuse the rows instead of computing them again.  ``group_bytes`` bounds the
+    row groups, which readers and writers hold in memory, of tables with large rows.
     """
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.parquet(path)
+    writer = df.write if group_bytes is None else df.write.option("parquet.block.size", str(group_bytes))
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
+
+def bitmap_of(hashes: DataFrame, column: str, bits: int) -> bytes:
+    """A bitmap of ``2 ** bits`` bits (15 at least) with the bit of each 64-bit hash's ``bits`` high bits set."""
+    place = F.shiftrightunsigned(column, 64 - bits) + 1
+    parts = (
+        hashes.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+        .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    )
+    out = bytearray(1 << bits >> 3)
+    for r in parts.collect():  # at most 2 ** bits / 32768 rows of 4 KiB
+        out[(r.bucket - 1) * 4096 : r.bucket * 4096] = r.bits
+    return bytes(out)
+
+
+def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Whether the bit of each (unsigned) hash is set: surely so for hashes put in, seldom for others."""
+    slot = hashes >> np.uint64(64 - bits)
+    return bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+
 def byte_runs(texts: list[bytes], lead: int, limit: int = 1 << 20):
     """Cut texts into runs of about ``limit`` bytes for array work.
 

@@ -3,12 +3,12 @@
 Texts are lower-cased (A-Z), cut at ``[.,;:!?\\x0A-\\x0D]`` into pieces and
 those into words ``[^\\x20\\x09]+``; they are written once as rows of canonical
 bytes (words one space apart, pieces one line apart), so an occurrence is a
-pointer ``(row, offset, length)``.
+pointer, one number: ``row * ROW_BYTES + offset``.
 
 Level by level (words, then pairs, ...) numpy prefix polynomials give the
 64-bit fingerprint of every n-gram of a row at once:
 ``(S[end] - S[start]) * base ** -start`` with ``S`` the prefix sums of
-``value[byte] * base ** place``.  A task counts the fingerprints of many rows
+``value[byte] * base ** place``, mixed with the language.  A task counts the fingerprints of many rows
 and hands on one row per distinct one with a pointer; the shuffle adds up the
 counts and keeps the least pointer.  An n-gram can only be frequent if both its
 (n-1)-grams are: the frequent fingerprints of a level become a bitmap of a
@@ -31,6 +31,7 @@ no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache, reduce
@@ -42,18 +43,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import written
+from tidewater.llm.common import bitmap_of, in_bitmap, written
 
-#: Canonical bytes of a row, bytes waiting in a task for their rows, and n-grams counted together.
+#: Canonical bytes of a row (no n-gram starts beyond), bytes waiting in a task for their rows, and n-grams counted together.
 ROW_BYTES = 1 << 20
 PENDING_BYTES = 8 << 20
 GRAMS_AT_ONCE = 1 << 21
+ROW_GROUP_BYTES = 16 << 20
 
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 CANONICAL = bytes(
     10 if b in BREAKS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256)
 )
-POINTER = "batch long, at int, length int"
+#: Row numbers a task can give; its number stands before them.
+ROWS_A_TASK = 1 << 22
 
 
 def canonical(texts: list[bytes]) -> bytes:
@@ -91,7 +94,7 @@ def canonical_rows(docs: DataFrame, text: str, lang: str, context: int, limit: i
     """``batch, lang, words, tail, data``: the corpus as canonical bytes, one language a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, size, total, number = defaultdict(list), defaultdict(int), 0, TaskContext.get().partitionId() << 31
+        waiting, size, total, number = defaultdict(list), defaultdict(int), 0, TaskContext.get().partitionId() * ROWS_A_TASK
 
         def out(name: str) -> Iterator[pa.RecordBatch]:
             nonlocal number
@@ -130,41 +133,21 @@ def powers(seed: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return value, run[0], run[1]
 
 
-def fingerprints(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int, bits: int = 64) -> np.ndarray:
-    """Fingerprints of the byte ranges ``[start, end)`` of ``data``; ``bits`` below 64 for tests."""
+def fingerprints(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int, lang: str = "", bits: int = 64) -> np.ndarray:
+    """Fingerprints of the byte ranges ``[start, end)`` of ``data`` in a language; ``bits`` below 64 for tests."""
     value, up, down = powers(seed, 1 << max(20, int(len(data)).bit_length()))
     prefix = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(value[data] * up[: len(data)], out=prefix[1:])
     h = (prefix[end] - prefix[start]) * down[start]
     h ^= h >> np.uint64(32)
+    h ^= np.uint64(crc32(lang.encode()) * 0x100000001 ^ seed)
     h *= np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
     return h >> np.uint64(64 - bits) << np.uint64(64 - bits)
 
 
-def slots(fp: np.ndarray, lang: str, slot_bits: int) -> np.ndarray:
-    """Bit of the bitmap for each fingerprint; ``slot_column`` is the same for a table."""
-    return (fp ^ (np.uint64(crc32(lang.encode())) << np.uint64(32))) >> np.uint64(64 - slot_bits)
-
-
-def slot_column(slot_bits: int):
-    mixed = F.col("fp").bitwiseXOR(F.shiftleft(F.crc32(F.col("lang").cast("binary")), 32))
-    return F.shiftrightunsigned(mixed, 64 - slot_bits)
-
-
-def bitmap_of(frequent: DataFrame, slot_bits: int) -> bytes:
-    """The bits of the frequent fingerprints, ``2 ** slot_bits / 8`` bytes whatever their number."""
-    place = slot_column(slot_bits) + 1
-    parts = (
-        frequent.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
-        .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    )
-    out = bytearray(max(4096, 1 << slot_bits >> 3))
-    for r in parts.collect():  # at most 2 ** slot_bits / 32768 rows of 4 KiB
-        out[(r.bucket - 1) * 4096 : r.bucket * 4096] = r.bits
-    return bytes(out)
-
-
 def grams(data: np.ndarray, tail: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of a row, the starting words of its n-grams of ``size`` words, and
     for each word the piece it stands in."""
@@ -176,96 +159,87 @@ def grams(data: np.ndarray, tail: int, size: int) -> tuple[np.ndarray, np.ndarra
 
 
 def counted(rows: DataFrame, size: int, below=None, slot_bits: int = 27, bits: int = 64) -> DataFrame:
-    """``lang, fp, check, n, batch, at, length``: counts of the n-grams of ``size`` words as the tasks see them.
+    """``fp, check, n, pointer``: counts of the n-grams of ``size`` words as the tasks see them, with an occurrence.
 
     ``below`` is the broadcast bitmap of the frequent n-grams of one word less.
     """
-    seen = rows.select("lang", "batch", "tail", "data")
+    names = ["fp", "check", "n", "pointer"]
 
-    def flush(lang: str, found: list) -> pa.RecordBatch:
-        fp, check, batch, at, length = (np.concatenate(x) for x in zip(*found))
+    def flush(found: list) -> pa.RecordBatch:
+        fp, check, pointer = (np.concatenate(x) for x in zip(*found))
+        found.clear()
         order = np.argsort(fp)
-        f, c = fp[order], check[order]
-        new = np.append(True, (f[1:] != f[:-1]) | (c[1:] != c[:-1]))
-        begin = np.flatnonzero(new)
-        n = np.diff(np.append(begin, len(f)))
-        # the least occurrence of each, for a result that does not hang on the sort
-        lead = np.minimum.reduceat(order, begin)
-        arrays = [pa.repeat(pa.scalar(lang, pa.string()), len(begin))]
-        arrays += [pa.array(x.view(np.int64)) for x in (f[begin], c[begin])]
-        arrays += [pa.array(n), pa.array(batch[lead]), pa.array(at[lead]), pa.array(length[lead])]
-        return pa.RecordBatch.from_arrays(arrays, names=["lang", "fp", "check", "n", "batch", "at", "length"])
+        fp, check, pointer = fp[order], check[order], pointer[order]
+        begin = np.flatnonzero(np.append(True, (fp[1:] != fp[:-1]) | (check[1:] != check[:-1])))
+        n = np.diff(np.append(begin, len(fp)))
+        least = np.minimum.reduceat(pointer, begin)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (fp[begin].view(np.int64), check[begin].view(np.int64), n, least)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, total = defaultdict(list), 0
+        waiting, total = [], 0
         may = np.frombuffer(below.value, np.uint8) if below is not None else None
         for b in batches:
             for i in range(b.num_rows):
-                lang, batch, tail = (b.column(c)[i].as_py() for c in range(3))
+                batch, lang, tail = (b.column(c)[i].as_py() for c in range(3))
                 data = np.frombuffer(b.column(3)[i].as_buffer(), np.uint8)
                 start, end, first, piece = grams(data, tail, size)
                 if may is not None and len(first):
                     part = np.flatnonzero(piece[: len(piece) - size + 2] == piece[size - 2 :])
-                    slot = slots(fingerprints(data, start[part], end[part + size - 2], 1, bits), lang, slot_bits)
-                    bit = may[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1
                     ok = np.zeros(len(start) + 1, bool)
-                    ok[part] = bit == 1
+                    ok[part] = in_bitmap(may, fingerprints(data, start[part], end[part + size - 2], 1, lang, bits), slot_bits)
                     first = first[ok[first] & ok[first + 1]]
-                if not len(first):
-                    continue
-                s, e = start[first], end[first + size - 1]
-                found = [fingerprints(data, s, e, 1, bits), fingerprints(data, s, e, 2)]
-                waiting[lang].append((*found, np.full(len(s), batch), s.astype(np.int32), (e - s).astype(np.int32)))
-                total += len(s)
+                if len(first):
+                    s, e = start[first], end[first + size - 1]
+                    waiting.append((fingerprints(data, s, e, 1, lang, bits), fingerprints(data, s, e, 2, lang), s + batch * ROW_BYTES))
+                    total += len(s)
                 if total >= GRAMS_AT_ONCE:
-                    yield from (flush(k, v) for k, v in waiting.items())
-                    waiting, total = defaultdict(list), 0
-        yield from (flush(k, v) for k, v in waiting.items())
+                    yield flush(waiting)
+                    total = 0
+        if waiting:
+            yield flush(waiting)
 
-    return seen.mapInArrow(run, f"lang string, fp long, check long, n long, {POINTER}")
+    return rows.select("batch", "lang", "tail", "data").mapInArrow(run, "fp long, check long, n long, pointer long")
 
 
 def texts_at(pointers: DataFrame, rows: DataFrame) -> DataFrame:
-    """``pointers`` (``batch, at, length`` and others) with ``phrase``, the text pointed at."""
-    others = [c for c in pointers.columns if c != "batch"]
-    lists = pointers.groupBy("batch").agg(F.collect_list(F.struct(*others)).alias("found"))
-    kinds = pointers.select(*others).schema
-    joined = rows.select("batch", "data").join(lists, "batch").select("data", "found")
+    """``lang, words, phrase, a`` of ``pointers (pointer, words, a)``: the texts pointed at."""
+    found = pointers.select(F.shiftrightunsigned("pointer", 20).alias("batch"), F.col("pointer").bitwiseAND(ROW_BYTES - 1).alias("at"), "words", "a")
+    lists = found.groupBy("batch").agg(F.collect_list(F.struct("at", "words", "a")).alias("found"))
+    joined = rows.select("batch", "lang", "data").join(lists, "batch").select("lang", "data", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                data, found = b.column(0)[i].as_py(), b.column(1)[i].values
-                at, length = found.field("at").to_pylist(), found.field("length").to_pylist()
-                phrase = pa.array([data[a : a + n] for a, n in zip(at, length)], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([found.field(c) for c in others] + [phrase], names=[*others, "phrase"])
+                lang, data, found = b.column(0)[i], b.column(1)[i].as_py(), b.column(2)[i].values
+                words = found.field("words").to_pylist()
+                shape = {w: re.compile(rb"[^ \n]+(?: [^ \n]+){%d}" % (w - 1)) for w in set(words)}
+                phrase = [shape[w].match(data, at).group() for w, at in zip(words, found.field("at").to_pylist())]
+                columns = [pa.repeat(lang, len(phrase)), found.field("words"), pa.array(phrase, pa.binary()).cast(pa.string()), found.field("a")]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "words", "phrase", "a"])
 
-    return joined.mapInArrow(run, kinds.add("phrase", "string"))
+    return joined.mapInArrow(run, "lang string, words int, phrase string, a long")
 
 
 def frequent_phrases(rows: DataFrame, longest: int, at_least: int, slot_bits: int = 27, bits: int = 64) -> DataFrame:
     """``lang, words, phrase, a``: every phrase of up to ``longest`` words that occurs ``at_least`` times in its language."""
-    spark, below, levels = rows.sparkSession, None, []
+    spark, below, levels, pointers = rows.sparkSession, None, [], []
     for size in range(1, longest + 1):
         partial = counted(rows, size, below, slot_bits, bits)
-        totals = partial.groupBy("lang", "fp").agg(
-            F.sum("n").alias("a"), F.min("check").alias("low"), F.max("check").alias("high"),
-            F.min(F.struct("batch", "at", "length")).alias("pointer"),
-        )
+        totals = partial.groupBy("fp").agg(
+            F.sum("n").alias("a"), F.min("check").alias("low"), F.max("check").alias("high"), F.min("pointer").alias("pointer"))
         level = written(totals.filter(F.col("a") >= at_least).withColumn("words", F.lit(size)), f"phrases{size}")
-        alone = level.filter("low = high").select("lang", "words", "a", "pointer.*")
-        collided = level.filter("low <> high").select("lang", "fp")
+        pointers.append(level.filter("low = high").select("pointer", "words", "a"))
+        collided = level.filter("low <> high").select("fp")
         if not collided.isEmpty():
             # several phrases with one fingerprint: all their occurrences are told apart by their text
-            mixed = partial.join(collided, ["lang", "fp"], "left_semi").select("lang", "n", "batch", "at", "length")
-            apart = texts_at(mixed, rows).groupBy("lang", "phrase").agg(F.sum("n").alias("a")).filter(F.col("a") >= at_least)
-            levels.append(apart.select("lang", F.lit(size).alias("words"), "phrase", "a"))
-        levels.append(texts_at(alone, rows).select("lang", "words", "phrase", "a"))
+            mixed = partial.join(collided, "fp", "left_semi").select("pointer", F.lit(size).alias("words"), F.col("n").alias("a"))
+            apart = texts_at(mixed, rows).groupBy("lang", "words", "phrase").agg(F.sum("a").alias("a")).filter(F.col("a") >= at_least)
+            levels.append(apart)
         if size < longest:
             if below is not None:
                 below.unpersist()
-            below = spark.sparkContext.broadcast(bitmap_of(level, slot_bits))
-    return reduce(DataFrame.unionByName, levels)
+            below = spark.sparkContext.broadcast(bitmap_of(level, "fp", slot_bits))
+    return reduce(DataFrame.unionByName, [*levels, texts_at(reduce(DataFrame.union, pointers), rows)])
 
 
 def collocations(docs: DataFrame, longest: int = 3, at_least: int = 10, top: int = 2000, inside_percent: int = 50,
@@ -277,7 +251,7 @@ def collocations(docs: DataFrame, longest: int = 3, at_least: int = 10, top: int
     cut), ``n`` all words of the language.  A phrase goes if one longer phrase
     holds it and has at least ``inside_percent`` of its occurrences.
     """
-    rows = written(canonical_rows(docs, text, lang, longest - 1, row_bytes), "canonical")
+    rows = written(canonical_rows(docs, text, lang, longest - 1, min(row_bytes, ROW_BYTES)), "canonical", ROW_GROUP_BYTES)
     known = written(frequent_phrases(rows, longest, at_least, slot_bits, bits), "frequent")
     total = rows.groupBy("lang").agg(F.sum("words").alias("n"))
     part = F.split("phrase", " ")
