@@ -105,3 +105,13 @@ def test_sort_nulls_last_both_directions(spark):
     asc = [r.x for r in df.orderBy(F.col("x").asc_nulls_last()).collect()]
     desc = [r.x for r in df.orderBy(F.col("x").desc_nulls_last()).collect()]
     assert asc == [1, 3, None] and desc == [3, 1, None]
+
+
+def test_fractions_are_rounded_once(spark):
+    texts = {"0.49999999999": 0, "2.49999999999": 2, "-0.49999999999": 0, ".5": 1, "5.": 5, "-.5": -1, " 7.5 ": 8, "+3.5": 4, "00012.50": 13,
+             "1.5e1": 15, "x.5": None, ".": None, "-": None, "": None, "1.2.3": None, "9223372036854775807.4": 2**63 - 1,
+             "9223372036854775807.5": None, "123456789012345678901234567890123456789.1": None, None: None}
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", try_cast_long("t").alias("n"), try_cast_int("t").alias("i"))
+    for r in df.collect():
+        assert r.n == texts[r.t], r.t
+        assert r.i == (texts[r.t] if texts[r.t] is not None and abs(texts[r.t]) < 2**31 else None), r.t

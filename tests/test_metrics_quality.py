@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.metrics import Measure, MetricsView, auto_metrics, classify_type, densify, measure_name
@@ -66,3 +67,20 @@ def test_counts_profile_diff(spark):
     assert prof["s"].null_count == 1 and prof["d"].max_value == "2.25" and prof["id"].distinct_count == 2
     d = diff_tables(a, b, ["id"]).first()
     assert (d.rows_a, d.rows_b, d.only_in_a, d.only_in_b, d.changed, d.columns_only_in_a) == (2, 2, 1, 1, 0, "d")
+
+
+def test_diff_joins_only_buckets_that_differ(spark):
+    from tidewater.ops import unequal_buckets
+
+    a = spark.range(5000).select(F.col("id"), (F.col("id") * 3).alias("v"), F.lit(None).cast("string").alias("s"))
+    b = a.withColumn("v", F.when(F.col("id") == 1234, -1).otherwise(F.col("v"))).repartition(5)
+    assert unequal_buckets(a, b, ["id"], ["v", "s"], 1 << 12).where("differs").count() == 1
+    assert unequal_buckets(a, a.repartition(3), ["id"], ["v", "s"], 1 << 12).where("differs").count() == 0
+    d = diff_tables(a, b, ["id"]).first()
+    assert (d.rows_a, d.rows_b, d.only_in_a, d.only_in_b, d.changed) == (5000, 5000, 0, 0, 1)
+    # rows twice do not cancel out in the checksums
+    twice = a.union(a.where("id = 7")).union(a.where("id = 7"))
+    d = diff_tables(a, twice, ["id"]).first()
+    assert (d.rows_a, d.rows_b) == (5000, 5002)
+    d = diff_tables(a.limit(0), a, ["id"]).first()
+    assert (d.rows_a, d.rows_b, d.only_in_a, d.only_in_b, d.changed) == (0, 5000, 0, 5000, 0)

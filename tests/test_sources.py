@@ -74,6 +74,19 @@ def test_flatten_and_explode(spark):
     assert equal.select("_dlt_id").distinct().count() == 50
 
 
+def test_row_ids_depend_on_the_rows_alone(spark):
+    rows = [(i % 5, None if i % 3 else "x", -0.0 if i % 2 else 0.0) for i in range(60)] + [(7, "alone", 1.0)]
+    df = spark.createDataFrame(rows, "id int, x string, z double")
+    ids = [sorted(r._dlt_id for r in stamp_load(d, "l", **at).collect())
+           for d, at in ((df, {}), (df.repartition(7), {}), (df.orderBy(F.rand(3)).coalesce(1), {"copies_at_once": 2}), (df.union(df.limit(0)), {"copies_at_once": 1}))]
+    assert ids[0] == ids[1] == ids[2] == ids[3] and len(set(ids[0])) == len(rows)
+    back = stamp_load(df, "l").drop("_dlt_id", "_dlt_load_id")
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, df.collect())) and back.schema == df.schema
+    # a third of all rows equal: each run of copies is a row of its own before they are written out
+    hot = stamp_load(spark.range(9000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("id")), "l", copies_at_once=100)
+    assert hot.count() == 9000 == hot.select("_dlt_id").distinct().count()
+
+
 def test_load_audit_and_freshness(spark, tmp):
     record_load(spark, tmp, "github", status=0, load_id="a", inserted_at="2024-01-31 20:00:00")
     record_load(spark, tmp, "github", status=1, load_id="b", inserted_at="2024-01-31 23:30:00")

@@ -2,9 +2,11 @@
 
 ``try_cast(text AS INT)`` in the reference engine rounds numeric text
 ('12.7' -> 13, '1e2' -> 100) while Spark returns NULL.  Plain integers are
-cast as they are; other numeric text goes through a decimal wide enough for
-every bigint, is rounded half away from zero and range-checked, so no digit is
-lost and garbage is NULL.
+cast as they are; a decimal fraction is taken apart at its point and rounded half
+away from zero by its first digit alone, so no digit is lost and nothing is rounded
+twice ('0.49999999999' -> 0).  Text with an exponent goes through a wide decimal.
+Results are range-checked; garbage is NULL.  Hexadecimal text and digits grouped by
+underscores are not taken as numbers.
 """
 
 from __future__ import annotations
@@ -28,11 +30,18 @@ def try_cast_double(c: ColumnOrName) -> Column:
     return _col(c).try_cast("double")
 
 
+# a sign, whole digits, a point and a fraction; whole digits or the fraction may be missing
+_FRACTION = r"^\s*([+-]?)(\d*)\.(\d*)\s*$"
+
+
 def _whole(c: ColumnOrName, kind: str, bounds: tuple[int, int]) -> Column:
     col = _col(c)
+    negative, digits, fraction = (F.regexp_extract(col, _FRACTION, i) for i in (1, 2, 3))
+    size = F.when(digits == "", F.lit("0")).otherwise(digits).try_cast("decimal(38,0)") + (F.substring(fraction, 1, 1) >= "5").cast("int")
+    split = F.when(col.rlike(_FRACTION) & ((digits != "") | (fraction != "")), F.when(negative == "-", -size).otherwise(size))
     # text such as '1e2' is no decimal literal to try_cast in every engine: doubles are the last resort
-    exact = F.coalesce(col.try_cast(_EXACT), F.round(col.try_cast("double")).try_cast(_EXACT))
-    rounded = F.round(exact)
+    power = F.when(col.rlike("[eE]"), F.round(F.coalesce(col.try_cast(_EXACT), F.round(col.try_cast("double")).try_cast(_EXACT))))
+    rounded = F.coalesce(split.cast("decimal(38,0)"), power.cast("decimal(38,0)"))
     low, high = (F.lit(str(b)).cast("decimal(38,0)") for b in bounds)
     fits = (rounded >= low) & (rounded <= high)
     return F.coalesce(col.try_cast(kind), F.when(fits, rounded).cast(kind))

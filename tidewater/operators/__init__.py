@@ -19,6 +19,7 @@ from tidewater.operators.joins import (
     spine_join,
     with_group_total,
 )
+from tidewater.operators.ordering import order_statistics, with_positions
 from tidewater.operators.windows import (
     add_rank,
     dedup_latest,
@@ -45,6 +46,8 @@ __all__ = [
     "spine_join",
     "with_group_total",
     "add_rank",
+    "order_statistics",
+    "with_positions",
     "dedup_latest",
     "period_over_period",
     "running_total",

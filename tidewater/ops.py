@@ -7,6 +7,7 @@ Everything returns a DataFrame computed by Spark; only scalar settings
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -146,24 +147,52 @@ def profile(df: DataFrame) -> DataFrame:
     )
 
 
-def diff_tables(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+def bucket_checksums(df: DataFrame, keys: Sequence[str], columns: Sequence[str], buckets: int, side: str) -> DataFrame:
+    """Per bucket of keys: rows and checksums that do not depend on the order of the rows."""
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in [*keys, *columns]])
+    return df.select(_bucket(keys, buckets).alias("_bucket"), h.alias("h")).groupBy("_bucket").agg(
+        F.count(F.lit(1)).alias(f"rows_{side}"), F.bit_xor("h").alias(f"xor_{side}"), F.sum(F.col("h").cast("decimal(20,0)")).alias(f"sum_{side}"))
+
+
+def _bucket(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(3), *[F.col(f"`{k}`") for k in keys]), F.lit(buckets)).cast("int")
+
+
+def unequal_buckets(a: DataFrame, b: DataFrame, keys: Sequence[str], columns: Sequence[str], buckets: int) -> DataFrame:
+    """All buckets of keys with their row counts and whether the two sides differ (``buckets`` rows at most)."""
+    both = bucket_checksums(a, keys, columns, buckets, "a").join(bucket_checksums(b, keys, columns, buckets, "b"), "_bucket", "full_outer")
+    equal = reduce(Column.__and__, [F.col(f"{x}_a").eqNullSafe(F.col(f"{x}_b")) for x in ("rows", "xor", "sum")])
+    return both.select("_bucket", F.coalesce("rows_a", F.lit(0)).alias("rows_a"), F.coalesce("rows_b", F.lit(0)).alias("rows_b"), (~equal).alias("differs"))
+
+
+def diff_tables(a: DataFrame, b: DataFrame, keys: Sequence[str], buckets: int = 1 << 16) -> DataFrame:
     """Row-count / schema / content comparison of two builds (OPS-9).
 
-    Full outer join on the keys (one shuffle of each side); a row is
-    'changed' when a non-key column differs (null-safe).
+    Each side is read once for the checksums of its key buckets; only rows of
+    buckets that differ are shuffled, to a full outer join on the keys, where a
+    row is 'changed' when a non-key column differs (null-safe).  Equal builds
+    shuffle ``buckets`` rows a task at most.  Two checksums of 64-bit hashes and
+    the row count must agree for a bucket to be taken as equal.
     """
     shared = [c for c in a.columns if c in b.columns and c not in keys]
-    ja = a.select(*keys, F.struct(*shared).alias("_a"), F.lit(True).alias("_in_a"))
-    jb = b.select(*keys, F.struct(*shared).alias("_b"), F.lit(True).alias("_in_b"))
-    j = ja.join(jb, list(keys), "full_outer")
-    return j.agg(
-        F.count_if(F.col("_in_a").isNotNull()).alias("rows_a"),
-        F.count_if(F.col("_in_b").isNotNull()).alias("rows_b"),
+    compared = unequal_buckets(a, b, keys, shared, buckets)
+    differing = compared.where("differs").select("_bucket")
+
+    def rows(df: DataFrame, side: str) -> DataFrame:
+        # at most ``buckets`` rows of one number each
+        some = df.withColumn("_bucket", _bucket(keys, buckets)).join(F.broadcast(differing), "_bucket", "left_semi")
+        return some.select(*keys, F.struct(*shared).alias(f"_{side}"), F.lit(True).alias(f"_in_{side}"))
+
+    j = rows(a, "a").join(rows(b, "b"), list(keys), "full_outer")
+    counts = compared.agg(F.coalesce(F.sum("rows_a"), F.lit(0)).alias("rows_a"), F.coalesce(F.sum("rows_b"), F.lit(0)).alias("rows_b"))
+    found = j.agg(
         F.count_if(F.col("_in_b").isNull()).alias("only_in_a"),
         F.count_if(F.col("_in_a").isNull()).alias("only_in_b"),
         F.count_if(F.col("_in_a").isNotNull() & F.col("_in_b").isNotNull() & ~F.col("_a").eqNullSafe(F.col("_b")))
         .alias("changed"),
-    ).select(
+    )
+    # one row each
+    return counts.withColumn("_one", F.lit(1)).join(F.broadcast(found.withColumn("_one", F.lit(1))), "_one").drop("_one").select(
         "*",
         F.lit(",".join(sorted(set(a.columns) - set(b.columns)))).alias("columns_only_in_a"),
         F.lit(",".join(sorted(set(b.columns) - set(a.columns)))).alias("columns_only_in_b"),

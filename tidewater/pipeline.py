@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from tidewater.operators import dedup_latest
 from tidewater.plans.core import LAYERS, Warehouse
 from tidewater.quality import ModelChecks, run_checks
-from tidewater.sources.sinks import record_load, table_path, write_table
+from tidewater.session import warehouse_dir
+from tidewater.sources.publish import vacuum
+from tidewater.sources.sinks import TABLES, record_load, table_path, write_table
 
 Reader = Callable[[SparkSession], Mapping[str, DataFrame]]
 
@@ -72,16 +74,24 @@ def run_all(
     checks: Sequence[ModelChecks] = (),
     skip_ingest: bool = False,
     skip_transform: bool = False,
+    threads: int = 1,
+    keep_versions: int | None = None,
 ) -> DataFrame | None:
-    """Ingest -> build -> check.  Returns the check report (or None)."""
+    """Ingest -> build (``threads`` models side by side) -> check.  Returns the check report (or None).
+
+    Table-layer models are published under their names in the warehouse folder;
+    of each, the newest ``keep_versions`` versions stay (all by default).
+    """
     if not skip_ingest:
         land_sources(spark, raw_root, sources)
     if skip_transform:
         return None
     tables = [m for m in models if LAYERS.get(m) == "table"]
     w = Warehouse(spark, landed_raw(spark, raw_root, source_of), materialize=tables)
-    for m in models:
-        w.ref(m)
+    w.build(models, threads)
+    if keep_versions is not None:
+        for m in tables:
+            vacuum(spark, warehouse_dir(spark), TABLES, m, keep_versions)
     if not checks:
         return None
     return run_checks(w.ref, list(checks)).orderBy(F.col("status"), "model", "column_name")

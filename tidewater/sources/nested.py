@@ -65,13 +65,27 @@ def explode_child(
     return exploded
 
 
-def stamp_load(df: DataFrame, load_id: str) -> DataFrame:
+#: Equal rows written out by one task.
+_COPIES_AT_ONCE = 1 << 20
+
+
+def stamp_load(df: DataFrame, load_id: str, copies_at_once: int = _COPIES_AT_ONCE) -> DataFrame:
     """Add ``_dlt_load_id`` (constant) and ``_dlt_id`` (NRM-3).
 
-    The id is the whole 256-bit hash of the row and the row's place in the
-    scan (partition and position), so equal rows keep ids of their own; it
-    needs no shuffle.  Landing writes it once, from then on it is stable.
+    The id is the 256-bit hash of the row and the row's number among the rows
+    equal to it, so it depends on the rows alone: a retry, another split or a
+    second read gives the same ids.  Equal rows are counted (combined before
+    the shuffle) and written out again from their count, in runs of
+    ``copies_at_once`` that go to different tasks; so many equal rows cost one
+    row of shuffle a task, and no task gathers them.
     """
-    row_hash = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])), 256)
-    place = F.monotonically_increasing_id().cast("string")
-    return df.withColumn("_dlt_load_id", F.lit(load_id)).withColumn("_dlt_id", F.concat_ws("-", row_hash, place))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    hashed = df.select(F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256).alias("h"), row.alias("r"))
+    counted = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.first("r").alias("r"))
+    few = counted.where(F.col("n") <= copies_at_once).select("h", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    runs = counted.where(F.col("n") > copies_at_once).select(
+        "h", "r", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(copies_at_once).cast("long"))).alias("from"))
+    last = F.least(F.col("n"), F.col("from") + copies_at_once) - 1
+    many = runs.repartition("h", "from").select("h", "r", F.explode(F.sequence(F.col("from"), last)).alias("i"))
+    stamped = few.unionByName(many)
+    return stamped.select("r.*", F.lit(load_id).alias("_dlt_load_id"), F.concat_ws("-", "h", F.col("i").cast("string")).alias("_dlt_id"))

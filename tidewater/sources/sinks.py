@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.session import warehouse_dir
+from tidewater.sources.publish import publish, published
 
 
 def table_path(root: str, layer: str, name: str) -> str:
@@ -33,25 +33,27 @@ def write_table(
     return path
 
 
+#: Layer folder of the models that a warehouse writes.
+TABLES = "tables"
+
+
 def materialize_table(
     spark: SparkSession,
     df: DataFrame,
     name: str,
     partition_by: list[str] | None = None,
 ) -> DataFrame:
-    """Write a model once under the warehouse folder and read it back (SNK-4).
+    """Publish a model once under the warehouse folder and read that version back (SNK-4).
 
     The written table is the lineage cut: downstream stages restart from it.
+    Other sessions find its newest version with ``published_table``.
     """
-    root = warehouse_dir(spark)
-    path = os.path.join(root, f"{name}-{uuid.uuid4().hex[:8]}")
-    writer = df.write.mode("overwrite").format("parquet")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.save(path)
-    # The schema is known: no footer inference on read-back, and partition
-    # columns keep their types and places.
-    return spark.read.schema(df.schema).parquet(path).select(*[F.col(f"`{c}`") for c in df.columns])
+    return publish(df, warehouse_dir(spark), TABLES, name, partition_by or ())
+
+
+def published_table(spark: SparkSession, name: str) -> DataFrame:
+    """The newest published version of a model, built by this or another session."""
+    return published(spark, warehouse_dir(spark), TABLES, name)
 
 
 def view(df: DataFrame, name: str) -> DataFrame:
