@@ -44,17 +44,17 @@ HASHES = 3
 BITS_PER_ENTRY = 10
 #: Counts at which a term gets a further entry.
 STEPS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 128, 256, 1024)
-#: Bits of a block (4 MiB), and its documents at most.
-BLOCK_BITS = 1 << 25
-BLOCK_ROWS = 4096
+#: Bits of a block (2 MiB), and its documents at most.
+BLOCK_BITS = 1 << 24
+BLOCK_ROWS = 2048
 #: Texts waiting in a task for their blocks, in bytes.
-PENDING_BYTES = 12 << 20
+PENDING_BYTES = 8 << 20
 #: Items and bytes of item text searched together.
 GROUP_ITEMS = 512
 GROUP_BYTES = 512 << 10
 #: Terms whose slices are looked at together, and row group bytes of the index.
-TERMS_AT_ONCE = 1 << 11
-ROW_GROUP_BYTES = 16 << 20
+TERMS_AT_ONCE = 1 << 10
+ROW_GROUP_BYTES = 8 << 20
 
 TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
