@@ -10,13 +10,19 @@ Plan: every literal (wildcard-free) window of ``p`` must occur verbatim in
 exploded into their n-grams; candidates come from an equi-join on the gram
 and are verified with LIKE.  Exact (no candidate cap), and the work is
 proportional to the true candidate set, not to |texts| x |patterns|.
+
+How many texts hold a gram is counted beforehand, in ``SLOTS`` slots of a hash
+(a slot counts at least as many as each of its grams): one array of fixed size,
+a scalar subquery of the same plan, that both sides look up.  It picks the
+rarest gram without a join, and a gram of more than ``SPLIT_ABOVE`` texts is
+split: its texts are dealt over so many salts, its patterns go to all of them.
+
 Patterns made only of wildcards (or empty) match every text at least as
-long as their ``_`` count.  They take a separate path: each such pattern
-lists the lengths from its ``_`` count up to the longest text of the other
-side (an equi-join on the side with the per-side maximum), and meets the
-texts on their exact length -- again an equi-join.  Texts carry one length
-key each, so no text is exploded by its length.  Without such patterns the
-branch's stages are tiny and run beside the main ones (no extra job).
+long as their ``_`` count.  Where only the first target is wanted they need no
+pairs: the least target per ``_`` count (or text length), a running minimum over
+the lengths (one row a length), and an equi-join on the length.  Where all
+pairs are wanted, each such pattern lists the lengths from its ``_`` count up to
+the longest text of the other side and meets the texts on their exact length.
 
 Both directions of a symmetric containment test ("a in b or b in a") run
 in one pass: every string is a text and a pattern at once, tagged with its
@@ -25,11 +31,15 @@ side, and a text only meets patterns of the other side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.session import checkpoint_dir
+
 _WILD = "[_%]"
 MAX_GRAM = 3
+SLOTS = 1 << 14
+SPLIT_ABOVE = 4096
 
 
 def _grams(text_col: Column, k: int) -> Column:
@@ -61,48 +71,98 @@ def _like_contains(lt: Column, lp: Column) -> Column:
     return F.like(lt, F.concat(F.lit("%"), escaped, F.lit("%")))
 
 
-def tagged_containment(strings: DataFrame) -> DataFrame:
-    """Containment pairs between the two sides of a tagged string set.
+def _lowered(strings: DataFrame) -> DataFrame:
+    return strings.where(F.col("value").isNotNull()).select("value", "side", F.lower("value").alias("lv"))
 
-    ``strings(value, side)`` with ``side`` in {0, 1}.  Returns distinct
-    ``(text, text_side, pattern)`` where the pattern (from the other side)
-    is contained in the text.
-    """
-    s = strings.where(F.col("value").isNotNull()).select(
-        "value", "side", F.lower("value").alias("lv")
-    )
+
+def _slot(side: Column, gram: Column) -> Column:
+    return (F.pmod(F.xxhash64(side, gram), F.lit(SLOTS)) + 1).cast("int")
+
+
+def _slot_counts(text_keys: DataFrame) -> DataFrame:
+    """One row, one array: how many text grams fall into each slot."""
+    spark = text_keys.sparkSession
+    counts = text_keys.groupBy(_slot(F.col("tside"), F.col("gram")).cast("long").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    dense = spark.range(1, SLOTS + 1).join(counts, F.col("id") == F.col("slot"), "left")
+    pairs = F.sort_array(F.collect_list(F.struct("id", F.coalesce("n", F.lit(0)).alias("n"))))
+    return dense.agg(F.transform(pairs, lambda x: x["n"]).alias("counts"))
+
+
+def _literal_hits(s: DataFrame, split_above: int) -> DataFrame:
+    """(text, tside, pattern) for patterns with a literal gram."""
     text_keys = s.select(
         F.col("value").alias("text"), F.col("side").alias("tside"), F.col("lv").alias("lt"),
         F.explode(_text_keys(F.col("lv"))).alias("key"),
-    ).select("text", "tside", "lt", F.col("key.k").alias("k"), F.col("key.gram").alias("gram"))
-
-    freq = text_keys.groupBy("tside", "k", "gram").agg(F.count(F.lit(1)).alias("freq"))
+    ).select("text", "tside", "lt", F.col("key.gram").alias("gram"))
+    counts = _slot_counts(text_keys.select("tside", "gram")).scalar()
+    freq = F.element_at(counts, _slot(F.col("tside"), F.col("gram")))
+    salts = F.ceil(F.col("freq") / F.lit(split_above)).cast("int")
 
     pat_keys = s.select(
         F.col("value").alias("pattern"), (F.lit(1) - F.col("side")).alias("tside"), F.col("lv").alias("lp"),
         F.explode(_pattern_keys(F.col("lv"))).alias("key"),
-    ).select("pattern", "tside", "lp", F.col("key.k").alias("k"), F.col("key.gram").alias("gram"))
-
-    scored = pat_keys.join(freq, ["tside", "k", "gram"], "left").withColumn(
-        "freq", F.coalesce(F.col("freq"), F.lit(0))
-    )
-    # Longest literal n first, then rarest.
+    ).select("pattern", "tside", "lp", F.col("key.k").alias("k"), F.col("key.gram").alias("gram")).withColumn("freq", freq)
+    # Longest literal n first, then rarest; a gram no text holds finds none.
     order = F.struct((-F.col("k")).alias("nk"), "freq", "gram")
-    block = scored.groupBy("pattern", "tside", "lp").agg(
-        F.min_by(F.struct("k", "gram"), order).alias("b")
-    ).select("pattern", "tside", "lp", F.col("b.k").alias("k"), F.col("b.gram").alias("gram"))
-    cand = block.join(text_keys, ["tside", "k", "gram"], "inner").select("text", "tside", "lt", "pattern", "lp")
-
-    hit = cand.where(_like_contains(F.col("lt"), F.col("lp")))
-    # Wildcard-only patterns: every text of the other side with length >= need.
-    wild = s.where(_wild_only(F.col("lv"))).select(
+    block = pat_keys.groupBy("pattern", "tside", "lp").agg(F.min_by(F.struct("gram", "freq"), order).alias("b")).select(
+        "pattern", "tside", "lp", F.col("b.gram").alias("gram"), F.col("b.freq").alias("freq")).where("freq > 0")
+    block = block.select("pattern", "tside", "lp", "gram", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    dealt = text_keys.withColumn("freq", freq).select("text", "tside", "lt", "gram", F.pmod(F.xxhash64("text"), salts).cast("int").alias("salt"))
+    cand = block.join(dealt, ["tside", "gram", "salt"])
+    return cand.where(_like_contains(F.col("lt"), F.col("lp"))).select("text", "tside", "pattern")
+
+
+def _wild(s: DataFrame) -> DataFrame:
+    """Patterns without a literal, with the length ``need`` that they ask of a text."""
+    return s.where(_wild_only(F.col("lv"))).select(
         F.col("value").alias("pattern"), (F.lit(1) - F.col("side")).alias("tside"), F.col("lv").alias("lp"),
         F.length(F.regexp_replace("lv", "[^_]", "")).alias("need"),
     )
-    hit = hit.unionByName(_wild_candidates(s, wild).where(_like_contains(F.col("lt"), F.col("lp"))))
+
+
+def tagged_containment(strings: DataFrame, split_above: int = SPLIT_ABOVE) -> DataFrame:
+    """Containment pairs between the two sides of a tagged string set.
+
+    ``strings(value, side)`` with ``side`` in {0, 1}.  Returns distinct
+    ``(text, text_side, pattern)`` where the pattern (from the other side)
+    is contained in the text.
+    """
+    s = _lowered(strings)
+    hit = _literal_hits(s, split_above).unionByName(_wild_candidates(s, _wild(s)).select("text", "tside", "pattern"))
     return hit.select("text", F.col("tside").alias("text_side"), "pattern").distinct()
 
 
+def _least_over_lengths(known: DataFrame, asked: DataFrame, longest_first: bool) -> DataFrame:
+    """(len, best) for the lengths ``asked(len)``: the least ``known(len, best)`` of lengths up to it, or from it on.
+
+    The running minimum meets one row a distinct length, whatever the number of strings.
+    """
+    rows = known.groupBy("len").agg(F.min("best").alias("best")).unionByName(
+        asked.select("len").distinct().withColumn("best", F.lit(None).cast("string")))
+    rows = rows.groupBy("len").agg(F.min("best").alias("best"))
+    order = Window.orderBy(F.desc("len") if longest_first else F.asc("len"))
+    return rows.withColumn("best", F.min("best").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(F.col("best").isNotNull())
+
+
+def least_contained(strings: DataFrame, split_above: int = SPLIT_ABOVE) -> DataFrame:
+    """(name, best): for each string of side 0 the least string of side 1 that contains it or is contained in it."""
+    s = _lowered(strings)
+    hits = _literal_hits(s, split_above)
+    literal = hits.select(
+        F.when(F.col("tside") == 0, F.col("text")).otherwise(F.col("pattern")).alias("name"),
+        F.when(F.col("tside") == 0, F.col("pattern")).otherwise(F.col("text")).alias("best"))
+    names = s.where("side = 0").select(F.col("value").alias("name"), F.length("lv").alias("len"))
+    targets = s.where("side = 1").select(F.col("value").alias("best"), F.length("lv").alias("len"))
+    wild = _wild(s)
+    # targets without a literal: the least one that asks no more than the name's length
+    wild_targets = wild.where("tside = 0").select(F.col("need").alias("len"), F.col("pattern").alias("best"))
+    by_target = names.join(_least_over_lengths(wild_targets, names, False), "len").select("name", "best")
+    # names without a literal: the least target that is long enough
+    wild_names = wild.where("tside = 1").select(F.col("need").alias("len"), F.col("pattern").alias("name"))
+    by_name = wild_names.join(_least_over_lengths(targets, wild_names, True), "len").select("name", "best")
+    return literal.unionByName(by_target).unionByName(by_name).groupBy("name").agg(F.min("best").alias("best"))
+
+
 def _wild_candidates(s: DataFrame, wild: DataFrame) -> DataFrame:
     """(text, tside, lt, pattern, lp) for wildcard-only patterns: texts of the
     other side whose length is at least the pattern's ``_`` count."""
@@ -139,8 +199,8 @@ def first_containment_match(
     group's ``name_cols`` values.
 
     Returns ``keys`` + every column of ``targets`` for matched groups only.
-    ``groups`` should be a small, already distinct frame (checkpointed by
-    the caller); facts are never paired with targets.
+    ``groups`` should be a small, already distinct frame; facts are never
+    paired with targets.
     """
     names = None
     for c in name_cols:
@@ -152,13 +212,9 @@ def first_containment_match(
         .unionByName(targets.select(F.col(target_col).alias("value"), F.lit(1).alias("side")))
         .distinct()
     )
-    pairs = tagged_containment(tagged)
-    # name contains target (text side 0) or target contains name (text side 1)
-    name_target = pairs.select(
-        F.when(F.col("text_side") == 0, F.col("text")).otherwise(F.col("pattern")).alias("name"),
-        F.when(F.col("text_side") == 0, F.col("pattern")).otherwise(F.col("text")).alias("tname"),
-    )
-    best = names.join(name_target, "name", "inner").groupBy(*keys).agg(F.min("tname").alias(target_col))
+    # the distinct names of both sides, met by every branch of the join: cut once into the shared folder
+    checkpoint_dir(groups.sparkSession)
+    best = names.join(least_contained(tagged.checkpoint()), "name").groupBy(*keys).agg(F.min("best").alias(target_col))
 
     other = [c for c in targets.columns if c != target_col]
     first_target = (
