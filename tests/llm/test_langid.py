@@ -99,3 +99,12 @@ def test_one_long_text_pushes_out_no_label(spark):
     kept = [r for r in few if r.label == "en"]
     assert 1 <= len(kept) < 41 and sum(len(r.text) for r in kept) <= 200 and shares["en"] == len(kept) / 41
     assert len({r.label for r in few}) == len(sizes)
+
+
+def test_texts_without_a_letter():
+    for t in ("", "½", "² Ⅷ ¼ 12 _", "!? 漢"[:2], "٣ 3"):
+        assert not langid.has_letter(t)
+    for t in ("½ a", "漢", "é", "²²²ß"):
+        assert langid.has_letter(t)
+    model = langid.Model({"en": [b"the cat sat on the mat " * 9]})
+    assert model.predict(["½", "the cat"])[0] == ["und", "en"]

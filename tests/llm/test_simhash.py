@@ -78,3 +78,14 @@ def test_drop_keeps_one_of_each_group(spark, edge_docs):
     ids = sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x))
     # 1, 2, 2 are one group; 3, 4, 5 and the null row have fingerprint zero
     assert ids == [1, 3, 7, 8, 9, None]
+
+
+def test_drop_keeps_clashing_columns_and_breaks_ties(spark):
+    rows = [(1, "a b c d", 5, "p"), (1, "a b c d", 6, "q"), (2, "quite another text here", 7, "r"), (None, None, 8, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __num long, row_key string")
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    got = sorted(map(tuple, kept.collect()), key=repr)
+    assert len(got) == 3 and set(got) <= set(rows)
+    again = simhash.drop_near_duplicates(docs.repartition(4)).collect()
+    assert sorted(map(tuple, again), key=repr) == got

@@ -41,10 +41,15 @@ ORDER = 3
 SAMPLE_ROWS = 500
 SAMPLE_BYTES = 1 << 20
 LEAST_COUNT = 4
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and numbers such as one half that are neither digits nor letters.
+MAYBE_LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in MAYBE_LETTER.finditer(text))
+
+
 def prepared(text: str | None) -> bytes:
     return (text or "").lower().encode("utf-8", "surrogatepass")
 
@@ -160,7 +165,7 @@ class Model:
         names, scores = [], []
         found = self.totals([prepared(t) for t in texts]) if self.languages else None
         for i, t in enumerate(texts):
-            if found is None or t is None or not LETTER.search(t):
+            if found is None or t is None or not has_letter(t):
                 names.append(UNKNOWN)
                 scores.append(0.0)
                 continue

@@ -181,14 +181,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = 3,
                          max_bits: int = 3, blocks: int = 5) -> DataFrame:
     """The rows of ``docs`` with one row of each component kept: the smallest key
-    (nulls last), then the smallest text hash.  Columns are unchanged."""
+    (nulls last), then the smallest text hash, of rows equal in both the one whose
+    columns have the smallest hash.  Columns are unchanged, whatever their names."""
     has, num, body = F.col(key).isNull(), F.coalesce(F.col(key), F.lit(0)), F.xxhash64(F.col(text))
     row_key = F.struct(has.alias("no_key"), num.alias("num"), body.alias("body"))
     fps = written(fingerprints(docs, row_key.alias("row_key"), text=text, shingle_words=shingle_words), "simhash")
-    kept = component_table(fps, "row_key", max_bits, blocks).select(F.col("component.*")).distinct().select(
-        F.col("no_key").alias("__no_key"), F.col("num").alias("__num"), F.col("body").alias("__body")
-    )
-    keys = ["__no_key", "__num", "__body"]
+    kept = component_table(fps, "row_key", max_bits, blocks).select(F.col("component").alias("row_key")).distinct()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    # a row travels in one struct, so no column of the input meets one of ours
+    single = docs.select(row_key.alias("row_key"), F.struct(*columns).alias("row"), F.xxhash64(*hashed).alias("tie"))
     # identical rows collapse before the shuffle, and the semi-join reuses its partitioning
-    single = docs.withColumns({"__no_key": has, "__num": num, "__body": body}).dropDuplicates(keys)
-    return single.join(kept, keys, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    single = single.groupBy("row_key").agg(F.min_by("row", "tie").alias("row"))
+    return single.join(kept, "row_key", "left_semi").select("row.*")
