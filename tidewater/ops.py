@@ -184,15 +184,16 @@ def diff_tables(a: DataFrame, b: DataFrame, keys: Sequence[str], buckets: int =
         return some.select(*keys, F.struct(*shared).alias(f"_{side}"), F.lit(True).alias(f"_in_{side}"))
 
     j = rows(a, "a").join(rows(b, "b"), list(keys), "full_outer")
-    counts = compared.agg(F.coalesce(F.sum("rows_a"), F.lit(0)).alias("rows_a"), F.coalesce(F.sum("rows_b"), F.lit(0)).alias("rows_b"))
+    names = ["rows_a", "rows_b", "only_in_a", "only_in_b", "changed"]
+    counts = compared.agg(F.sum("rows_a").alias("rows_a"), F.sum("rows_b").alias("rows_b"))
     found = j.agg(
         F.count_if(F.col("_in_b").isNull()).alias("only_in_a"),
         F.count_if(F.col("_in_a").isNull()).alias("only_in_b"),
         F.count_if(F.col("_in_a").isNotNull() & F.col("_in_b").isNotNull() & ~F.col("_a").eqNullSafe(F.col("_b")))
         .alias("changed"),
     )
-    # one row each
-    return counts.withColumn("_one", F.lit(1)).join(F.broadcast(found.withColumn("_one", F.lit(1))), "_one").drop("_one").select(
+    # one row each, added up
+    return counts.unionByName(found, allowMissingColumns=True).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).select(
         "*",
         F.lit(",".join(sorted(set(a.columns) - set(b.columns)))).alias("columns_only_in_a"),
         F.lit(",".join(sorted(set(b.columns) - set(a.columns)))).alias("columns_only_in_b"),
