@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import written
+from tidewater.llm.common import BLOCK_ROWS_A_BATCH, small_batches, written
 
 HASHES = 3
 BITS_PER_ENTRY = 10
@@ -333,11 +333,42 @@ def item_groups(items: DataFrame, key: str, text: str, group_items: int, group_b
         yield group
 
 
+def searched(blocks: DataFrame, group: list, sets: list, place: dict, documents: int, length: int, k: int, names_of: tuple) -> DataFrame:
+    """The ranked documents of one group of items, written; ``names_of`` has the item key's name and type and the documents' key."""
+    spark = blocks.sparkSession
+    vocabulary = spark.sparkContext.broadcast(place)
+    df = frequencies(blocks, vocabulary)
+    weights = [math.floor(1000 * math.log((2 * documents + 2) / (2 * n + 1))) if n else 0 for n in df]
+    known = Items([[place[t] for t in s if df[place[t]]] for s in sets], list(place), weights, documents, length)
+    held = spark.sparkContext.broadcast(known)
+    chosen = defaultdict(list)
+    for r in highest(blocks, held, k).collect():  # k rows an item of the group at most
+        chosen[r.block].append((r.item, r.at))
+    picked = spark.sparkContext.broadcast(dict(chosen))
+    order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("key"))
+    first = exact(blocks.filter(F.col("block").isin(*chosen)), held, picked)
+    first = first.withColumn("o", F.row_number().over(order)).filter((F.col("o") == k) & (F.col("score") > 0))
+    floor = np.zeros(len(group), np.int64)
+    for r in first.collect():  # one row an item of the group
+        floor[r.item] = r.score
+    floors = spark.sparkContext.broadcast(floor)
+    scored = exact(blocks, held, None, floors, k).filter("score > 0")
+    ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    names = spark.createDataFrame([(i, g[0]) for i, g in enumerate(group)], f"item long, name {names_of[1]}")
+    found = ranked.join(F.broadcast(names), "item").select(
+        F.col("name").alias(names_of[0]), F.col("rank").cast("int").alias("rank"), F.col("key").alias(names_of[2]), "score")
+    out = written(found, "ranked")
+    for b in (vocabulary, held, picked, floors):
+        b.unpersist()
+    return out
+
+
 def top_k(docs: DataFrame, items: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
           item_text: str = "text", group_items: int = GROUP_ITEMS, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """``item_id, rank, doc_id, score`` of the k documents of the highest scores above 0 for each item."""
     spark = docs.sparkSession
-    blocks = written(index(docs, key, text), "slices", ROW_GROUP_BYTES)
+    with small_batches(spark):
+        blocks = written(index(docs, key, text), "slices", ROW_GROUP_BYTES)
     whole = blocks.agg(F.sum("rows").alias("n"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("l")).first()
     documents, length = whole.n or 0, whole.l or 0
     kind = items.schema[item_key].dataType.simpleString()
@@ -345,30 +376,8 @@ def top_k(docs: DataFrame, items: DataFrame, k: int = 10, key: str = "doc_id", t
     for group in item_groups(items, item_key, item_text, group_items, group_bytes) if documents else []:
         sets = [sorted(term_counts(body)) for _, body in group]
         place = {t: i for i, t in enumerate(sorted({t for s in sets for t in s}))}
-        vocabulary = spark.sparkContext.broadcast(place)
-        df = frequencies(blocks, vocabulary)
-        weights = [math.floor(1000 * math.log((2 * documents + 2) / (2 * n + 1))) if n else 0 for n in df]
-        known = Items([[place[t] for t in s if df[place[t]]] for s in sets], list(place), weights, documents, length)
-        held = spark.sparkContext.broadcast(known)
-        chosen = defaultdict(list)
-        for r in highest(blocks, held, k).collect():  # k rows an item of the group at most
-            chosen[r.block].append((r.item, r.at))
-        picked = spark.sparkContext.broadcast(dict(chosen))
-        order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("key"))
-        first = exact(blocks.filter(F.col("block").isin(*chosen)), held, picked)
-        first = first.withColumn("o", F.row_number().over(order)).filter((F.col("o") == k) & (F.col("score") > 0))
-        floor = np.zeros(len(group), np.int64)
-        for r in first.collect():  # one row an item of the group
-            floor[r.item] = r.score
-        floors = spark.sparkContext.broadcast(floor)
-        scored = exact(blocks, held, None, floors, k).filter("score > 0")
-        ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        names = spark.createDataFrame([(i, g[0]) for i, g in enumerate(group)], f"item long, name {kind}")
-        found = ranked.join(F.broadcast(names), "item").select(
-            F.col("name").alias(item_key), F.col("rank").cast("int").alias("rank"), F.col("key").alias(key), "score")
-        results.append(written(found, "ranked"))
-        for b in (vocabulary, held, picked, floors):
-            b.unpersist()
+        with small_batches(spark, BLOCK_ROWS_A_BATCH):
+            results.append(searched(blocks, group, sets, place, documents, length, k, (item_key, kind, key)))
     if not results:
         return spark.createDataFrame([], f"{item_key} {kind}, rank int, {key} long, score long")
     return reduce(DataFrame.unionByName, results)

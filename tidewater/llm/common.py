@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,23 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch between Spark and Python where rows hold whole texts, or whole blocks of them.
+TEXT_ROWS = 1000
+BLOCK_ROWS_A_BATCH = 8
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
+    """Bound the rows of an Arrow batch, of which executors hold several copies, for the actions inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
