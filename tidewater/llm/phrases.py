@@ -43,13 +43,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bitmap_of, in_bitmap, written
+from tidewater.llm.common import BLOCK_ROWS_A_BATCH, bitmap_of, in_bitmap, small_batches, written
 
 #: Canonical bytes of a row (no n-gram starts beyond), bytes waiting in a task for their rows, and n-grams counted together.
 ROW_BYTES = 1 << 20
-PENDING_BYTES = 8 << 20
-GRAMS_AT_ONCE = 1 << 21
-ROW_GROUP_BYTES = 16 << 20
+PENDING_BYTES = 4 << 20
+GRAMS_AT_ONCE = 1 << 20
+ROW_GROUP_BYTES = 8 << 20
 
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 CANONICAL = bytes(
@@ -251,8 +251,10 @@ def collocations(docs: DataFrame, longest: int = 3, at_least: int = 10, top: int
     cut), ``n`` all words of the language.  A phrase goes if one longer phrase
     holds it and has at least ``inside_percent`` of its occurrences.
     """
-    rows = written(canonical_rows(docs, text, lang, longest - 1, min(row_bytes, ROW_BYTES)), "canonical", ROW_GROUP_BYTES)
-    known = written(frequent_phrases(rows, longest, at_least, slot_bits, bits), "frequent")
+    with small_batches(docs.sparkSession):
+        rows = written(canonical_rows(docs, text, lang, longest - 1, min(row_bytes, ROW_BYTES)), "canonical", ROW_GROUP_BYTES)
+    with small_batches(docs.sparkSession, BLOCK_ROWS_A_BATCH):
+        known = written(frequent_phrases(rows, longest, at_least, slot_bits, bits), "frequent")
     total = rows.groupBy("lang").agg(F.sum("words").alias("n"))
     part = F.split("phrase", " ")
     candidates = known.filter("words > 1").select("lang", "words", "phrase", "a", part.alias("part"))
