@@ -186,11 +186,11 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     has, num, body = F.col(key).isNull(), F.coalesce(F.col(key), F.lit(0)), F.xxhash64(F.col(text))
     row_key = F.struct(has.alias("no_key"), num.alias("num"), body.alias("body"))
     fps = written(fingerprints(docs, row_key.alias("row_key"), text=text, shingle_words=shingle_words), "simhash")
-    kept = component_table(fps, "row_key", max_bits, blocks).select(F.col("component").alias("row_key")).distinct()
+    kept = component_table(fps, "row_key", max_bits, blocks).select("component.*").distinct()
     columns = [F.col(f"`{c}`") for c in docs.columns]
     hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
     # a row travels in one struct, so no column of the input meets one of ours
-    single = docs.select(row_key.alias("row_key"), F.struct(*columns).alias("row"), F.xxhash64(*hashed).alias("tie"))
+    single = docs.select(row_key.alias("k"), F.struct(*columns).alias("row"), F.xxhash64(*hashed).alias("tie")).select("k.*", "row", "tie")
     # identical rows collapse before the shuffle, and the semi-join reuses its partitioning
-    single = single.groupBy("row_key").agg(F.min_by("row", "tie").alias("row"))
-    return single.join(kept, "row_key", "left_semi").select("row.*")
+    keys = ["no_key", "num", "body"]
+    return single.groupBy(*keys).agg(F.min_by("row", "tie").alias("row")).join(kept, keys, "left_semi").select("row.*")

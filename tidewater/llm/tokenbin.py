@@ -42,6 +42,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.llm.common import small_batches
+
 #: Marks a text's first piece, which has no space before it.
 FIRST = "\uf8ff"
 #: White space beside a space, where a space is no cut; texts with it, or with the mark, are cut by ``CUT``.
@@ -49,10 +51,10 @@ WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and c != 0x20)
 BESIDE = f"[ {WHITE}] | [{WHITE}]|^ | $|{FIRST}"
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces of a generation; a Python worker remembers two (about 150 bytes a piece).
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 DOCS_AT_ONCE = 4096
 #: Bytes of the texts encoded together.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 2 << 20
 
 
 class Pieces:
@@ -248,7 +250,8 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_file: str, end_id: in
         # the salt lets equal keys spread over partitions
         .withColumn("salt", F.rand(7)).repartitionByRange("key", "salt").sortWithinPartitions("key", "salt").select("key", "text")
     )
-    rows = ordered.mapInArrow(write, "part long, name string, width long, docs long, nulls long, ids long").collect()
+    with small_batches(spark):
+        rows = ordered.mapInArrow(write, "part long, name string, width long, docs long, nulls long, ids long").collect()
     base, files = 0, []
     for r in sorted(rows, key=lambda r: r["part"]):  # one row a file
         files.append(r.asDict() | {"base": base})
