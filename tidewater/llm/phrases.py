@@ -225,7 +225,8 @@ def frequent_phrases(rows: DataFrame, longest: int, at_least: int, slot_bits: in
     spark, below, levels, pointers = rows.sparkSession, None, [], []
     for size in range(1, longest + 1):
         partial = counted(rows, size, below, slot_bits, bits)
-        totals = partial.groupBy("fp").agg(
+        # the tasks have counted already: straight to the shuffle, without a second hash table in each
+        totals = partial.repartition("fp").groupBy("fp").agg(
             F.sum("n").alias("a"), F.min("check").alias("low"), F.max("check").alias("high"), F.min("pointer").alias("pointer"))
         level = written(totals.filter(F.col("a") >= at_least).withColumn("words", F.lit(size)), f"phrases{size}")
         pointers.append(level.filter("low = high").select("pointer", "words", "a"))
