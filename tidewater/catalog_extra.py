@@ -65,8 +65,9 @@ def speeds_semantic(w) -> SemanticModel:
     return SemanticModel(
         w.ref("sem_bus_segment_speeds"), "metric_date",
         {"avg_bus_speed": ("average", "avg_speed_mph"), "total_bus_trips": ("sum", "trip_count"),
-         "avg_segment_travel_time": ("average", "avg_travel_time_min")},
-        dimensions=["route_id", "segment_id", "hour_of_day"],
+         "avg_segment_travel_time": ("average", "avg_travel_time_min"),
+         "total_road_distance_miles": ("sum", "road_distance_miles")},
+        dimensions=["route_id", "segment_id", "hour_of_day", "segment_start", "segment_end"],
         entities={"segment_speed": "segment_speed_key", "route": "route_id", "segment": "segment_id"},
     )
 

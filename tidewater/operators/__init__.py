@@ -7,6 +7,7 @@ from tidewater.operators.aggregates import (
     pct_where,
     pivot_max,
     share_of_group,
+    sums_and_distincts,
     weighted_avg,
     weighted_sum,
     zero_safe_diff,
@@ -35,6 +36,7 @@ __all__ = [
     "pct_where",
     "pivot_max",
     "share_of_group",
+    "sums_and_distincts",
     "weighted_avg",
     "weighted_sum",
     "zero_safe_diff",

@@ -107,3 +107,28 @@ def weighted_sum(value: str, weight: str) -> Column:
 def zero_safe_diff(a: str, b: str) -> Column:
     """``coalesce(a, 0) - coalesce(b, 0)`` (AG-19)."""
     return F.coalesce(F.col(a), F.lit(0)) - F.coalesce(F.col(b), F.lit(0))
+
+
+def sums_and_distincts(
+    df: DataFrame,
+    keys: Sequence[str],
+    sums: Mapping[str, Column],
+    distincts: Mapping[str, str],
+) -> DataFrame:
+    """Sums and several exact distinct counts by ``keys`` without an Expand (AG-2).
+
+    Rows are first added up by keys and counted columns (map-side, and spread
+    over all of them, so a hot key is not one task's).  What is left, one row
+    per combination, is dealt by ``keys`` once: inside a partition the first
+    row of each (keys, value) pair counts for its value.  NULL keys are one group, NULL
+    values are not counted.
+    """
+    counted = list(dict.fromkeys(distincts.values()))
+    rows = df.groupBy(*keys, *counted).agg(*[F.sum(c).alias(name) for name, c in sums.items()])
+    rows = rows.repartition(*keys)
+    for name, column in distincts.items():
+        first = F.row_number().over(Window.partitionBy(*keys, column).orderBy(*[F.col(c) for c in counted if c != column] or [F.lit(1)]))
+        rows = rows.withColumn(f"_first_{name}", (first == 1) & F.col(column).isNotNull())
+    return rows.groupBy(*keys).agg(
+        *[F.sum(name).alias(name) for name in sums], *[F.count_if(f"_first_{name}").alias(name) for name in distincts]
+    )

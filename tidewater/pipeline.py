@@ -6,6 +6,7 @@ order and stops at the first failing source; all data work is Spark jobs.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from tidewater.plans.core import LAYERS, Warehouse
 from tidewater.quality import ModelChecks, run_checks
 from tidewater.session import warehouse_dir
 from tidewater.sources.publish import vacuum
-from tidewater.sources.sinks import TABLES, record_load, table_path, write_table
+from tidewater.sources.sinks import TABLES, land_table, record_load, table_path, write_table
 
 Reader = Callable[[SparkSession], Mapping[str, DataFrame]]
 
@@ -25,18 +26,23 @@ def land_sources(
     spark: SparkSession,
     raw_root: str,
     sources: Mapping[str, Reader],
+    keys: Mapping[str, Sequence[str]] | None = None,
+    inserted_at: Mapping[str, str] | None = None,
 ) -> dict[str, str]:
     """Run each source reader and replace its raw tables; one audit row per
-    load.  Stops at the first failing source (its audit row says so)."""
+    load, and one per table with the rows and null ``keys`` its write observed.
+    Stops at the first failing source (its audit row says so).  ``inserted_at``
+    sets the time of a source's load (now by default)."""
     landed: dict[str, str] = {}
     for name, reader in sources.items():
+        load_id = uuid.uuid4().hex
         try:
             for table, df in reader(spark).items():
-                landed[table] = write_table(df, raw_root, name, table.split(".")[-1])
+                landed[table] = land_table(df, raw_root, name, table.split(".")[-1], load_id, (keys or {}).get(table, ()))
         except Exception:
-            record_load(spark, raw_root, name, status=1)
+            record_load(spark, raw_root, name, status=1, load_id=load_id)
             raise
-        record_load(spark, raw_root, name, status=0)
+        record_load(spark, raw_root, name, status=0, load_id=load_id, inserted_at=(inserted_at or {}).get(name))
     return landed
 
 

@@ -19,8 +19,7 @@ from tidewater.operators import (
     first_containment_match,
     keep_unmatched,
     lookup_join,
-    weighted_avg,
-    weighted_sum,
+    sums_and_distincts,
     with_group_total,
 )
 from tidewater.plans.calendar import CALENDAR_ROWS
@@ -341,17 +340,16 @@ def fct_corridor_performance(w: Warehouse) -> DataFrame:
     j = s.select("metric_date", "year", "month", "day_of_week", "hour_of_day", "segment_id", "route_id",
                  "avg_speed_mph", "trip_count").join(lm, "segment_id", "inner")
     keys = ["metric_date", "year", "month", "day_of_week", "hour_of_day"]
-    agg = j.groupBy(
-        *keys,
-        c("lane_street").alias("corridor_street"),
-        c("lane_borough").alias("borough"),
-        "lane_type",
-        "has_bus_lane",
-    ).agg(
-        weighted_avg("avg_speed_mph", "_w").alias("corridor_avg_speed_mph"),
-        weighted_sum("trip_count", "_w").cast("long").alias("total_trips"),
-        F.count_distinct("segment_id").alias("segment_count"),
-        F.count_distinct("route_id").alias("route_count"),
+    lanes = {"lane_street": "corridor_street", "lane_borough": "borough"}
+    group = [*keys, *lanes.values(), "lane_type", "has_bus_lane"]
+    told = c("avg_speed_mph").isNotNull()
+    agg = sums_and_distincts(
+        j.withColumnsRenamed(lanes), group,
+        {"_speed": c("avg_speed_mph") * c("_w"), "_n": F.when(told, c("_w")), "total_trips": c("trip_count") * c("_w")},
+        {"segment_count": "segment_id", "route_count": "route_id"},
+    ).select(
+        *group, (c("_speed") / c("_n")).alias("corridor_avg_speed_mph"), c("total_trips").cast("long").alias("total_trips"),
+        "segment_count", "route_count",
     )
     key = surrogate_key("metric_date", "corridor_street", "hour_of_day").alias("corridor_performance_key")
     return agg.select(key, *agg.columns)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.session import warehouse_dir
@@ -91,3 +93,38 @@ def record_loads(loads: DataFrame, root: str, folder: str) -> str:
     """Append many audit rows (the columns of ``LOADS_SCHEMA``), computed by Spark, to ``<root>/<folder>/_loads``."""
     kinds = [c.strip().split(" ") for c in LOADS_SCHEMA.split(",")]
     return write_table(loads.select(*[F.col(c).cast(t).alias(c) for c, t in kinds]), root, folder, "_loads", mode="append")
+
+
+#: What a landing write observes of each table, one row a table and load (``<root>/<schema>/_load_tables``).
+LOAD_TABLES_SCHEMA = "load_id string, table_name string, row_count long, null_keys long"
+
+
+def land_table(df: DataFrame, root: str, schema_name: str, name: str, load_id: str, keys: Sequence[str] = ()) -> str:
+    """Replace a raw table and put down what was written: rows, and rows with a null in ``keys``.
+
+    The figures are observed by the write itself, so the table is not read a
+    second time, and a task that runs again counts once.
+    """
+    seen = Observation()
+    null_key = reduce(lambda a, b: a | b, [F.col(f"`{k}`").isNull() for k in keys], F.lit(False))
+    path = write_table(df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(null_key).alias("nulls")), root, schema_name, name)
+    row = df.sparkSession.createDataFrame([(load_id, name, seen.get["rows"], seen.get["nulls"])], LOAD_TABLES_SCHEMA)
+    write_table(row, root, schema_name, "_load_tables", mode="append")
+    return path
+
+
+def landed_status(spark: SparkSession, root: str, schemas: Sequence[str]) -> DataFrame:
+    """Per source the tables, rows and null keys of its last finished load, from the audit alone (OPS-5).
+
+    A source that never finished a load has no tables and a NULL time.
+    """
+    parts = []
+    for name in schemas:
+        loads = spark.read.schema(LOADS_SCHEMA).parquet(table_path(root, name, "_loads")).where("status = 0 and schema_name is not null")
+        newest = loads.groupBy("schema_name").agg(F.max(F.struct("inserted_at", "load_id")).alias("last"))
+        tables = spark.read.schema(LOAD_TABLES_SCHEMA).parquet(table_path(root, name, "_load_tables"))
+        of_last = tables.join(newest.select(F.col("last.load_id").alias("load_id"), F.col("last.inserted_at").alias("at")), "load_id")
+        parts.append(of_last.agg(
+            F.lit(name).alias("source"), F.count(F.lit(1)).alias("table_count"), F.sum("row_count").alias("total_rows"),
+            F.sum("null_keys").alias("null_keys"), F.max("at").alias("last_sync")))
+    return reduce(DataFrame.unionByName, parts)
