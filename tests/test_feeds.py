@@ -73,7 +73,7 @@ def test_rollup_answers_coarser_grains_without_the_fact(spark, facts, tmp):
     for key, row in got.items():
         assert tuple(row.values()) == pytest.approx(want[key])
     plan = rollup.metric("mean_v", [], "year")._jdf.queryExecution().executedPlan().toString()
-    assert "/rollups/r" in plan or "rollups/r" in plan
+    assert "ReadSchema: struct<date_day:date,sum__v:bigint,count__v:bigint>" in plan  # the states, not the fact
     with pytest.raises(KeyError):
         rollup.metric("none")
     with pytest.raises(KeyError):
