@@ -65,3 +65,17 @@ def test_edge_rows(spark, edge_docs):
     assert mixing.mix(docs.filter(F.lit(False)), {"a": 0.5}, 3).count() == 0
     assert mixing.mix(docs, {"a": 0.0}, 3, size=5.0).filter("source = 'a'").count() == 0
     assert mixing.mix(docs, {}, 3).columns == docs.columns
+
+
+def test_clashing_columns(spark):
+    """Columns named like the helpers come back as they were; one named like the copy's number is replaced."""
+    docs = spark.range(50).select(
+        F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("u").alias("__MIX_u"), F.lit(-1).alias("__mix_n"),
+        F.lit("c").alias("__mix_copy"), F.lit(7).alias("__mix__order"), F.lit("old").alias("Copy"))
+    plain = mixing.mix(docs.select("doc_id", "source"), {"s": 1.0}, 5, 3.0, copy="copy").collect()
+    out = mixing.mix(docs, {"s": 1.0}, 5, 3.0, copy="copy")
+    assert out.columns == ["doc_id", "source", "__MIX_u", "__mix_n", "__mix_copy", "__mix__order", "copy"]
+    rows = out.collect()
+    assert sorted((r["doc_id"], r["copy"]) for r in rows) == sorted((r["doc_id"], r["copy"]) for r in plain)
+    assert {tuple(r)[2:6] for r in rows} == {("u", -1, "c", 7)}
+    assert mixing.mix(docs, {"s": 1.0}, 5).columns == docs.columns

@@ -14,8 +14,10 @@ count per named source and one for the rest, bounded by the parameter.
 
 Defined results: rows with equal keys draw the same count; a null key draws
 as the empty key; texts are carried as they are; an empty table gives no
-rows; a source of weight 0 disappears.  Helper columns start with ``__mix_``
-and are dropped, so extra columns pass through.
+rows; a source of weight 0 disappears.  Very long texts travel as any other
+column.  Helper columns take a prefix that no input column has, so all extra
+columns pass through; an input column named like ``copy``, in any case of its
+letters, is replaced by the copy's number.
 """
 
 from __future__ import annotations
@@ -66,7 +68,10 @@ def mix(docs: DataFrame, weights: dict[str, float], seed: int = 0, size: float =
         source: str = "source", copy: str | None = None) -> DataFrame:
     """``docs`` mixed to ``weights`` and shuffled; ``copy`` names a column for the copy's number, from 1."""
     named, rest = rates(docs, weights, size, source)
-    draw = F.col("__mix_u")
+    prefix = "__mix_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    draw = F.col(f"{prefix}u")
 
     def count(rate: float) -> Column:
         steps = poisson_steps(rate)
@@ -75,17 +80,17 @@ def mix(docs: DataFrame, weights: dict[str, float], seed: int = 0, size: float =
     copies = count(rest)
     for s, rate in named.items():
         copies = F.when(F.col(source) == F.lit(s), count(rate)).otherwise(copies)
-    number = F.col("__mix_copy")
+    times, number = F.col(f"{prefix}n"), F.col(f"{prefix}copy")
     out = (
-        docs.withColumn("__mix_u", uniform(seed, F.col(key)))
-        .withColumn("__mix_n", copies)
-        .filter("__mix_n > 0")
-        .withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_n"))))
-        .withColumn("__mix_order", F.xxhash64(F.lit(seed), F.col(key), number))
-        .withColumn("__mix_tie", F.rand(seed))  # splits equal keys over partitions
-        .orderBy("__mix_order", "__mix_tie")
+        docs.withColumn(f"{prefix}u", uniform(seed, F.col(key)))
+        .withColumn(f"{prefix}n", copies)
+        .filter(times > 0)
+        .withColumn(f"{prefix}copy", F.explode(F.sequence(F.lit(1), times)))
+        .withColumn(f"{prefix}order", F.xxhash64(F.lit(seed), F.col(key), number))
+        .withColumn(f"{prefix}tie", F.rand(seed))  # splits equal keys over partitions
+        .orderBy(f"{prefix}order", f"{prefix}tie")
     )
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != copy]
+    kept = [F.col(f"`{c}`") for c in docs.columns if copy is None or c.lower() != copy.lower()]
     return out.select(*kept, *([number.alias(copy)] if copy else []))
 
 
