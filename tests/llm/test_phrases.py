@@ -67,6 +67,14 @@ def test_matches_brute_force(spark, row_bytes):
     assert result(phrases.collocations(docs, row_bytes=row_bytes, top=5, at_least=3)) == brute(rows, 3, 5)
 
 
+def test_parts_of_a_language_rank_as_one(spark):
+    """Few ranks out of many candidates, most of one language: the same as one ranking of all."""
+    rows = [(t, "xx") for t, _ in corpus(9, 300)] + corpus(3, 20)
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    for top in (1, 7):
+        assert result(phrases.collocations(docs, at_least=2, top=top)) == brute(rows, 2, top)
+
+
 def test_four_words(spark):
     rows = corpus(5, 80)
     docs = spark.createDataFrame(rows, "text string, lang string")

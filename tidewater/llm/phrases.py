@@ -49,6 +49,8 @@ from tidewater.llm.common import BLOCK_ROWS_A_BATCH, bitmap_of, in_bitmap, small
 ROW_BYTES = 1 << 20
 PENDING_BYTES = 4 << 20
 GRAMS_AT_ONCE = 1 << 20
+#: A language's phrases are ranked in this many parts first, so no task meets them all.
+RANK_PARTS = 64
 ROW_GROUP_BYTES = 8 << 20
 
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -280,8 +282,13 @@ def collocations(docs: DataFrame, longest: int = 3, at_least: int = 10, top: int
     scored = cuts.join(left, ["lang", "first"]).join(right, ["lang", "rest"]).withColumns({"above": square, "below": sides})
     scored = scored.withColumn("score", F.expr("above div below"))
     lowest = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("m"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = lowest.select("lang", "phrase", "a", "m.l", "m.r", "m.score").withColumn("rank", F.row_number().over(order))
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    # the first of each part of a language, then the first of those: a phrase among the first
+    # ``top`` of its language is among the first ``top`` of its part
+    part_of = F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)).cast("int")
+    flat = lowest.select("lang", "phrase", "a", "m.l", "m.r", "m.score", part_of.alias("part"))
+    first = flat.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col("rank") <= top)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     ranked = ranked.filter(F.col("rank") <= top).join(total, "lang")
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
