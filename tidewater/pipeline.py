@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +17,9 @@ from tidewater.operators import dedup_latest
 from tidewater.plans.core import LAYERS, Warehouse
 from tidewater.quality import ModelChecks, run_checks
 from tidewater.session import warehouse_dir
+from tidewater.sources.nested import normalised
 from tidewater.sources.publish import vacuum
-from tidewater.sources.sinks import TABLES, land_table, record_load, table_path, write_table
+from tidewater.sources.sinks import TABLES, land_table, record_load, record_tables, table_path, write_table
 
 Reader = Callable[[SparkSession], Mapping[str, DataFrame]]
 
@@ -28,17 +30,34 @@ def land_sources(
     sources: Mapping[str, Reader],
     keys: Mapping[str, Sequence[str]] | None = None,
     inserted_at: Mapping[str, str] | None = None,
+    normalise: bool = False,
+    threads: int = 1,
 ) -> dict[str, str]:
     """Run each source reader and replace its raw tables; one audit row per
-    load, and one per table with the rows and null ``keys`` its write observed.
-    Stops at the first failing source (its audit row says so).  ``inserted_at``
-    sets the time of a source's load (now by default)."""
+    load, and one per table with the rows and null ``keys`` (columns as landed)
+    its write observed.  With ``normalise`` nested records land flat: structs as
+    columns, lists as child tables, rows stamped.  ``threads`` tables of a
+    source are written side by side.  Stops at the first failing source (its
+    audit row says so).  ``inserted_at`` sets the time of a source's load (now
+    by default)."""
     landed: dict[str, str] = {}
     for name, reader in sources.items():
         load_id = uuid.uuid4().hex
+
+        def land(table: str, df: DataFrame) -> list[tuple[str, str, tuple[str, int, int]]]:
+            short = table.split(".")[-1]
+            out = []
+            for part, rows in (normalised(df, short, load_id) if normalise else {short: df}).items():
+                full = table + part[len(short):]
+                out.append((full, part, land_table(rows, raw_root, name, part, (keys or {}).get(full, ()))))
+            return out
+
         try:
-            for table, df in reader(spark).items():
-                landed[table] = land_table(df, raw_root, name, table.split(".")[-1], load_id, (keys or {}).get(table, ()))
+            with ThreadPoolExecutor(max_workers=threads) as pool:
+                writes = [pool.submit(land, *item) for item in reader(spark).items()]
+                done = [part for w in writes for part in w.result()]
+            record_tables(spark, raw_root, name, load_id, [(part, rows, nulls) for _, part, (_, rows, nulls) in done])
+            landed.update({full: path for full, _, (path, _, _) in done})
         except Exception:
             record_load(spark, raw_root, name, status=1, load_id=load_id)
             raise
@@ -82,17 +101,21 @@ def run_all(
     skip_transform: bool = False,
     threads: int = 1,
     keep_versions: int | None = None,
+    normalise: bool = True,
+    written: Sequence[str] = (),
 ) -> DataFrame | None:
-    """Ingest -> build (``threads`` models side by side) -> check.  Returns the check report (or None).
+    """Ingest -> build -> check, ``threads`` tables or models side by side.  Returns the check report (or None).
 
-    Table-layer models are published under their names in the warehouse folder;
-    of each, the newest ``keep_versions`` versions stay (all by default).
+    Sources land flat and stamped (``normalise``), each write audited.
+    Table-layer models, and the views named in ``written``, are published under
+    their names in the warehouse folder; of each, the newest ``keep_versions``
+    versions stay (all by default).
     """
     if not skip_ingest:
-        land_sources(spark, raw_root, sources)
+        land_sources(spark, raw_root, sources, normalise=normalise, threads=threads)
     if skip_transform:
         return None
-    tables = [m for m in models if LAYERS.get(m) == "table"]
+    tables = [m for m in models if LAYERS.get(m) == "table" or m in written]
     w = Warehouse(spark, landed_raw(spark, raw_root, source_of), materialize=tables)
     w.build(models, threads)
     if keep_versions is not None:

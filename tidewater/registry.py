@@ -40,15 +40,17 @@ def model_queries() -> dict[str, Query]:
 
 def extra_queries() -> dict[str, Query]:
     """Operator-level queries beyond the model catalogue (metrics, checks, ops)."""
-    from tidewater import catalog_extra, catalog_feeds, catalog_ingest, catalog_layers
+    from tidewater import catalog_extra, catalog_feeds, catalog_ingest, catalog_layers, catalog_runs
 
-    return {**catalog_extra.queries(), **catalog_ingest.QUERIES, **catalog_layers.QUERIES, **catalog_feeds.QUERIES}
+    return {
+        **catalog_extra.queries(), **catalog_ingest.QUERIES, **catalog_layers.QUERIES, **catalog_feeds.QUERIES, **catalog_runs.QUERIES}
 
 
 def extra_oracles() -> dict[str, str]:
-    from tidewater import catalog_extra, catalog_feeds, catalog_ingest, catalog_layers
+    from tidewater import catalog_extra, catalog_feeds, catalog_ingest, catalog_layers, catalog_runs
 
-    return {**catalog_extra.oracles(), **catalog_ingest.ORACLES, **catalog_layers.ORACLES, **catalog_feeds.ORACLES}
+    return {
+        **catalog_extra.oracles(), **catalog_ingest.ORACLES, **catalog_layers.ORACLES, **catalog_feeds.ORACLES, **catalog_runs.ORACLES}
 
 
 def all_queries() -> dict[str, Query]:

@@ -1,7 +1,8 @@
 """Normalising nested records (NRM-1..3).
 
 Landing flattens structs into ``parent__child`` columns and moves arrays of
-records into child tables keyed by the parent row id and the list index.
+records into child tables keyed by the parent row id and the list index;
+:func:`normalised` does all of it for one table.
 All of it is column expressions over ``df.schema``: no Python per row.
 """
 
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewater.session import checkpoint_dir
+
 SEP = "__"
 
 
@@ -33,7 +36,8 @@ def _flat_columns(schema: T.StructType, prefix: list[str], keep_arrays: bool) ->
             continue
         else:
             ref = F.col(".".join(f"`{p}`" for p in path))
-            out.append(ref.alias(SEP.join(snake(p) for p in path)))
+            # a name that is a path already keeps its steps
+            out.append(ref.alias(SEP.join(snake(step) for p in path for step in p.split(SEP))))
     return out
 
 
@@ -89,3 +93,34 @@ def stamp_load(df: DataFrame, load_id: str, copies_at_once: int = _COPIES_AT_ONC
     many = runs.repartition("h", "from").select("h", "r", F.explode(F.sequence(F.col("from"), last)).alias("i"))
     stamped = few.unionByName(many)
     return stamped.select("r.*", F.lit(load_id).alias("_dlt_load_id"), F.concat_ws("-", "h", F.col("i").cast("string")).alias("_dlt_id"))
+
+
+def _lists(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
+
+
+def normalised(df: DataFrame, name: str, load_id: str) -> dict[str, DataFrame]:
+    """The flat tables of a table of nested records: ``name`` and a child per list, at any depth.
+
+    Structs become ``parent__child`` columns; rows get their load id and row id
+    (those that bring ``_dlt_id`` keep it).  A list becomes the table
+    ``<name>__<column>`` with ``_dlt_parent_id``, ``_dlt_list_idx`` and an id
+    made of both.  A table with lists is checkpointed to the shared folder, so
+    that it is stamped once for all its children.
+    """
+    flat = flatten_structs(df)
+    stamped = flat.withColumn("_dlt_load_id", F.lit(load_id)) if "_dlt_id" in flat.columns else stamp_load(flat, load_id)
+    if _lists(stamped):
+        checkpoint_dir(df.sparkSession)
+        stamped = stamped.checkpoint()
+    return _tables(stamped, name)
+
+
+def _tables(df: DataFrame, name: str) -> dict[str, DataFrame]:
+    lists = _lists(df)
+    found = {name: df.drop(*lists)}
+    for c in lists:
+        child = explode_child(df, "_dlt_id", c)
+        own_id = F.concat_ws("-", "_dlt_parent_id", F.col("_dlt_list_idx").cast("string"))
+        found.update(_tables(child.withColumn("_dlt_id", own_id), name + SEP + c))
+    return found

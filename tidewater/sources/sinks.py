@@ -99,8 +99,8 @@ def record_loads(loads: DataFrame, root: str, folder: str) -> str:
 LOAD_TABLES_SCHEMA = "load_id string, table_name string, row_count long, null_keys long"
 
 
-def land_table(df: DataFrame, root: str, schema_name: str, name: str, load_id: str, keys: Sequence[str] = ()) -> str:
-    """Replace a raw table and put down what was written: rows, and rows with a null in ``keys``.
+def land_table(df: DataFrame, root: str, schema_name: str, name: str, keys: Sequence[str] = ()) -> tuple[str, int, int]:
+    """Replace a raw table; its path, its rows, and its rows with a null in ``keys``.
 
     The figures are observed by the write itself, so the table is not read a
     second time, and a task that runs again counts once.
@@ -108,9 +108,14 @@ def land_table(df: DataFrame, root: str, schema_name: str, name: str, load_id: s
     seen = Observation()
     null_key = reduce(lambda a, b: a | b, [F.col(f"`{k}`").isNull() for k in keys], F.lit(False))
     path = write_table(df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(null_key).alias("nulls")), root, schema_name, name)
-    row = df.sparkSession.createDataFrame([(load_id, name, seen.get["rows"], seen.get["nulls"])], LOAD_TABLES_SCHEMA)
-    write_table(row, root, schema_name, "_load_tables", mode="append")
-    return path
+    return path, seen.get["rows"], seen.get["nulls"]
+
+
+def record_tables(spark: SparkSession, root: str, schema_name: str, load_id: str, figures: Sequence[tuple[str, int, int]]) -> None:
+    """Append what a load wrote, ``(table, rows, null keys)`` each, in one write: two writes that append
+    to one folder at a time would take each other's temporary files."""
+    rows = spark.createDataFrame([(load_id, *f) for f in figures], LOAD_TABLES_SCHEMA)
+    write_table(rows.coalesce(1), root, schema_name, "_load_tables", mode="append")
 
 
 def landed_status(spark: SparkSession, root: str, schemas: Sequence[str]) -> DataFrame:
