@@ -23,7 +23,7 @@ phrases become text; everything after that joins on the phrases themselves.
 
 Defined results: a null text counts as empty; a null language counts as
 ``und``; empty and blank texts add nothing; a text of any length is cut into
-rows of about ``ROW_BYTES`` whose last words may repeat the next row's first
+rows of about ``CUT_BYTES`` whose last words may repeat the next row's first
 as context, so no n-gram is lost or counted twice; repeated rows count each
 time; equal scores are ordered by count and phrase bytes; an empty table gives
 no rows; extra columns are ignored.
@@ -45,10 +45,13 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import BLOCK_ROWS_A_BATCH, bitmap_of, in_bitmap, small_batches, written
 
-#: Canonical bytes of a row (no n-gram starts beyond), bytes waiting in a task for their rows, and n-grams counted together.
+#: Canonical bytes a row may hold (no n-gram starts beyond), those it is cut at, bytes waiting in a task for their
+#: rows, n-grams counted together, and rows of counts handed over together.
 ROW_BYTES = 1 << 20
+CUT_BYTES = 1 << 18
 PENDING_BYTES = 4 << 20
 GRAMS_AT_ONCE = 1 << 20
+COUNTS_A_BATCH = 1 << 16
 #: A language's phrases are ranked in this many parts first, so no task meets them all.
 RANK_PARTS = 64
 ROW_GROUP_BYTES = 8 << 20
@@ -137,7 +140,7 @@ def powers(seed: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def fingerprints(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int, lang: str = "", bits: int = 64) -> np.ndarray:
     """Fingerprints of the byte ranges ``[start, end)`` of ``data`` in a language; ``bits`` below 64 for tests."""
-    value, up, down = powers(seed, 1 << max(20, int(len(data)).bit_length()))
+    value, up, down = powers(seed, 1 << max(18, int(len(data)).bit_length()))
     prefix = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(value[data] * up[: len(data)], out=prefix[1:])
     h = (prefix[end] - prefix[start]) * down[start]
@@ -167,7 +170,7 @@ def counted(rows: DataFrame, size: int, below=None, slot_bits: int = 27, bits: i
     """
     names = ["fp", "check", "n", "pointer"]
 
-    def flush(found: list) -> pa.RecordBatch:
+    def flush(found: list) -> Iterator[pa.RecordBatch]:
         fp, check, pointer = (np.concatenate(x) for x in zip(*found))
         found.clear()
         order = np.argsort(fp)
@@ -175,7 +178,9 @@ def counted(rows: DataFrame, size: int, below=None, slot_bits: int = 27, bits: i
         begin = np.flatnonzero(np.append(True, (fp[1:] != fp[:-1]) | (check[1:] != check[:-1])))
         n = np.diff(np.append(begin, len(fp)))
         least = np.minimum.reduceat(pointer, begin)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (fp[begin].view(np.int64), check[begin].view(np.int64), n, least)], names=names)
+        columns = fp[begin].view(np.int64), check[begin].view(np.int64), n, least
+        for at in range(0, len(n), COUNTS_A_BATCH):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + COUNTS_A_BATCH]) for x in columns], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, total = [], 0
@@ -195,10 +200,10 @@ def counted(rows: DataFrame, size: int, below=None, slot_bits: int = 27, bits: i
                     waiting.append((fingerprints(data, s, e, 1, lang, bits), fingerprints(data, s, e, 2, lang), s + batch * ROW_BYTES))
                     total += len(s)
                 if total >= GRAMS_AT_ONCE:
-                    yield flush(waiting)
+                    yield from flush(waiting)
                     total = 0
         if waiting:
-            yield flush(waiting)
+            yield from flush(waiting)
 
     return rows.select("batch", "lang", "tail", "data").mapInArrow(run, "fp long, check long, n long, pointer long")
 
@@ -246,7 +251,7 @@ def frequent_phrases(rows: DataFrame, longest: int, at_least: int, slot_bits: in
 
 
 def collocations(docs: DataFrame, longest: int = 3, at_least: int = 10, top: int = 2000, inside_percent: int = 50,
-                 text: str = "text", lang: str = "lang", slot_bits: int = 27, bits: int = 64, row_bytes: int = ROW_BYTES) -> DataFrame:
+                 text: str = "text", lang: str = "lang", slot_bits: int = 27, bits: int = 64, row_bytes: int = CUT_BYTES) -> DataFrame:
     """Per language the ``top`` phrases of 2 to ``longest`` words: ``lang, rank, phrase, a, l, r, n, score``.
 
     ``a`` counts the phrase, ``l`` and ``r`` its two sides at the cut of the
