@@ -50,7 +50,7 @@ from tidewater.llm.common import BLOCK_ROWS_A_BATCH, bitmap_of, in_bitmap, small
 ROW_BYTES = 1 << 20
 CUT_BYTES = 1 << 18
 PENDING_BYTES = 4 << 20
-GRAMS_AT_ONCE = 1 << 20
+GRAMS_AT_ONCE = 1 << 19
 COUNTS_A_BATCH = 1 << 16
 #: A language's phrases are ranked in this many parts first, so no task meets them all.
 RANK_PARTS = 64
