@@ -1,6 +1,7 @@
 """Readers, writers and nested normalisation on files written to a fresh temp dir."""
 
 import datetime as dt
+import hashlib
 import io
 import json
 import os
@@ -130,3 +131,13 @@ def test_select_datasets_and_stack(spark):
     b = spark.createDataFrame([(2, 3.0)], "id int, b double")
     s = stack(a, b)
     assert s.count() == 2 and set(s.columns) == {"id", "a", "b"}
+
+
+def test_stamping_ships_the_hash_and_the_columns_in_use(spark):
+    df = spark.createDataFrame([(1, "a", 2.0)] * 3, "id int, x string, z double")
+    stamped = stamp_load(df, "l", copies_at_once=2).select("x", "_dlt_id")
+    plan = stamped._jdf.queryExecution().optimizedPlan().toString()
+    # columns that nobody reads are hashed where they are read, and the hash is 32 bytes, not 64 digits
+    assert "first(c1" in plan and "first(c0" not in plan and "first(c2" not in plan and "unhex(sha2" in plan
+    digits = hashlib.sha256(b'{"id":1,"x":"a","z":2.0}').hexdigest()
+    assert sorted(tuple(r) for r in stamped.collect()) == [("a", f"{digits}-{i}") for i in range(3)]

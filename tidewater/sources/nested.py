@@ -80,19 +80,26 @@ def stamp_load(df: DataFrame, load_id: str, copies_at_once: int = _COPIES_AT_ONC
     equal to it, so it depends on the rows alone: a retry, another split or a
     second read gives the same ids.  Equal rows are counted (combined before
     the shuffle) and written out again from their count, in runs of
-    ``copies_at_once`` that go to different tasks; so many equal rows cost one
-    row of shuffle a task, and no task gathers them.
+    ``copies_at_once``: the first where the count is, the others in different
+    tasks; so many equal rows cost one row of shuffle a task, and no task
+    gathers them.  The hash travels as 32 bytes, and columns that the caller
+    does not use do not travel.
     """
+    names = {f"c{i}": F.col(f"`{c}`") for i, c in enumerate(df.columns)}
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    hashed = df.select(F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256).alias("h"), row.alias("r"))
-    counted = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.first("r").alias("r"))
-    few = counted.where(F.col("n") <= copies_at_once).select("h", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    runs = counted.where(F.col("n") > copies_at_once).select(
-        "h", "r", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(copies_at_once).cast("long"))).alias("from"))
+    hashed = df.select(
+        F.unhex(F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256)).alias("h"), *[c.alias(at) for at, c in names.items()])
+    counted = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n"), *[F.first(at).alias(at) for at in names])
+    numbers = F.sequence(F.lit(0).cast("long"), F.least(F.col("n"), F.lit(copies_at_once)) - 1)
+    here = counted.select("h", *names, F.explode(numbers).alias("i"))
+    more = F.sequence(F.lit(copies_at_once).cast("long"), F.col("n") - 1, F.lit(copies_at_once).cast("long"))
+    runs = counted.where(F.col("n") > copies_at_once).select("h", *names, "n", F.explode(more).alias("from"))
     last = F.least(F.col("n"), F.col("from") + copies_at_once) - 1
-    many = runs.repartition("h", "from").select("h", "r", F.explode(F.sequence(F.col("from"), last)).alias("i"))
-    stamped = few.unionByName(many)
-    return stamped.select("r.*", F.lit(load_id).alias("_dlt_load_id"), F.concat_ws("-", "h", F.col("i").cast("string")).alias("_dlt_id"))
+    there = runs.repartition("h", "from").select("h", *names, F.explode(F.sequence(F.col("from"), last)).alias("i"))
+    stamped = here.unionByName(there)
+    return stamped.select(
+        *[F.col(at).alias(c) for at, c in zip(names, df.columns)], F.lit(load_id).alias("_dlt_load_id"),
+        F.concat_ws("-", F.lower(F.hex("h")), F.col("i").cast("string")).alias("_dlt_id"))
 
 
 def _lists(df: DataFrame) -> list[str]:
