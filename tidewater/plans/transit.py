@@ -37,16 +37,22 @@ def _text_or_null(src: DataFrame, name: str):
     return c(name) if name in src.columns else F.lit(None).cast("string").alias(name)
 
 
+def _segment():
+    return F.concat(c("timepoint_stop_id"), F.lit("-"), c("next_timepoint_stop_id"))
+
+
 def stage_speeds(src: DataFrame, data_source: str) -> DataFrame:
-    """Raw segment speeds (all text) -> typed rows with the segment key."""
-    seg = F.concat(c("timepoint_stop_id"), F.lit("-"), c("next_timepoint_stop_id"))
+    """Raw segment speeds (all text) -> typed rows with the segment key.
+
+    Rows travel to the dedup with the key's 16 bytes; texts made of other
+    columns (the key as hex digits, the segment) are written after it.
+    """
     opt = {n: _text_or_null(src, n) for n in (
         "timepoint_stop_latitude", "timepoint_stop_longitude",
         "next_timepoint_stop_latitude", "next_timepoint_stop_longitude")}
     return src.select(
-        surrogate_key("route_id", seg, "year", "month", "day_of_week", "hour_of_day").alias("segment_speed_id"),
+        F.unhex(surrogate_key("route_id", _segment(), "year", "month", "day_of_week", "hour_of_day")).alias("_key"),
         "route_id",
-        seg.alias("segment_id"),
         "timepoint_stop_id",
         c("timepoint_stop_name").alias("segment_start"),
         opt["timepoint_stop_latitude"],
@@ -74,8 +80,10 @@ def stage_speeds(src: DataFrame, data_source: str) -> DataFrame:
 
 
 def latest_per_key(staged: DataFrame) -> DataFrame:
-    latest = dedup_latest(staged, ["segment_speed_id"], [c("timestamp").desc_nulls_last(), c("_dlt_id").asc()])
-    return latest.drop("_dlt_id")
+    latest = dedup_latest(staged, ["_key"], [c("timestamp").desc_nulls_last(), c("_dlt_id").asc()])
+    rest = [x for x in staged.columns if x not in ("_key", "route_id", "_dlt_id")]
+    return latest.select(
+        F.lower(F.hex("_key")).alias("segment_speed_id"), "route_id", _segment().alias("segment_id"), *rest)
 
 
 @model("stg_bus_segment_speeds")
@@ -167,21 +175,25 @@ def stg_traffic_volume_counts(w: Warehouse) -> DataFrame:
 # ------------------------------------------------------------ intermediate
 
 
-@model("int_representative_dates")
-def int_representative_dates(w: Warehouse) -> DataFrame:
-    combos = w.ref("stg_bus_segment_speeds").select("year", "month", "day_of_week").distinct()
+def dated(w: Warehouse, rows: DataFrame, how: str) -> DataFrame:
+    """``rows`` with ``metric_date``: the first day of the calendar with their year, month and weekday."""
     firsts = (
         w.ref("dim_date")
         .groupBy("year_number", "month_number", "day_of_week_name")
         .agg(F.min("date_day").alias("metric_date"))
     )
     cond = (
-        (combos["year"].cast("int") == firsts["year_number"])
-        & (combos["month"].cast("int") == firsts["month_number"])
-        & (combos["day_of_week"] == firsts["day_of_week_name"])
+        (rows["year"].cast("int") == firsts["year_number"])
+        & (rows["month"].cast("int") == firsts["month_number"])
+        & (rows["day_of_week"] == firsts["day_of_week_name"])
     )
-    joined = lookup_join(combos, firsts, cond, "inner", static_rows=CALENDAR_ROWS)
-    return joined.select("year", "month", "day_of_week", "metric_date")
+    return lookup_join(rows, firsts, cond, how, static_rows=CALENDAR_ROWS)
+
+
+@model("int_representative_dates")
+def int_representative_dates(w: Warehouse) -> DataFrame:
+    combos = w.ref("stg_bus_segment_speeds").select("year", "month", "day_of_week").distinct()
+    return dated(w, combos, "inner").select("year", "month", "day_of_week", "metric_date")
 
 
 LANE_ORDER = ["lane_segment_id", "lane_borough", "lane_type"]
@@ -278,11 +290,9 @@ def dim_bus_stops(w: Warehouse) -> DataFrame:
 
 @model("fct_bus_segment_speeds", layer="table")
 def fct_bus_segment_speeds(w: Warehouse) -> DataFrame:
-    s = w.ref("stg_bus_segment_speeds")
-    rd = w.ref("int_representative_dates")
-    # At most one row per (year, month, weekday) of the 5-year calendar.
-    j = lookup_join(s, rd, ["year", "month", "day_of_week"], "left", static_rows=CALENDAR_ROWS)
-    return j.select(
+    # The date follows from the calendar alone, at most one for each (year, month, weekday):
+    # joining int_representative_dates would stage all rows a second time to find the same.
+    return dated(w, w.ref("stg_bus_segment_speeds"), "left").select(
         surrogate_key("route_id", "segment_id", "metric_date", "hour_of_day").alias("segment_speed_key"),
         "route_id", "segment_id", "metric_date", "year", "month", "day_of_week", "hour_of_day", "data_source",
         "avg_speed_mph", "trip_count", "road_distance_miles", "avg_travel_time_min",
