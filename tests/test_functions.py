@@ -115,3 +115,14 @@ def test_fractions_are_rounded_once(spark):
     for r in df.collect():
         assert r.n == texts[r.t], r.t
         assert r.i == (texts[r.t] if texts[r.t] is not None and abs(texts[r.t]) < 2**31 else None), r.t
+
+
+def test_a_whole_number_cast_is_small_code(spark):
+    """Each step for rare texts stands once in the plan; plain numbers meet none of it."""
+    from tidewater.functions.casts import try_cast_int
+
+    texts = ["12", "-0.5", "1e2", "2147483647.4", "2147483647.5", "", None, "x", " 7.49999 ", ".", "-.5"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", try_cast_int("t").alias("i"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") <= 9
+    assert [r.i for r in df.collect()] == [12, -1, 100, 2147483647, None, None, None, None, 7, None, -1]

@@ -34,17 +34,23 @@ def try_cast_double(c: ColumnOrName) -> Column:
 _FRACTION = r"^\s*([+-]?)(\d*)\.(\d*)\s*$"
 
 
-def _whole(c: ColumnOrName, kind: str, bounds: tuple[int, int]) -> Column:
-    col = _col(c)
+def _rounded(col: Column) -> Column:
+    """Text with a fraction or an exponent as a whole decimal; NULL for other text."""
     negative, digits, fraction = (F.regexp_extract(col, _FRACTION, i) for i in (1, 2, 3))
     size = F.when(digits == "", F.lit("0")).otherwise(digits).try_cast("decimal(38,0)") + (F.substring(fraction, 1, 1) >= "5").cast("int")
     split = F.when(col.rlike(_FRACTION) & ((digits != "") | (fraction != "")), F.when(negative == "-", -size).otherwise(size))
     # text such as '1e2' is no decimal literal to try_cast in every engine: doubles are the last resort
     power = F.when(col.rlike("[eE]"), F.round(F.coalesce(col.try_cast(_EXACT), F.round(col.try_cast("double")).try_cast(_EXACT))))
-    rounded = F.coalesce(split.cast("decimal(38,0)"), power.cast("decimal(38,0)"))
+    return F.coalesce(split.cast("decimal(38,0)"), power.cast("decimal(38,0)"))
+
+
+def _whole(c: ColumnOrName, kind: str, bounds: tuple[int, int]) -> Column:
+    col = _col(c)
     low, high = (F.lit(str(b)).cast("decimal(38,0)") for b in bounds)
-    fits = (rounded >= low) & (rounded <= high)
-    return F.coalesce(col.try_cast(kind), F.when(fits, rounded).cast(kind))
+    # the rare texts go through functions of an array of one: each step is computed once, and the code
+    # generated for a row of plain numbers stays small enough for the JVM to compile it
+    rare = F.transform(F.transform(F.array(col), _rounded), lambda x: F.when((x >= low) & (x <= high), x).cast(kind))
+    return F.coalesce(col.try_cast(kind), rare.getItem(0))
 
 
 def try_cast_int(c: ColumnOrName) -> Column:
