@@ -113,3 +113,16 @@ def test_query(spark):
 
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
     assert result(op12_minhash(spark, SF_SMALL)) == expected(rows)
+
+
+def test_meetings_of_a_large_group_are_thinned(spark):
+    """In every band each member is found from one of few: one link a member is left, and the same components."""
+    rng = np.random.default_rng(2)
+    heads, members = list(range(6)), list(range(6, 2006))
+    rows = sorted({(int(rng.integers(6)), m) for m in members for _ in range(32)} | {(5000, 5001), (5001, 5002), (5000, 5002)})
+    edges = spark.createDataFrame(rows, "a long, b long")
+    thin = oddsketch.thinned(edges)
+    assert len(rows) > 4 * len(members) and thin.count() <= len(members) + 15 + 3
+    labels = {r.node: r.label for r in oddsketch.components(thin).collect()}
+    assert set(labels) == {*heads, *members, 5000, 5001, 5002}
+    assert {labels[x] for x in (*heads, *members)} == {0} and {labels[x] for x in (5000, 5001, 5002)} == {5000}

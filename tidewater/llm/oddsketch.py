@@ -296,7 +296,21 @@ def candidate_edges(classes: DataFrame, most: int, percent: int, chunk: int) ->
                 edges += [(ids[i], ids[j]) for i, j in meetings(sketch_array(found.field("sketch")), sizes.astype(np.int64), most, percent)]
             yield edge_batch(edges)
 
-    return lists.select("met").mapInArrow(run, "a long, b long").union(stars).distinct()
+    return thinned(lists.select("met").mapInArrow(run, "a long, b long").union(stars))
+
+
+def thinned(edges: DataFrame) -> DataFrame:
+    """Fewer links with the same components, where ``a`` found ``b`` and a class is found once a bucket.
+
+    A class keeps the link to the least of those that found it, and those are
+    linked with that one.  A large group of near copies is found from few
+    classes, over and over in every band: of a link for each band and member
+    one a member is left, and those few among the classes that found them.
+    """
+    found = edges.groupBy("b").agg(F.collect_set("a").alias("by"))  # one of each band at most
+    least = F.array_min("by")
+    others = F.filter("by", lambda x: x != F.array_min("by"))
+    return found.select(least.alias("a"), "b").union(found.select(least.alias("a"), F.explode(others).alias("b"))).distinct()
 
 
 def grouped(edges: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
