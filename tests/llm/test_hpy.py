@@ -134,3 +134,18 @@ def test_seating_outlives_a_round():
     again = [hpy.Seating.unpacked(s.packed()) for s in shard.seats]
     assert all((x.dish == y.dish).all() and (x.size == y.size).all() and x.n == y.n for x, y in zip(again, shard.seats))
     assert shard.seats[2].tables().max() > 4
+
+
+def test_rows_of_whole_shards_cross_to_python_one_by_one(spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    before, write = spark.conf.get(name), hpy.written
+
+    def noted(df, table, group_bytes=None):
+        seen[table] = (int(spark.conf.get(name)), group_bytes)
+        return write(df, table, group_bytes)
+
+    monkeypatch.setattr(hpy, "written", noted)
+    docs = spark.createDataFrame([(i, "one two three") for i in range(20)], "doc_id long, text string")
+    assert hpy.score(docs, fold(F.col("doc_id"), 10) == 0).count() == 20
+    assert seen["batches"][0] <= 1000 and seen["seats"][0] == 1 and all(g for _, g in seen.values())
+    assert spark.conf.get(name) == before

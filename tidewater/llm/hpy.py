@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import written
+from tidewater.llm.common import small_batches, written
 
 DISCOUNT = (0.6, 0.7, 0.75)  # empty, one-byte and two-byte contexts
 STRENGTH = (1.0, 1.0, 1.0)
@@ -55,6 +55,7 @@ ROUNDS = 2
 SWEEPS = 3
 BATCH_BYTES = 8 << 20
 SHARD_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20  # Parquet row groups of batches and shards, whose rows hold megabytes
 CONTEXTS = (1, 1 << 8, 1 << 16)
 GROUP_TABLES = 4  # tables expected of a dish that are seated again together
 MOVES = 8  # of two tables in a group
@@ -428,10 +429,11 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), held_out.alias("out"))
     size = slim.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
     shards = max(1, -(-size // shard_bytes))
-    packed = written(batches_of(slim, F.col("out"), ["key"], shards, batch_bytes), "batches")
+    with small_batches(spark):
+        packed = written(batches_of(slim, F.col("out"), ["key"], shards, batch_bytes), "batches", GROUP_BYTES)
     # one row for each shard, written once and read by every round; its size is bounded by shard_bytes of text
     pairs = written(
-        packed.filter("shard >= 0").groupBy("shard").agg(F.collect_list(F.struct("batch", "a", "b", "c")).alias("parts")), "shards"
+        packed.filter("shard >= 0").groupBy("shard").agg(F.collect_list(F.struct("batch", "a", "b", "c")).alias("parts")), "shards", GROUP_BYTES
     )
 
     def over_shards(work, schema: str, seats: DataFrame | None = None) -> DataFrame:
@@ -475,7 +477,8 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
                 totals[r.level][0][r.context], totals[r.level][1][r.context] = r.c, r.t
         return totals, words
 
-    totals, words = collected(over_shards(first, sums))
+    with small_batches(spark, 1):  # a row is a whole shard
+        totals, words = collected(over_shards(first, sums))
     base = 1 / (words + 1)
 
     def refreshing(state, number: int):
@@ -493,7 +496,8 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     seats = None
     for number in range(rounds - 1):
         state = spark.sparkContext.broadcast(totals)
-        after = written(over_shards(refreshing(state, number), left, seats), "seats")
+        with small_batches(spark, 1):
+            after = written(over_shards(refreshing(state, number), left, seats), "seats", GROUP_BYTES)
         totals, _ = collected(after.select(F.explode("sums").alias("s")).select("s.*"))
         seats = after.select("shard", "seats")
     state = spark.sparkContext.broadcast(totals)
