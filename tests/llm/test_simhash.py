@@ -89,3 +89,28 @@ def test_drop_keeps_clashing_columns_and_breaks_ties(spark):
     assert len(got) == 3 and set(got) <= set(rows)
     again = simhash.drop_near_duplicates(docs.repartition(4)).collect()
     assert sorted(map(tuple, again), key=repr) == got
+
+
+def test_links_inside_a_component_are_met_once(spark):
+    """Only links between labels go on to the next round, and the components are those of all links."""
+    rng = random.Random(9)
+    pairs = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(1000, 1064)] + [(2000, 2000)]
+    pairs += [(rng.randrange(3000, 3400), rng.randrange(3000, 3400)) for _ in range(300)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    labels = {r.node: r.label for r in simhash.components(edges).collect()}
+    nodes = sorted({x for p in pairs for x in p})
+    root = {x: x for x in nodes}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    assert labels == {x: top(x) for x in nodes}
+    star = spark.createDataFrame([(i, 0) for i in range(300)] + [(400, 0)], "node long, label long")
+    halves = spark.createDataFrame([(i, i % 2) for i in range(300)], "node long, label long")
+    assert simhash.between(edges, star).isEmpty()
+    assert [tuple(r) for r in simhash.between(edges.filter("b < 300"), halves).collect()] == [(0, 1)]

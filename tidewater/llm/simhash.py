@@ -130,28 +130,40 @@ def links(nodes: DataFrame, max_bits: int = 3, blocks: int = 5, chunk: int = 409
     return lists.mapInArrow(verify, "a long, b long").distinct()
 
 
+def between(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """``a, b``: the links whose ends have different ``labels (node, label)``, as links of those labels, each once."""
+    x, y = labels.select(F.col("node").alias("a"), F.col("label").alias("x")), labels.select(F.col("node").alias("b"), F.col("label").alias("y"))
+    return edges.join(x, "a").join(y, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, label``: every node of ``edges (a, b)`` with the smallest node that it reaches.
 
-    Minimum labels travel along the links and then along the labels
-    themselves (pointer jumping), so a chain of n nodes takes about log n
-    rounds.  Each round is a checkpoint in the shared folder.
+    A node takes its smallest neighbour's label, labels jump along the labels
+    themselves until they rest (a chain of n nodes takes about log n jumps), and
+    only links between different labels go on, as links of those: each round
+    leaves half of the nodes at most, so a link is met once or twice, not once
+    a round.  Each step is a checkpoint in the shared folder.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")).checkpoint()
+    found = []
+    links = edges.select("a", "b").checkpoint()
     while True:
-        near = (
-            both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        )
-        better = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
-        better = better.checkpoint()
-        up = better.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        jumped = (
-            better.join(up, "label").select("node", F.least("label", "up").alias("label"), "was").checkpoint()
-        )
-        labels = jumped.select("node", "label")
-        if jumped.filter("label <> was").isEmpty():
-            return labels
+        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")).checkpoint()
+        while True:
+            up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
+            jumped = labels.join(up, "label").select("node", F.col("up").alias("label"), F.col("label").alias("was")).checkpoint()
+            labels = jumped.select("node", "label")
+            if jumped.filter("label <> was").isEmpty():
+                break
+        found.append(labels)
+        links = between(links, labels).checkpoint()
+        if links.isEmpty():
+            break
+    while len(found) > 1:  # the labels of the last rounds name those of the rounds before
+        last = found.pop().select(F.col("node").alias("label"), F.col("label").alias("up"))
+        found[-1] = found[-1].join(last, "label", "left").select("node", F.coalesce("up", "label").alias("label")).checkpoint()
+    return found[0]
 
 
 def component_table(fps: DataFrame, key: str, max_bits: int = 3, blocks: int = 5) -> DataFrame:
