@@ -149,3 +149,40 @@ def test_rows_of_whole_shards_cross_to_python_one_by_one(spark, monkeypatch):
     assert hpy.score(docs, fold(F.col("doc_id"), 10) == 0).count() == 20
     assert seen["batches"][0] <= 1000 and seen["seats"][0] == 1 and all(g for _, g in seen.values())
     assert spark.conf.get(name) == before
+
+
+def test_contexts_are_whole_words(spark):
+    """Words that end alike foretell different words."""
+    rows = [(i, "xaab one" if i % 2 else "yaab two") for i in range(400)] + [(1000, "xaab one"), (1001, "xaab two"), (1002, "yaab two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    score = {r.doc_id: r.score for r in hpy.score(docs, F.col("doc_id") >= 1000, batch_bytes=600, shard_bytes=700).collect()}
+    assert score[1000] > score[1001] + 1 and score[1002] > score[1001] + 1
+
+
+def test_totals_are_those_of_all_shards(spark):
+    rng = np.random.default_rng(3)
+    rows, want = [], {"c": Counter(), "t": Counter()}
+    names = np.unique(rng.integers(0, 1 << hpy.CONTEXT_BITS, 40).astype(np.uint64))
+    for slot in range(5):
+        for part in range(2):
+            own = np.sort(rng.choice(names[part::2], 12, replace=False))
+            c, t = (rng.integers(0, 9, 12).astype("<u8") for _ in range(2))
+            rows.append((slot, part, hpy.pack(np.diff(own, prepend=np.uint64(0))), hpy.pack(c), hpy.pack(t), own.tolist()))
+            for k, x in (("c", c), ("t", t)):
+                want[k].update(dict(zip(own.tolist(), x.tolist())))
+    asked = spark.createDataFrame([r[:5] for r in rows], "slot long, part int, names binary, c binary, t binary")
+    got = {(r.slot, r.part): r for r in hpy.totalled(asked).collect()}
+    assert len(got) == len(rows)
+    for slot, part, _, _, _, own in rows:
+        for k in ("c", "t"):
+            assert hpy.unpack(got[slot, part][k], "<u8").tolist() == [want[k][x] for x in own]
+
+
+def test_pairs_are_shuffled_once(spark):
+    """Rounds and answers meet the buckets that the pairs lie in; only small rows go to them."""
+    docs = spark.createDataFrame([(i, f"one two three n{i}") for i in range(300)], "doc_id long, text string")
+    found = hpy.score(docs, fold(F.col("doc_id"), 10) == 0, batch_bytes=500, shard_bytes=1000)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Bucketed: true") == 2 and found.count() == 300
+    # of a FlatMapCoGroups' two sides the bucketed one comes first, straight from its scan
+    assert all("Exchange" not in part.split("Bucketed: true")[0] for part in plan.split("FlatMapCoGroupsInArrow")[1:])

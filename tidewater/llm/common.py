@@ -62,6 +62,21 @@ def written(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int, group_bytes: int) -> DataFrame:
+    """Write ``df`` to the shared folder dealt by ``key`` into ``buckets`` and read it back.
+
+    Rows that meet it by ``key`` are shuffled to its buckets, its own rows are not shuffled again.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    table_name = path.rsplit("/", 1)[1].replace("-", "_")
+    writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("parquet.block.size", str(group_bytes))
+    writer.option("path", path).saveAsTable(table_name, format="parquet")
+    found = spark.table(table_name)
+    spark.sql(f"DROP TABLE {table_name}")  # its name; the files stay
+    return found
+
+
 def bitmap_of(hashes: DataFrame, column: str, bits: int) -> bytes:
     """A bitmap of ``2 ** bits`` bits (15 at least) with the bit of each 64-bit hash's ``bits`` high bits set."""
     place = F.shiftrightunsigned(column, 64 - bits) + 1

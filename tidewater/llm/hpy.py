@@ -1,16 +1,15 @@
 """Language-model scoring with a hierarchical Pitman-Yor process.
 
-Contexts are suffixes of the previous word: its last two bytes, its last byte,
-nothing.  Each context is a Chinese restaurant whose dishes are words; a
-two-byte context's parent is the restaurant of its last byte, all of those
-share the empty context, and that one's base is uniform over the training
-words and one place for the unknown.  The probability of a word is
+Contexts are the previous word, its last byte, nothing.  Each context is a
+Chinese restaurant whose dishes are words; a word's parent is the restaurant of
+its last byte, all of those share the empty context, and that one's base is
+uniform over the training words and one place for the unknown.  The probability of a word is
 
     (c - d t + (theta + d T) P_parent(w)) / (theta + C)
 
 with c customers and t tables of the word, C and T of the restaurant.
 
-Sampling.  Every word occurrence is a customer of its two-byte context; every
+Sampling.  Every word occurrence is a customer of the word before it; every
 table there is a customer of the parent, and so on.  Given the restaurants'
 totals T, words are independent, so the state is parted by word: a task holds
 all dishes of its words at all three levels.  A sweep seats all
@@ -19,22 +18,26 @@ so its work grows with the tables that the counts call for; tables opened or
 closed add or take random customers at the parent.  Within a sweep the parent
 probabilities are those at its start.  Each round of sweeps writes the seating
 of all shards and their sums, and the next goes on from that seating with the
-totals T of it; there are at most 65,536 + 256 + 1 contexts, the bound of what
-is broadcast.  All rounds but the last are burn-in; predictive probabilities
+totals T of it.  All rounds but the last are burn-in; predictive probabilities
 are averaged over the last round's sweeps.
 
 Data flow.  Documents are packed into batches (bounded by text bytes) with
 their own list of distinct (context, word) pairs; documents keep positions in
-that list.  Pairs with their counts go to the shard of their word, packed by
-batch and pre-aggregated, so a frequent word is one entry for each batch and
-context however often it occurs.  The shard answers each batch's pairs, and a
-batch sums its documents from the answers.  All counts are over all training
+that list.  Pairs with their counts go to the shard of their word, packed by batch, in a
+table with a bucket for each shard, so that no later step shuffles them again.
+The words that are contexts are as many as the words, so their totals are never
+in one place: each shard asks for those of its own contexts, the askers' numbers
+are added by ranges of contexts, and every shard gets back the sums of what it
+asked for (``totalled``).  Only the sums of the 257 contexts above them are
+broadcast.  The shard answers each batch's pairs, and a batch sums its documents
+from the answers.  All counts are over all training
 rows; shards grow in number with the text, not in size.
 
 Defined results: a null text is empty and has its end token; equal rows get
 equal scores; without training rows every word is unknown; an empty table
 gives no rows; a null key counts as empty text for the fold; extra columns are
-ignored.  Words are told apart by a 64-bit hash.
+ignored.  Words are told apart by a 64-bit hash, as contexts by their last byte and
+32 bits of it.
 """
 
 from __future__ import annotations
@@ -44,19 +47,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import small_batches, written
+from tidewater.llm.common import bucketed, small_batches, written
 
-DISCOUNT = (0.6, 0.7, 0.75)  # empty, one-byte and two-byte contexts
+DISCOUNT = (0.6, 0.7, 0.75)  # empty, last-byte and word contexts
 STRENGTH = (1.0, 1.0, 1.0)
 ROUNDS = 2
 SWEEPS = 3
-BATCH_BYTES = 8 << 20
-SHARD_BYTES = 16 << 20
+BATCH_BYTES = 6 << 20
+SHARD_BYTES = 8 << 20
 GROUP_BYTES = 8 << 20  # Parquet row groups of batches and shards, whose rows hold megabytes
-CONTEXTS = (1, 1 << 8, 1 << 16)
+CONTEXTS = (1, 1 << 8)  # and the words
+CONTEXT_BITS = 40
+SHARDS_A_RANGE = 8  # shards' worth of contexts whose totals are added in one group
 GROUP_TABLES = 4  # tables expected of a dish that are seated again together
 MOVES = 8  # of two tables in a group
 LARGE_GROUP = 8  # customers of groups above are also drawn anew
@@ -85,15 +91,14 @@ def unpack(data: bytes, kind: str) -> np.ndarray:
 
 
 def batches_of(docs: DataFrame, held_out: Column, keys: list[str], shards: int, size: int) -> DataFrame:
-    """Two kinds of rows: ``shard`` >= 0: a batch's pairs for that shard; ``shard`` = -1: the batch's documents."""
+    """Two kinds of rows: ``slot`` < ``shards``: a batch's pairs for that shard; ``slot - shards`` = ``batch``: its documents."""
     rows = docs.select(*keys, held_out.alias("held_out"), F.col("text"))
     key_type = rows.select(*keys).schema
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
         import xxhash
 
+        number = TaskContext.get().partitionId() << 32
         held: list[pa.RecordBatch] = []
         known: dict[bytes, int] = {}
         words: list[bytes] = []
@@ -101,50 +106,50 @@ def batches_of(docs: DataFrame, held_out: Column, keys: list[str], shards: int,
         total = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, known, words, streams, total
-            name = uuid.uuid4().hex
+            nonlocal held, known, words, streams, total, number
             hashed = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-            last = np.fromiter((w[-1] for w in words), np.uint32, len(words))
-            second = np.fromiter((w[-2] if len(w) > 1 else 0 for w in words), np.uint32, len(words))
-            context = second << 8 | last
+            last = np.fromiter((w[-1] for w in words), np.uint64, len(words))
+            end = known[END]
+            known, words = {}, []
+            context = hashed >> np.uint64(32) << np.uint64(8) | last
             length = np.array([len(s) for s in streams])
             flat = np.concatenate(streams)
-            before = np.empty(len(flat), np.uint32)
-            before[1:] = context[flat[:-1]]
-            before[np.cumsum(length) - length] = ord(END)  # a text begins as after an end
+            streams = []
+            before = np.empty(len(flat), np.int64)
+            before[1:] = flat[:-1]
+            before[np.cumsum(length) - length] = end  # a text begins as after an end
             out = np.concatenate([b.column(len(keys)).to_numpy(zero_copy_only=False) for b in held]).astype(bool)
-            training = np.repeat(~out, length)
             # distinct pairs, sorted by shard, word and context
             order = np.argsort(hashed)
-            rank = np.empty(len(words), np.int64)
-            rank[order] = np.arange(len(words))
-            pair, at = np.unique(rank[flat] << 16 | before, return_inverse=True)
-            word, ctx = hashed[order][pair >> 16], (pair & 0xFFFF).astype(np.uint16)
-            count = np.bincount(at, training, len(pair)).astype(np.uint32)
+            rank = np.empty(len(hashed), np.int64)
+            rank[order] = np.arange(len(hashed))
+            pair, at = np.unique(rank[flat] << 32 | rank[before], return_inverse=True)
+            word, ctx = hashed[order][pair >> 32], context[order][pair & 0xFFFFFFFF]
+            count = np.bincount(at, np.repeat(~out, length), len(pair)).astype(np.uint32)
             shard = (word >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)  # ascends with the word
             edge = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
-            found = {"batch": [], "shard": [], "a": [], "b": [], "c": []}
+            found = {"slot": [], "batch": [], "a": [], "b": [], "c": []}
             for s in np.flatnonzero(np.diff(edge)).tolist():
                 i, j = edge[s], edge[s + 1]
-                found["batch"].append(name)
-                found["shard"].append(s)
+                found["slot"].append(s)
+                found["batch"].append(number)
                 found["a"].append(pack(np.diff(word[i:j], prepend=np.uint64(0))))
                 found["b"].append(pack(ctx[i:j]))
                 found["c"].append(pack(count[i:j]))
-            rows = {k: pa.array(v, t) for (k, v), t in zip(found.items(), (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))}
-            yield pa.RecordBatch.from_arrays([*rows.values(), pa.nulls(len(found["batch"]), docs_type[0])], names=names)
+            rows = {k: pa.array(v, t) for (k, v), t in zip(found.items(), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))}
+            yield pa.RecordBatch.from_arrays([*rows.values(), pa.nulls(len(found["slot"]), docs_type[0])], names=names)
             listed = pa.Table.from_batches(held).select([*keys, "held_out"])
             listed = listed.append_column("n", pa.array(length, pa.int64())).combine_chunks().to_batches()[0].to_struct_array()
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([name]), pa.array([-1], pa.int32()), pa.array([pack(at.astype(np.uint32))], pa.binary()), pa.nulls(1, pa.binary()),
+                    pa.array([shards + number]), pa.array([number]), pa.array([pack(at.astype(np.uint32))], pa.binary()), pa.nulls(1, pa.binary()),
                     pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), listed),
                 ],
                 names=names,
             )
-            held, known, words, streams, total = [], {}, [], [], 0
+            held, total, number = [], 0, number + 1
 
-        names = ["batch", "shard", "a", "b", "c", "docs"]
+        names = ["slot", "batch", "a", "b", "c", "docs"]
         docs_type: list[pa.DataType] = []
         for b in source:
             if not b.num_rows:
@@ -172,7 +177,7 @@ def batches_of(docs: DataFrame, held_out: Column, keys: list[str], shards: int,
 
     fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in key_type)
     return rows.mapInArrow(
-        run, f"batch string, shard int, a binary, b binary, c binary, docs array<struct<{fields}, held_out: boolean, n: bigint>>"
+        run, f"slot long, batch long, a binary, b binary, c binary, docs array<struct<{fields}, held_out: boolean, n: bigint>>"
     )
 
 
@@ -349,11 +354,25 @@ def renewed(rng, group: np.ndarray, size: np.ndarray, number: np.ndarray, weight
     return group, size
 
 
+class Named:
+    """A number for each of some contexts (``names``, ascending), found by its context as in an array of all."""
+
+    def __init__(self, names: np.ndarray, values: np.ndarray):
+        self.names, self.values = names, values
+
+    def __getitem__(self, context):
+        return self.values[np.searchsorted(self.names, context)]
+
+
 class Shard:
     """All dishes of some words at the three levels, for one round of sweeps."""
 
     def __init__(self, word: np.ndarray, context: np.ndarray, count: np.ndarray, seats: list[Seating] | None = None):
-        """Distinct (word, two-byte context) pairs, sorted by word and context, with their customers; ``seats`` as they were left."""
+        """Distinct (word, context) pairs, sorted by word and context, with their customers; ``seats`` as they were left.
+
+        A context's low eight bits are its parent.
+        """
+        self.names, self.place = np.unique(context, return_inverse=True)
         self.context = [None, context & 255, context]
         one, self.up2 = np.unique(np.cumsum(np.concatenate([[0], word[1:] != word[:-1]])) << 8 | (context & 255).astype(np.int64), return_inverse=True)
         self.up1 = one >> 8
@@ -370,11 +389,15 @@ class Shard:
         self.seats[1] = Seating(np.bincount(self.up2, self.seats[2].tables(), len(one)))
         self.seats[0] = Seating(np.bincount(self.up1, self.seats[1].tables(), self.words))
 
+    def of_dishes(self, totals, level: int) -> np.ndarray:
+        """The number of each dish's restaurant; of words as contexts, ``totals`` are those of ``names``."""
+        return totals.values[self.place] if level == 2 else totals[self.context[level]]
+
     def probabilities(self, totals: list[tuple[np.ndarray, np.ndarray]], base: float) -> list[np.ndarray]:
         """P of every dish at each level, given each restaurant's customers and tables."""
         found, above = [], np.full(self.words, base)
         for level in range(3):
-            c_all, t_all = (x[self.context[level]] for x in totals[level])
+            c_all, t_all = (self.of_dishes(x, level) for x in totals[level])
             above = above if level == 0 else found[-1][self.parent[level]]
             s = self.seats[level]
             d, theta = DISCOUNT[level], STRENGTH[level]
@@ -388,7 +411,7 @@ class Shard:
         for level in (2, 1, 0):
             s, d = self.seats[level], DISCOUNT[level]
             above = np.full(self.words, base) if level == 0 else p[level - 1][self.parent[level]]
-            opening = (STRENGTH[level] + d * totals[level][1][self.context[level]]) * above
+            opening = (STRENGTH[level] + d * self.of_dishes(totals[level][1], level)) * above
             before = s.tables()
             if self.fresh:  # one table a dish is far from any seating of a large one
                 sent = s.customers() if level == 2 else np.bincount(self.parent[level + 1], self.seats[level + 1].tables(), s.n)
@@ -403,24 +426,44 @@ class Shard:
 
     def sums(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """Customers and tables of every restaurant, as far as this shard's words go."""
-        return [
-            (np.bincount(self.context[i], s.customers(), CONTEXTS[i]), np.bincount(self.context[i], s.tables(), CONTEXTS[i]))
-            for i, s in enumerate(self.seats)
+        found = [
+            (np.bincount(self.context[i], s.customers(), n), np.bincount(self.context[i], s.tables(), n))
+            for i, (s, n) in enumerate(zip(self.seats, CONTEXTS))
         ]
+        s, n = self.seats[2], len(self.names)
+        return [*found, (Named(self.names, np.bincount(self.place, s.customers(), n)), Named(self.names, np.bincount(self.place, s.tables(), n)))]
 
 
 def opened(rows: list[tuple[bytes, bytes, bytes]], seats: list[Seating] | None = None) -> tuple[Shard, list[np.ndarray]]:
     """The shard of some batches' pairs, seated as ``seats`` if given, and for each batch the places of its pairs."""
     word = [np.cumsum(unpack(a, "<u8"), dtype=np.uint64) for a, _, _ in rows]
-    context = [unpack(b, "<u2").astype(np.int64) for _, b, _ in rows]
+    context = [unpack(b, "<u8").astype(np.int64) for _, b, _ in rows]
     count = [unpack(c, "<u4").astype(np.float64) for _, _, c in rows]
     every = np.unique(np.concatenate(word))
-    pair = np.concatenate([np.searchsorted(every, w) << 16 | c for w, c in zip(word, context)])
+    pair = np.concatenate([np.searchsorted(every, w) << CONTEXT_BITS | c for w, c in zip(word, context)])
     distinct, at = np.unique(pair, return_inverse=True)
-    shard = Shard(every[distinct >> 16], distinct & 0xFFFF, np.bincount(at, np.concatenate(count), len(distinct)), seats)
+    count = np.bincount(at, np.concatenate(count), len(distinct))
+    shard = Shard(every[distinct >> CONTEXT_BITS], distinct & (1 << CONTEXT_BITS) - 1, count, seats)
     return shard, np.split(at, np.cumsum([len(w) for w in word])[:-1])
 
 
+def totalled(asked: DataFrame) -> DataFrame:
+    """``slot, part, c, t``: for each shard's contexts of a range (``slot, part, names, c, t``) the sums over all shards."""
+
+    def added(table: pa.Table) -> pa.Table:
+        names = [np.cumsum(unpack(x, "<u8"), dtype=np.uint64) for x in table.column("names").to_pylist()]
+        every, at = np.unique(np.concatenate(names), return_inverse=True)
+        edges = np.cumsum([len(x) for x in names])[:-1]
+        columns = [table.column("slot"), table.column("part")]
+        for k in ("c", "t"):
+            own = np.concatenate([unpack(x, "<u8") for x in table.column(k).to_pylist()])
+            sums = np.bincount(at, own, len(every)).astype("<u8")
+            columns.append(pa.array([pack(x) for x in np.split(sums[at], edges)], pa.binary()))
+        return pa.table(columns, names=["slot", "part", "c", "t"])
+
+    return asked.groupBy("part").applyInArrow(added, "slot long, part int, c binary, t binary")
+
+
 def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, sweeps: int = SWEEPS,
           batch_bytes: int = BATCH_BYTES, shard_bytes: int = SHARD_BYTES, seed: int = 1) -> DataFrame:
     """``key, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every text; rows not held out are learned from."""
@@ -429,104 +472,120 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), held_out.alias("out"))
     size = slim.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
     shards = max(1, -(-size // shard_bytes))
+    parts = max(1, shards // SHARDS_A_RANGE)
     with small_batches(spark):
-        packed = written(batches_of(slim, F.col("out"), ["key"], shards, batch_bytes), "batches", GROUP_BYTES)
-    # one row for each shard, written once and read by every round; its size is bounded by shard_bytes of text
-    pairs = written(
-        packed.filter("shard >= 0").groupBy("shard").agg(F.collect_list(F.struct("batch", "a", "b", "c")).alias("parts")), "shards", GROUP_BYTES
-    )
-
-    def over_shards(work, schema: str, seats: DataFrame | None = None) -> DataFrame:
-        """``work(number, batches, shard, places)`` of every shard, one at a time, seated as in ``seats``."""
-
-        resumed = seats is not None
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for i in range(b.num_rows):
-                    parts = sorted(b.column("parts")[i].as_py(), key=lambda p: p["batch"])
-                    left = [Seating.unpacked(x) for x in b.column("seats")[i].as_py()] if resumed else None
-                    shard, places = opened([(p["a"], p["b"], p["c"]) for p in parts], left)
-                    yield from work(b.column("shard")[i].as_py(), [p["batch"] for p in parts], shard, places).to_batches()
-
-        return (pairs.join(seats, "shard") if resumed else pairs).mapInArrow(run, schema)
-
-    def summed(shard: Shard) -> list[dict]:
+        dealt = bucketed(batches_of(slim, F.col("out"), ["key"], shards, batch_bytes), "pairs", "slot", shards, GROUP_BYTES)
+        listed = written(dealt.filter(F.col("slot") >= shards).select("slot", "docs"), "batches", GROUP_BYTES)
+    pairs = dealt.filter(F.col("slot") < shards).select("slot", "batch", "a", "b", "c")
+
+    sums_type = pa.struct([("level", pa.int32()), ("context", pa.int32()), ("c", pa.float64()), ("t", pa.float64())])
+    seats_type = pa.struct([("tables", pa.binary()), ("sizes", pa.binary())])
+    asks_type = pa.schema([
+        ("slot", pa.int64()), ("part", pa.int32()), ("names", pa.binary()), ("c", pa.binary()), ("t", pa.binary()),
+        ("sums", pa.list_(sums_type)), ("seats", pa.list_(seats_type)),
+    ])
+    seats_schema = "array<struct<tables: binary, sizes: binary>>"
+    asks = f"slot long, part int, names binary, c binary, t binary, sums array<struct<level: int, context: int, c: double, t: double>>, seats {seats_schema}"
+
+    def asking(slot: int, shard: Shard, seats: list[dict] | None) -> pa.Table:
+        """A row of the shard's seating and its sums of the contexts above words, and a row for each range of its words as contexts."""
         rows = [{"level": -1, "context": 0, "c": float((shard.count > 0).sum()), "t": 0.0}]  # distinct training words
-        for level, (c, t) in enumerate(shard.sums()):
+        totals = shard.sums()
+        for level, (c, t) in enumerate(totals[:2]):
             at = np.flatnonzero(c)
             rows += [{"level": level, "context": k, "c": x, "t": y} for k, x, y in zip(at.tolist(), c[at].tolist(), t[at].tolist())]
-        return rows
-
-    def first(number: int, batches: list[str], shard: Shard, places: list[np.ndarray]) -> pa.Table:
-        return pa.Table.from_pylist(summed(shard), schema=sums_type)
-
-    sums = "level int, context int, c double, t double"
-    sums_type = pa.schema([("level", pa.int32()), ("context", pa.int32()), ("c", pa.float64()), ("t", pa.float64())])
-    seats_type = pa.list_(pa.struct([("tables", pa.binary()), ("sizes", pa.binary())]))
-    left = "shard int, seats array<struct<tables: binary, sizes: binary>>, sums array<struct<level: int, context: int, c: double, t: double>>"
-
-    def collected(parts: DataFrame) -> tuple[list, int]:
-        """At most one row for each possible context reaches the driver."""
+        out = [{"slot": slot, "part": -1, "sums": rows, "seats": seats}]
+        names, c, t = shard.names.astype("<u8"), totals[2][0].values.astype("<u8"), totals[2][1].values.astype("<u8")
+        part = (shard.names >> 8) * parts >> 32
+        edge = np.searchsorted(part, np.arange(parts + 1))
+        for k in np.flatnonzero(np.diff(edge)).tolist():
+            i, j = edge[k], edge[k + 1]
+            out.append({"slot": slot, "part": k, "names": pack(np.diff(names[i:j], prepend=np.uint64(0))), "c": pack(c[i:j]), "t": pack(t[i:j])})
+        return pa.Table.from_pylist(out, schema=asks_type)
+
+    def shard_of(rows: pa.Table, seats: list[Seating] | None = None) -> tuple[int, list[int], Shard, list[np.ndarray]]:
+        rows = rows.sort_by("batch")
+        shard, places = opened(list(zip(*(rows.column(x).to_pylist() for x in "abc"))), seats)
+        return rows.column("slot")[0].as_py(), rows.column("batch").to_pylist(), shard, places
+
+    def first(rows: pa.Table) -> pa.Table:
+        slot, _, shard, _ = shard_of(rows)
+        return asking(slot, shard, None)
+
+    def above(asked: DataFrame) -> tuple[list, int]:
+        """The sums of the contexts above words, one row each to the driver, and the number of training words."""
         totals = [(np.zeros(n), np.zeros(n)) for n in CONTEXTS]
         words = 0
-        for r in parts.groupBy("level", "context").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).collect():
+        own = asked.filter("part < 0").select(F.explode("sums").alias("s")).select("s.*")
+        for r in own.groupBy("level", "context").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).collect():
             if r.level < 0:
                 words = int(r.c)
             else:
                 totals[r.level][0][r.context], totals[r.level][1][r.context] = r.c, r.t
         return totals, words
 
-    with small_batches(spark, 1):  # a row is a whole shard
-        totals, words = collected(over_shards(first, sums))
+    def over_shards(work, schema: str, asked: DataFrame, totals: list) -> DataFrame:
+        """``work(slot, batches, shard, places, totals)`` of every shard, seated as ``asked`` left it, with the totals that it asked for."""
+        state = spark.sparkContext.broadcast(totals)
+
+        def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+            told = told.sort_by("part").to_pylist()
+            left = [Seating.unpacked(x) for x in told[0]["seats"]] if told[0]["seats"] else None
+            slot, batches, shard, places = shard_of(rows, left)
+            sums = (Named(shard.names, np.concatenate([unpack(x[k], "<u8") for x in told[1:]]).astype(np.float64)) for k in ("c", "t"))
+            return work(slot, batches, shard, places, [*state.value, tuple(sums)])
+
+        replies = totalled(asked.filter("part >= 0").select("slot", "part", "names", "c", "t")).withColumn("seats", F.lit(None).cast(seats_schema))
+        told = asked.filter("part < 0").select("slot", "part", "c", "t", "seats").union(replies)
+        return pairs.groupBy("slot").cogroup(told.groupBy("slot")).applyInArrow(run, schema)
+
+    with small_batches(spark, 1):  # rows of a shard's pairs, met shard by shard
+        asked = written(pairs.groupBy("slot").applyInArrow(first, asks), "asks", GROUP_BYTES)
+    totals, words = above(asked)
     base = 1 / (words + 1)
 
-    def refreshing(state, number: int):
-        def refresh(name: int, batches: list[str], shard: Shard, places: list[np.ndarray]) -> pa.Table:
-            rng = np.random.default_rng([seed, number, name])
+    def refreshing(number: int):
+        def refresh(slot: int, batches: list[int], shard: Shard, places: list[np.ndarray], totals: list) -> pa.Table:
+            rng = np.random.default_rng([seed, number, slot])
             for _ in range(sweeps):
-                shard.sweep(rng, state.value, base)
-            columns = [pa.array([name], pa.int32()), pa.array([[s.packed() for s in shard.seats]], seats_type)]
-            columns.append(pa.array([summed(shard)], pa.list_(pa.struct(list(sums_type)))))
-            return pa.table(columns, names=["shard", "seats", "sums"])
+                shard.sweep(rng, totals, base)
+            return asking(slot, shard, [s.packed() for s in shard.seats])
 
         return refresh
 
     # burn-in: each round goes on from the seating that the one before has written
-    seats = None
     for number in range(rounds - 1):
-        state = spark.sparkContext.broadcast(totals)
         with small_batches(spark, 1):
-            after = written(over_shards(refreshing(state, number), left, seats), "seats", GROUP_BYTES)
-        totals, _ = collected(after.select(F.explode("sums").alias("s")).select("s.*"))
-        seats = after.select("shard", "seats")
-    state = spark.sparkContext.broadcast(totals)
+            asked = written(over_shards(refreshing(number), asks, asked, totals), "seats", GROUP_BYTES)
+        totals, _ = above(asked)
 
-    def answer(name: int, batches: list[str], shard: Shard, places: list[np.ndarray]) -> pa.Table:
-        rng = np.random.default_rng([seed, rounds, name])
+    def answer(slot: int, batches: list[int], shard: Shard, places: list[np.ndarray], totals: list) -> pa.Table:
+        rng = np.random.default_rng([seed, rounds, slot])
         p = np.zeros(len(shard.up2))
         for _ in range(0 if rounds > 1 else sweeps):  # no round before this one: its burn-in
-            shard.sweep(rng, state.value, base)
+            shard.sweep(rng, totals, base)
         for _ in range(sweeps):
-            shard.sweep(rng, state.value, base)
-            p += shard.probabilities(state.value, base)[2]
+            shard.sweep(rng, totals, base)
+            p += shard.probabilities(totals, base)[2]
         log_p = np.log10(p / sweeps).astype("<f4")
         count = shard.count[shard.up1[shard.up2]].astype("<u4")
-        columns = [pa.array(batches), pa.array([name] * len(batches), pa.int32())]
+        columns = [pa.array([shards + x for x in batches], pa.int64()), pa.array([slot] * len(batches), pa.int64())]
         columns += [pa.array([pack(x[at]) for at in places], pa.binary()) for x in (log_p, count)]
-        return pa.table(columns, names=["batch", "shard", "p", "n"])
+        return pa.table(columns, names=["slot", "shard", "p", "n"])
 
-    answers = over_shards(answer, "batch string, shard int, p binary, n binary", seats)
-    tokens_all = float(totals_tokens(packed.filter("shard >= 0").select("c")))
-    documents = packed.filter("shard = -1").select("batch", "a", "docs")
+    answers = over_shards(answer, "slot long, shard long, p binary, n binary", asked, totals)
+    train = F.aggregate("docs", F.lit(0).cast("long"), lambda s, d: s + F.when(d["held_out"], 0).otherwise(d["n"]))
+    tokens_all = listed.agg(F.sum(train).alias("n")).first().n or 0
+    right = answers.withColumn("docs", F.lit(None).cast(listed.schema["docs"].dataType)).union(
+        listed.select("slot", F.lit(-1).cast("long"), F.lit(None).cast("binary"), F.lit(None).cast("binary"), "docs"))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         """A batch's documents summed from the answers to its pairs."""
         right = right.sort_by("shard")
-        log_p = np.concatenate([unpack(x, "<f4") for x in right.column("p").to_pylist()]).astype(np.float64)
-        count = np.concatenate([unpack(x, "<u4") for x in right.column("n").to_pylist()]).astype(np.float64)
+        listed = right.column("docs")[:1].combine_chunks().flatten()
+        log_p = np.concatenate([unpack(x, "<f4") for x in right.column("p").to_pylist()[1:]]).astype(np.float64)
+        count = np.concatenate([unpack(x, "<u4") for x in right.column("n").to_pylist()[1:]]).astype(np.float64)
         at = unpack(left.column("a")[0].as_py(), "<u4")
-        listed = left.column("docs").combine_chunks().flatten()
         n = listed.field("n").to_numpy(zero_copy_only=False)
         begin = np.cumsum(n) - n
         plain = np.log10((count + 0.1) / (tokens_all + 0.1 * (words + 1)))
@@ -537,16 +596,7 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
         return pa.table(columns, names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kind = slim.schema["key"].dataType.simpleString()
-    return documents.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(
+    documents = dealt.filter(F.col("slot") >= shards).select("slot", "a")
+    return documents.groupBy("slot").cogroup(right.groupBy("slot")).applyInArrow(
         finish, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
-
-
-def totals_tokens(pairs: DataFrame) -> int:
-    """Number of training tokens."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sum(int(unpack(x.as_py(), "<u4").sum(dtype=np.int64)) for x in b.column(0))], pa.int64())], names=["n"])
-
-    return pairs.mapInArrow(run, "n long").agg(F.sum("n").alias("n")).first().n or 0
