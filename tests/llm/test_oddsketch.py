@@ -126,3 +126,24 @@ def test_meetings_of_a_large_group_are_thinned(spark):
     labels = {r.node: r.label for r in oddsketch.components(thin).collect()}
     assert set(labels) == {*heads, *members, 5000, 5001, 5002}
     assert {labels[x] for x in (*heads, *members)} == {0} and {labels[x] for x in (5000, 5001, 5002)} == {5000}
+
+
+def test_parts_name_their_classes_without_components(spark, monkeypatch):
+    """Only the candidate groups, and the links between groups found in parts, need components."""
+    rng, calls = random.Random(8), []
+    rows = list(enumerate(families(rng, 3, 40, 120, 6)))
+    counted = oddsketch.components
+    monkeypatch.setattr(oddsketch, "components", lambda edges: calls.append(1) or counted(edges))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(oddsketch.near_duplicates(docs, chunk=8, part_bytes=20_000)) == expected(rows)
+    assert len(calls) <= 2
+
+
+def test_sets_are_made_when_asked_for(monkeypatch):
+    """A text whose sketch rules out all others is not hashed again."""
+    made, real = [], oddsketch.shingle_set
+    monkeypatch.setattr(oddsketch, "shingle_set", lambda t, k: made.append(t) or real(t, k))
+    texts = [" ".join(f"{c}{i}" for i in range(300)) for c in "abc"] + [" ".join(f"b{i}" for i in range(301))]
+    sketches = np.array([oddsketch.odd_sketch(oddsketch.minhashes(real(t, 3), 192)) for t in texts])
+    found = oddsketch.true_groups(oddsketch.sets_of(texts, 3), sketches, oddsketch.most_bits(85, 192), 85)
+    assert found == [(1, 3)] and sorted(made) == sorted([texts[1], texts[3]])

@@ -114,3 +114,25 @@ def test_links_inside_a_component_are_met_once(spark):
     halves = spark.createDataFrame([(i, i % 2) for i in range(300)], "node long, label long")
     assert simhash.between(edges, star).isEmpty()
     assert [tuple(r) for r in simhash.between(edges.filter("b < 300"), halves).collect()] == [(0, 1)]
+
+
+def test_few_links_take_a_task_a_core(spark):
+    """Whatever the number of shuffle partitions, a step over few links has a task for each core."""
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    rng = random.Random(3)
+    edges = [(a, a + 1) for a in range(0, 60)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(90)]
+    rows = spark.createDataFrame(edges, "a long, b long")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        labels = simhash.components(rows)
+        assert labels.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    least = {x: x for e in edges for x in e}
+    for _ in least:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    assert {r.node: r.label for r in labels.collect()} == least

@@ -16,12 +16,13 @@ so never all pairs.  The components of those meetings are candidate groups.
 
 Links are confirmed on full sets.  The classes of a candidate group come
 together with their texts, each once, in parts of about ``part_bytes`` of sets
-(64-bit shingle hashes); a search that lets a class leave as soon as it is linked gives
-a spanning forest of the true links.  Where a group has several parts, first
-the parts, then the groups found in them, by one class each, are searched; at
-last every class outside the largest group found meets all classes of other
-groups.  So a large group of near copies costs its size, and only classes that
-really are not linked are compared more often.
+(64-bit shingle hashes); a search that lets a class leave as soon as it is linked names
+each class by the least of those that true links reach in the part.  Where a
+group has several parts, first the parts, then the groups found in them, by one
+class each, are searched; at last every class outside the largest group found
+meets all classes of other groups.  So a large group of near copies costs its size, and only classes that
+really are not linked are compared more often.  A part names its own classes, so
+only links of that last meeting, between groups found, need components.
 
 What may be lost: a pair at exactly the threshold shares none of the bands with
 probability (1 - 0.85 ** 6) ** 32 = 2.6e-7 at the defaults, and is ruled out by
@@ -37,7 +38,7 @@ empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -168,22 +169,28 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (small + large - common)
 
 
-def true_links(sets: list[np.ndarray], sketches: np.ndarray, most: int, percent: int) -> list[tuple[int, int]]:
-    """Places of a spanning forest of the true links among ``sets``."""
-    left, edges = np.arange(len(sets)), []
+def sets_of(texts: list[str], k: int) -> Callable[[int], np.ndarray]:
+    """The set of the text at a place, made when it is first asked for: sketches rule out most pairs."""
+    return lru_cache(maxsize=None)(lambda i: shingle_set(texts[i], k))
+
+
+def true_groups(sets: Callable[[int], np.ndarray], sketches: np.ndarray, most: int, percent: int) -> list[tuple[int, int]]:
+    """Places ``(first, other)``: every set that true links connect with earlier ones, and the first of those."""
+    left, named = np.arange(len(sketches)), []
     while len(left):
-        frontier, left = [int(left[0])], left[1:]
+        first, left = int(left[0]), left[1:]
+        frontier = [first]
         while frontier and len(left):
             at = frontier.pop()
             maybe = near(sketches[left], sketches[at]) <= most
             linked = np.zeros(len(left), bool)
             for i in np.flatnonzero(maybe).tolist():
-                linked[i] = similar(sets[at], sets[left[i]], percent)
+                linked[i] = similar(sets(at), sets(int(left[i])), percent)
             found = left[linked].tolist()
-            edges += [(at, x) for x in found]
+            named += [(first, x) for x in found]
             frontier += found
             left = left[~linked]
-    return edges
+    return named
 
 
 def sketch_array(column: pa.Array) -> np.ndarray:
@@ -313,10 +320,16 @@ def thinned(edges: DataFrame) -> DataFrame:
     return found.select(least.alias("a"), "b").union(found.select(least.alias("a"), F.explode(others).alias("b"))).distinct()
 
 
-def grouped(edges: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
-    """``nodes`` with ``name``: the least id reachable over ``edges``."""
-    labels = components(edges).select(F.col("node").alias("id"), F.col("label").alias(name))
-    return nodes.join(labels, "id", "left").withColumn(name, F.coalesce(name, "id"))
+def followed(names: DataFrame, heads: DataFrame) -> DataFrame:
+    """``a, b``: the names ``a`` of the ids ``b``, where ``heads`` gives some of those names a name in turn."""
+    up = heads.select(F.col("a").alias("up"), F.col("b").alias("a"))
+    return names.join(up, "a", "left").select(F.coalesce("up", "a").alias("a"), "b").union(heads)
+
+
+def grouped(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """``nodes`` with ``found``: the name ``a`` of ``id``, itself if it has none."""
+    found = names.select(F.col("b").alias("id"), F.col("a").alias("found"))
+    return nodes.join(found, "id", "left").withColumn("found", F.coalesce("found", "id"))
 
 
 def dealt(members: DataFrame, part_bytes: int) -> DataFrame:
@@ -333,51 +346,52 @@ def with_texts(members: DataFrame, texts: DataFrame, *keep: str) -> DataFrame:
 
 
 def confirmed(members: DataFrame, texts: DataFrame, k: int, most: int, percent: int, part_bytes: int) -> DataFrame:
-    """``a, b``: links that span every group of true links among ``members (id, key, th, group, sketch, bytes)``."""
+    """``a, b``: the least id ``a`` of the group of true links among ``members (id, key, th, group, sketch, bytes)``
+    that ``b`` is in, for every other id of it."""
 
     def search(columns: dict[str, list]) -> list[tuple[int, int]]:
-        ids, sets = columns["id"], [shingle_set(t, k) for t in columns["body"]]
-        return [(ids[a], ids[b]) for a, b in true_links(sets, sketch_array(pa.array(columns["sketch"])), most, percent)]
+        ids, sets = columns["id"], sets_of(columns["body"], k)
+        return [(ids[a], ids[b]) for a, b in true_groups(sets, sketch_array(pa.array(columns["sketch"])), most, percent)]
 
     def cross(columns: dict[str, list]) -> list[tuple[int, int]]:
-        ids, found, sketches = columns["id"], np.array(columns["found"]), sketch_array(pa.array(columns["sketch"]))
-        sets = [shingle_set(t, k) for t in columns["body"]]
+        found, sketches, sets = np.array(columns["found"]), sketch_array(pa.array(columns["sketch"])), sets_of(columns["body"], k)
         side, edges, known = np.array(columns["side"]), [], set()
         other = np.flatnonzero(side == 1)
         for i in np.flatnonzero(side == 0).tolist():
             maybe = other[(found[other] != found[i]) & (near(sketches[other], sketches[i]) <= most)]
             for j in maybe.tolist():
                 pair = frozenset((found[i], found[j]))
-                if pair not in known and similar(sets[i], sets[j], percent):
+                if pair not in known and similar(sets(i), sets(j), percent):
                     known.add(pair)
-                    edges.append((ids[i], ids[j]))
+                    edges.append((int(found[i]), int(found[j])))
         return edges
 
     members = written(dealt(members, part_bytes), "members")
-    inside = written(by_group(with_texts(members, texts, "group", "part"), ["group", "part"], search), "links")
+    inside = written(by_group(with_texts(members, texts, "group", "part"), ["group", "part"], search), "names")
     large = members.filter("parts > 1")
     if large.isEmpty():
         return inside
     # the groups found in the parts of a large group meet by one class each
-    heads = grouped(inside, large, "found").filter("id = found").drop("parts", "part", "found")
+    heads = large.join(inside.select(F.col("b").alias("id")), "id", "left_anti").drop("parts", "part")
     heads = with_texts(dealt(heads, part_bytes), texts, "group", "part")
-    links = written(inside.union(by_group(heads, ["group", "part"], search)), "links")
+    names = followed(inside, written(by_group(heads, ["group", "part"], search), "names"))
     # all classes outside the largest group found, against all classes of other groups
-    state = written(grouped(links, large, "found"), "members")
+    state = written(grouped(large, names), "members")
     sizes = state.groupBy("group", "found").agg(F.count("*").alias("n"), F.sum("bytes").alias("all"))
     order = Window.partitionBy("group").orderBy(F.desc("n"), "found")
-    outside = sizes.withColumn("at", F.row_number().over(order)).filter("at > 1")
+    outside = written(sizes.withColumn("at", F.row_number().over(order)).filter("at > 1").select("group", "found", "all"), "outside")
+    if outside.isEmpty():
+        return names
     many = outside.groupBy("group").agg(F.ceil(F.sum("all") / F.lit(part_bytes)).cast("int").alias("shares"))
     asked = state.join(many, "group").join(outside.select("group", "found", F.lit(True).alias("asks")), ["group", "found"], "left")
-    if asked.isEmpty():
-        return links
     body = with_texts(asked, texts, "group", "found", "part", "parts", "shares", "asks")
     every = F.sequence(F.lit(0), F.col("shares") - 1)
     copies = F.when(F.col("asks"), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(
         F.lit(0).alias("side"), i.alias("i"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("shares")).cast("int").alias("j"))))
     copies = F.concat(F.coalesce(copies, F.array()), F.transform(every, lambda j: F.struct(F.lit(1).alias("side"), F.col("part").alias("i"), j.alias("j"))))
     cells = body.withColumn("cell", F.explode(copies)).select("group", "cell.i", "cell.j", "cell.side", "found", "id", "sketch", "body")
-    return links.union(by_group(cells, ["group", "i", "j"], cross))
+    last = components(by_group(cells, ["group", "i", "j"], cross)).filter("node <> label")
+    return followed(names, last.select(F.col("label").alias("a"), F.col("node").alias("b")))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = 3, percent: int = 85,
@@ -395,8 +409,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         components(candidates).select(F.col("node").alias("id"), F.col("label").alias("group")), "id")
     members = written(members, "members")
     texts = maybe_members(keyed_texts(docs, key, text), members, slot_bits)
-    links = written(confirmed(members, texts, shingle_words, most, percent, part_bytes), "links")
-    found = grouped(links, classes, "found")
+    names = written(confirmed(members, texts, shingle_words, most, percent, part_bytes), "names")
+    found = grouped(classes, names)
     smallest = found.groupBy("found").agg(F.min("least").alias("component_id"))
     named = found.join(smallest, "found").select("high", "low", "component_id")
     out = signed.select("key", "n_shingles", "high", "low").join(named, ["high", "low"], "left")

@@ -130,10 +130,15 @@ def links(nodes: DataFrame, max_bits: int = 3, blocks: int = 5, chunk: int = 409
     return lists.mapInArrow(verify, "a long, b long").distinct()
 
 
-def between(edges: DataFrame, labels: DataFrame) -> DataFrame:
+#: So many links, two numbers each, need no more tasks than there are cores.
+FEW_LINKS = 1 << 20
+
+
+def between(edges: DataFrame, labels: DataFrame, packed=lambda df: df) -> DataFrame:
     """``a, b``: the links whose ends have different ``labels (node, label)``, as links of those labels, each once."""
     x, y = labels.select(F.col("node").alias("a"), F.col("label").alias("x")), labels.select(F.col("node").alias("b"), F.col("label").alias("y"))
-    return edges.join(x, "a").join(y, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    met = packed(packed(edges.join(x, "a")).join(y, "b")).filter("x <> y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -143,27 +148,38 @@ def components(edges: DataFrame) -> DataFrame:
     themselves until they rest (a chain of n nodes takes about log n jumps), and
     only links between different labels go on, as links of those: each round
     leaves half of the nodes at most, so a link is met once or twice, not once
-    a round.  Each step is a checkpoint in the shared folder.
+    a round.  Each step is a checkpoint in the shared folder.  A round of few
+    links has a task for each core in its steps, whatever the number of shuffle
+    partitions; a round of many has those partitions.
     """
+    cores = edges.sparkSession.sparkContext.defaultParallelism
     found = []
     links = edges.select("a", "b").checkpoint()
-    while True:
+    while (count := links.count()) or not found:
+        few = count <= FEW_LINKS
+
+        def packed(df: DataFrame, few: bool = few) -> DataFrame:
+            return df.coalesce(cores) if few else df
+
+        links = packed(links)
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")).checkpoint()
+        labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label"))
+        labels = packed(labels).checkpoint()
         while True:
             up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-            jumped = labels.join(up, "label").select("node", F.col("up").alias("label"), F.col("label").alias("was")).checkpoint()
+            jumped = labels.join(up, "label").select("node", F.col("up").alias("label"), F.col("label").alias("was"))
+            jumped = packed(jumped).checkpoint()
             labels = jumped.select("node", "label")
             if jumped.filter("label <> was").isEmpty():
                 break
-        found.append(labels)
-        links = between(links, labels).checkpoint()
-        if links.isEmpty():
-            break
+        found.append((labels, packed))
+        links = packed(between(links, labels, packed)).checkpoint()
     while len(found) > 1:  # the labels of the last rounds name those of the rounds before
-        last = found.pop().select(F.col("node").alias("label"), F.col("label").alias("up"))
-        found[-1] = found[-1].join(last, "label", "left").select("node", F.coalesce("up", "label").alias("label")).checkpoint()
-    return found[0]
+        last = found.pop()[0].select(F.col("node").alias("label"), F.col("label").alias("up"))
+        labels, packed = found.pop()
+        named = packed(labels.join(last, "label", "left").select("node", F.coalesce("up", "label").alias("label")))
+        found.append((named.checkpoint(), packed))
+    return found[0][0]
 
 
 def component_table(fps: DataFrame, key: str, max_bits: int = 3, blocks: int = 5) -> DataFrame:
