@@ -147,3 +147,18 @@ def test_sets_are_made_when_asked_for(monkeypatch):
     sketches = np.array([oddsketch.odd_sketch(oddsketch.minhashes(real(t, 3), 192)) for t in texts])
     found = oddsketch.true_groups(oddsketch.sets_of(texts, 3), sketches, oddsketch.most_bits(85, 192), 85)
     assert found == [(1, 3)] and sorted(made) == sorted([texts[1], texts[3]])
+
+
+def test_only_texts_of_large_groups_come_again(spark, monkeypatch):
+    """After the first search, texts of groups with one part are not shuffled."""
+    rng, asked, real = random.Random(9), [], oddsketch.maybe_members
+
+    def counted(texts, members, slot_bits):
+        asked.append(real(texts, members, slot_bits).count())
+        return real(texts, members, slot_bits)
+
+    monkeypatch.setattr(oddsketch, "maybe_members", counted)
+    rows = list(enumerate(families(rng, 1, 40, 120, 2) + families(rng, 30, 2, 60, 1)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(oddsketch.near_duplicates(docs, part_bytes=20_000)) == expected(rows)
+    assert len(asked) == 2 and asked[1] <= 40 < asked[0]

@@ -345,7 +345,7 @@ def with_texts(members: DataFrame, texts: DataFrame, *keep: str) -> DataFrame:
     return texts.join(members, same).select(*keep, "id", "sketch", "body").dropDuplicates(["id"])
 
 
-def confirmed(members: DataFrame, texts: DataFrame, k: int, most: int, percent: int, part_bytes: int) -> DataFrame:
+def confirmed(members: DataFrame, texts: DataFrame, k: int, most: int, percent: int, part_bytes: int, slot_bits: int) -> DataFrame:
     """``a, b``: the least id ``a`` of the group of true links among ``members (id, key, th, group, sketch, bytes)``
     that ``b`` is in, for every other id of it."""
 
@@ -367,10 +367,12 @@ def confirmed(members: DataFrame, texts: DataFrame, k: int, most: int, percent:
         return edges
 
     members = written(dealt(members, part_bytes), "members")
-    inside = written(by_group(with_texts(members, texts, "group", "part"), ["group", "part"], search), "names")
+    bodies = with_texts(members, maybe_members(texts, members, slot_bits), "group", "part")
+    inside = written(by_group(bodies, ["group", "part"], search), "names")
     large = members.filter("parts > 1")
     if large.isEmpty():
         return inside
+    texts = maybe_members(texts, large, slot_bits)  # from here on only those of large groups are shuffled
     # the groups found in the parts of a large group meet by one class each
     heads = large.join(inside.select(F.col("b").alias("id")), "id", "left_anti").drop("parts", "part")
     heads = with_texts(dealt(heads, part_bytes), texts, "group", "part")
@@ -408,8 +410,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     members = single.select("id", "key", "th", "sketch", (F.col("n_shingles") * 8 + 64).alias("bytes")).join(
         components(candidates).select(F.col("node").alias("id"), F.col("label").alias("group")), "id")
     members = written(members, "members")
-    texts = maybe_members(keyed_texts(docs, key, text), members, slot_bits)
-    names = written(confirmed(members, texts, shingle_words, most, percent, part_bytes), "names")
+    names = written(confirmed(members, keyed_texts(docs, key, text), shingle_words, most, percent, part_bytes, slot_bits), "names")
     found = grouped(classes, names)
     smallest = found.groupBy("found").agg(F.min("least").alias("component_id"))
     named = found.join(smallest, "found").select("high", "low", "component_id")
