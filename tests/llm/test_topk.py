@@ -60,3 +60,30 @@ def test_bounds_leave_work_out():
         exact[q] = -np.inf
         assert scores.tolist() == np.sort(exact)[::-1][:10].tolist()
     assert seen[0] < 0.5 * 20 * 5000 * 64
+
+
+def test_no_block_is_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, v) for i, v in enumerate(rng.normal(0, 1, (300, 8)).tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    plans = []
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    written = topk.written
+    monkeypatch.setattr(topk, "written", noted)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    adaptive = spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(name, "1g")  # whatever fits the threshold by an estimate
+    try:
+        found = topk.top_k(frame, F.col("vec_id") % 10 == 0, k=5, scale=64, rows=37, query_rows=4)
+        got = sorted(tuple(r) for r in found.collect())
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", adaptive)
+    assert got == brute(rows, 5, 64, lambda i: i % 10 == 0)
+    assert len(plans) >= 3 and not [p for p in plans if "Broadcast" in p]

@@ -10,10 +10,12 @@ block are gathered for the survivors alone.
 
 The k-th best so far starts from a first pass over one block (real rows, so
 their k-th score is a floor for the whole table) and rises within each block.
-Query blocks meet candidate blocks by an equality join on the candidate
-block's number; a task holds one pair of blocks at a time, and the driver
-holds none.  Each pair gives k rows a query at most, and a ranking window
-(which keeps k rows a partition before its shuffle) ends the search.
+Partitions of query blocks meet partitions of candidate blocks in a Cartesian
+product: a task reads both and holds about ``BLOCKS_PER_TASK`` candidate blocks
+at most; the driver holds none, and no block is copied for each that it meets,
+neither by a broadcast nor by a shuffle.  Each pair gives k rows a query at
+most, and a ranking window (which keeps k rows a partition before its shuffle)
+ends the search.
 
 Scores are exact: sums are made in float64 while every partial sum stays below
 2^53, else in Python integers; a score beyond 64 bits is an error.
@@ -41,6 +43,10 @@ from tidewater.llm.common import written
 ROWS_PER_BLOCK = 4096
 QUERIES_PER_BLOCK = 256
 DIMENSIONS_AT_ONCE = 8
+#: Candidate blocks and query blocks of a task, about, and parts that the candidate blocks are dealt to at least.
+BLOCKS_PER_TASK = 8
+QUERY_BLOCKS_PER_TASK = 64
+LEAST_PARTS = 64
 
 
 def quantised(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
@@ -168,11 +174,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id"
     asking = max(1, -(-asked.count() // query_rows))
     questions = packed(asked.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(asking))), "b", query_rows)
     questions = questions.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("data").alias("q_data"))
-    floors = written(paired(questions.withColumn("floors", F.lit(None).cast("binary")), table.filter("block = 0 AND part = 0"), [0], k), "floors")
+    first = table.filter("block = 0 AND part = 0").repartition(1)
+    floors = written(paired(questions.withColumn("floors", F.lit(None).cast("binary")), first, k), "floors")
     # the k-th score in one block is a floor of the k-th score in all
     least = floors.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("s")).filter(F.col("n") == k)
     known = (
-        asked.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(asking))).join(least, F.col("id") == F.col("query_id"), "left")
+        asked.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(asking))).join(least.hint("merge"), F.col("id") == F.col("query_id"), "left")
         .select("b", "id", "v", F.coalesce(F.col("s").cast("double"), F.lit(float("-inf"))).alias("floor"))
     )
     lists = known.withColumn("v", F.concat(F.array("floor"), "v")).select("b", "id", "v")
@@ -180,15 +187,21 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id"
         F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("data").alias("q_data"),
         F.lit(b"led").alias("floors"),
     )
-    found = paired(led, table, list(range(blocks)), k)
+    # written, for each partition of them is read once for each partition of the table
+    led = written(led, "questions").coalesce(-(-asking // QUERY_BLOCKS_PER_TASK))
+    # by ranges, for so few rows are dealt unevenly by a hash or in turns
+    dealt = table.repartitionByRange(max(-(-blocks // BLOCKS_PER_TASK), min(blocks, LEAST_PARTS)), "block", "part")
+    found = paired(led, dealt, k)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def paired(questions: DataFrame, table: DataFrame, numbers: list[int], k: int) -> DataFrame:
-    """Best k of every pair of query block and candidate block.  If ``floors`` is set, row 0 of ``q_data`` holds the queries' floors."""
-    spread = questions.withColumn("block", F.explode(F.sequence(F.lit(numbers[0]), F.lit(numbers[-1]))))
-    pairs = spread.join(table, "block").select("q_ids", "q_width", "q_data", "floors", "ids", "width", "data")
+def paired(questions: DataFrame, table: DataFrame, k: int) -> DataFrame:
+    """Best k of every pair of query block and candidate block, a task for each pair of their partitions.
+
+    A task buffers its partition of ``table``.  If ``floors`` is set, row 0 of ``q_data`` holds the queries' floors.
+    """
+    pairs = questions.crossJoin(table.hint("shuffle_replicate_nl")).select("q_ids", "q_width", "q_data", "floors", "ids", "width", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
